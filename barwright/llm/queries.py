@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_tar, mixing, packing, simhash
+from . import html_extract, langid, lm_classes, media_tar, mixing, packing, phrases, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(_table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
@@ -21,16 +25,36 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_classes.report(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tar.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_packing, op6_simhash, op9_media)}
+    return {f.__name__: f for f in (op1_html, op2_mixing, op3_packing, op4_langid, op5_toxicity, op6_simhash, op7_lm, op8_quality, op9_media, op10_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
