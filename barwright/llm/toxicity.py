@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int =
         return Model({}, {}, prior=bad / max(1, bad + good))
     counts = _counted(known, _terms).groupBy("term").pivot("toxic", [0, 1]).agg(F.sum("n")).fillna(0).select("term", F.col("0").alias("g"), F.col("1").alias("b"))
     odds = F.log(((F.col("b") + 0.5) / (bad + 1)) / ((F.col("g") + 0.5) / (good + 1)))
-    rare = max(3, bad // 200)
+    rare = max(5, bad // 80)
     chosen = counts.filter((F.col("b") >= rare) & (odds > 1.5)).withColumn("odds", odds).orderBy(F.desc(odds * F.sqrt("b")), "term").limit(8 * TERMS).collect()
     exact = {r.term: r.odds for r in chosen if not r.term.endswith("*")}
     stems: dict[str, float] = {}
