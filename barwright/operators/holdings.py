@@ -99,7 +99,7 @@ def members_as_of(table: DataFrame, days: DataFrame) -> DataFrame:
 
 def tickers_in(text: Column) -> Column:
     """Sorted distinct words of one to five capitals, with or without a dollar sign, that aren't common words."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(\$?\b[A-Z]{1,5}\b)"), 1), lambda t: F.regexp_replace(t, r"\$", ""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(\$?\b[A-Z]{1,5}\b)"), 1), lambda t: F.regexp_replace(t, r"\$", ""))
     return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, NOT_TICKERS))))
 
 
