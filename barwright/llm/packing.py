@@ -9,7 +9,9 @@ sequence; it is cut into powers of two, so no sequence needs padding.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,29 +27,39 @@ BUCKETS, DIMENSIONS, CELL_BITS, TIE_BITS = 256, 4, 12, 15
 END_ID, SEQUENCE = 2, 4096
 #: Chunks whose ids a worker keeps at most.
 CACHED = 600_000
-_MARKS, _LETTERS = frozenset(b".,;:!?"), frozenset(range(ord("a"), ord("z") + 1))
+_MARKS = frozenset(".,;:!?")
+#: Lowered letters of ASCII and Latin-1: alone in a chunk they are one word, whatever the normalizer does.
+_WORD = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Ids(dict):
     """White-space-free chunks of lowered text -> token ids as unsigned 16-bit bytes.
 
     The tokenizer drops white space and works inside chunks, so a text's ids are those of its chunks; a mark after
-    an ASCII letter is a token of its own, so it is looked up by itself.
+    a letter is a token of its own, so it is looked up by itself. A chunk of plain letters is one word, which goes
+    to the tokenizer's model without the steps before it, save the spelling of bytes as characters.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spell = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(ord("ß"), 256)}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in _MARKS and chunk[-2] in _LETTERS:
+        word = chunk.decode().lower()
+        if _WORD.fullmatch(word):
+            ids = array("H", [t.id for t in self.model.tokenize(word.translate(self.spelt))]).tobytes()
+        elif len(word) > 1 and word[-1] in _MARKS and word[-2].isalpha():
             ids = self[chunk[:-1]] + self[chunk[-1:]]
         else:
-            ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, np.uint16).tobytes()
+            ids = array("H", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
