@@ -137,13 +137,13 @@ def edited(text: str, after: str) -> str:
 def _with_successors(docs: DataFrame, rows_each: int = 2048) -> DataFrame:
     """(range, extra, key, doc_id, text) dealt out by ranges of the id, sorted inside; a range ends with the next one's first row.
 
-    Ranges are cut at quantiles of the id, so none is large, and only ids and range numbers reach the driver. The
-    last range ends with the first row of all.
+    Ranges are cut at quantiles of the id, so all are about as large; of ranges, 65,536 at most, only first ids and
+    numbers reach the driver. The last range ends with the first row of all.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long"), "text")
     n = keyed.count()
-    parts = max(1, n // rows_each)
+    parts = max(1, min(n // rows_each, 1 << 16))
     cuts = sorted({int(c) for c in keyed.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     bounds = np.array(cuts, np.int64)
 
