@@ -283,6 +283,15 @@ def test_exchange_separates_languages():
     assert cls[40] == 0 and len(set(cls[:20])) == 1 and len(set(cls[20:40])) == 1 and cls[0] != cls[39]
 
 
+def test_most_counted_words(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(300)], "word string, c long")
+    ranked = sorted(((c, w) for w, c in counts.collect()), key=lambda x: (-x[0], x[1]))
+    for most in (0, 1, 7, 50, 1000):
+        found = [(c, w.decode()) for w, c in lm_classes.most_counted(counts, most).items()]
+        assert found == ranked[: len(found)] and len(found) <= most and len(found) >= min(most, 300) * 0.6 - 1
+    assert lm_classes.most_counted(empty(counts)) == {}
+
+
 def test_lm(corpus):
     rows = {r.doc_id: r for r in lm_classes.report(corpus).collect()}
     docs = [(r.doc_id, (r.text or "").encode().lower().split()) for r in corpus.collect()]
