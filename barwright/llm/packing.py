@@ -26,7 +26,7 @@ from .common import rows_of, texts, written
 BUCKETS, DIMENSIONS, CELL_BITS, TIE_BITS = 256, 4, 12, 15
 END_ID, SEQUENCE = 2, 4096
 #: Chunks whose ids a worker keeps at most.
-CACHED = 600_000
+CACHED = 300_000
 _MARKS = frozenset(".,;:!?")
 #: Lowered letters of ASCII and Latin-1: alone in a chunk they are one word, whatever the normalizer does.
 _WORD = re.compile("[a-zß-öø-ÿ]+")

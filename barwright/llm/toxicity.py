@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold, texts
 
 #: Labelled documents learned from at most; terms of each kind at most; words in a context window; chunks remembered.
-SAMPLE, TERMS, WINDOW, REMEMBERED = 12_000, 300, 25, 400_000
+SAMPLE, TERMS, WINDOW, REMEMBERED = 12_000, 300, 25, 150_000
 STEMS = range(3, 9)
 _TRIM = "\"'“”„«»‹›‘’.,;:!?()[]{}<>|*#%&$-–—…_~/\\=+"
 _OPEN, _CLOSE = "\"“„«‹", "\"”“»›"
