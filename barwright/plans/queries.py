@@ -612,8 +612,9 @@ def theme_phases(spark, sf):
 
 @query(
     f"""WITH {BARS}, b AS (SELECT x.ticker, x.ts, x.c, y.c AS bench FROM bars x JOIN bars y ON x.ts = y.ts AND y.ticker = 'Brand#1'), r AS (SELECT *, c / lag(c) OVER ({W}) - 1 AS x, bench / lag(bench) OVER ({W}) - 1 AS y, c / bench AS rs, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM b),
- l AS (SELECT *, lag(rs, 62) OVER ({W}) AS r62, lag(rs, 19) OVER ({W}) AS r19 FROM r)
- SELECT ticker, count(*) AS days, round(covar_samp(x, y) / var_samp(y), 6) AS beta, round(corr(x, y), 6) AS corr, round((max(CASE WHEN back = 1 THEN rs END) / max(CASE WHEN back = 1 THEN r62 END) - 1) * 100, 5) AS rs_change_3m FROM l GROUP BY ticker"""
+ l AS (SELECT *, lag(rs, 62) OVER ({W}) AS r62, lag(rs, 19) OVER ({W}) AS r19 FROM r),
+ m AS (SELECT ticker, count(*) AS days, count(x) AS n, round(covar_samp(x, y) / var_samp(y), 6) AS beta, round(corr(x, y), 6) AS corr, round((max(CASE WHEN back = 1 THEN rs END) / max(CASE WHEN back = 1 THEN r62 END) - 1) * 100, 5) AS rs_change_3m FROM l GROUP BY ticker)
+ SELECT ticker, days, CASE WHEN days >= 15 AND n >= 10 THEN beta END AS beta, CASE WHEN days >= 15 AND n >= 10 THEN corr END AS corr, CASE WHEN days >= 15 AND n >= 10 THEN rs_change_3m END AS rs_change_3m FROM m"""
 )
 def relationships(spark, sf):
     d = _bars(spark, sf)
