@@ -98,10 +98,10 @@ def metrics(curve: DataFrame, trades: DataFrame, keys: tuple[str, ...] = ("ticke
     return found.join(done, list(keys), "left").fillna(0, ["win_rate", "avg_holding_days", "trade_count"])
 
 
-def run(bars: DataFrame, config: str | dict, start=None, end=None, max_holding_days: int | None = None, longest: int | None = 3000) -> Backtest:
+def run(bars: DataFrame, config: str | dict, start=None, end=None, max_holding_days: int | None = None, longest: int | None = None) -> Backtest:
     """The strategy over all tickers of `bars` between start and before end; tickers without bars there have no rows.
 
-    `longest` bounds the bars of a ticker with their warm-up (daily bars of twelve years), None if they are unbounded.
+    `longest` bounds the bars of a ticker with their warm-up where the caller knows that no ticker has more.
     """
     warm = start - dt.timedelta(days=WARM_UP_DAYS) if start is not None else None
     k = Kernels(history(bars, warm, end), longest)
@@ -148,7 +148,7 @@ def health(trades: DataFrame) -> DataFrame:
     return out.withColumn("warning", F.when(F.col("same_day_share") == 1, "defect").when(F.col("same_day_share") >= 0.5, "doubt"))
 
 
-def latest(bars: DataFrame, config: str | dict, longest: int | None = 3000) -> DataFrame:
+def latest(bars: DataFrame, config: str | dict, longest: int | None = None) -> DataFrame:
     """(ticker, as_of, triggered, in_position): whether the last bar newly entered, or raised a staged weight."""
     k = Kernels(bars, longest)
     weight = strategy.compile_signal(k, config).weight

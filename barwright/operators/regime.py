@@ -29,7 +29,7 @@ def _last(df: DataFrame, *columns: Column, keys: tuple[str, ...] = ("ticker",))
     return df.groupBy(*keys).agg(F.max_by(F.struct("ts", *columns), "ts").alias("_l")).select(*keys, "_l.*")
 
 
-def daily(bars: DataFrame, n_adx: int = 14, longest: int | None = 3000) -> DataFrame:
+def daily(bars: DataFrame, n_adx: int = 14, longest: int | None = None) -> DataFrame:
     """bars with drawdown (from the 252-bar high, %), adx and regime.
 
     sideways without a 200-bar average or where the trend is weak (ADX below 20), bear from a drawdown of 20 %, else by the

@@ -159,7 +159,7 @@ def evaluated(bars: DataFrame, candidates: list[dict], windows: list[tuple[dt.da
     """
     spark = bars.sparkSession
     first = min(w[0] for w in windows) - dt.timedelta(days=backtest.WARM_UP_DAYS)
-    k = Kernels(history(bars, first, max(w[1] for w in windows)), 3000)
+    k = Kernels(history(bars, first, max(w[1] for w in windows)))
     weights = []
     for i, c in enumerate(candidates):
         kind = strategy.kind_of(c)

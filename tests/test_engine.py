@@ -69,6 +69,17 @@ def test_ema_is_pandas_ewm_on_long_histories(spark, n, longest):
     assert np.allclose([np.nan if x is None else x for x in got], want, rtol=1e-9, equal_nan=True)
 
 
+def test_histories_beyond_a_single_sum_keep_their_signals(spark):
+    df, pdf = walk(spark, 4000)
+    held, same = {"expression": "ema(close, 12) < 1000000000"}, {"expression": "sma(close, 12) < 1000000000"}
+    assert backtest.latest(df, held).first().in_position
+    curve = [r.position for r in backtest.run(df, held).curve.orderBy("ts").collect()]
+    assert curve == [float(i >= 11) for i in range(4000)]
+    window = (DAY, DAY + dt.timedelta(days=4000))
+    a, b = ((r.sharpe, r.trade_count) for r in tuning.evaluated(df, [held, same], [window]).orderBy("candidate").collect())
+    assert a == b
+
+
 def test_rsi_and_macd(spark):
     df, pdf = walk(spark, 300)
     k = Kernels(df)
