@@ -50,16 +50,20 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row's whole text as a signed long; null text counts as empty.
+
+    The long columns `carried` follow as they are.
+    """
+    names = ["doc_id", "fp", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array([fingerprint(t, shingle, seed) for t in rows_of(b, "text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, *[b.column(2 + i) for i in range(len(carried))]], names)
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *carried)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _pair_key(column: str, pairs: tuple[tuple[int, int], ...]):
@@ -104,32 +108,40 @@ def links(fps: DataFrame, max_bits: int = 2, long_list: int = 64) -> DataFrame:
     return near.unionByName(starred)
 
 
+def _rooted(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """`distinct`, a table of distinct fp, with its column root: the smallest fingerprint that fp reaches over links."""
+    found = connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), max_bits)).select(F.col("node").alias("fp"), "component")
+    return distinct.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): every row with its fingerprint and the smallest id it reaches over links.
 
     Rows link where their fingerprints differ in at most `max_bits` bits; equal fingerprints differ in none. Rows
-    with null or wordless text have fingerprint zero and link like any other; repeated ids keep their rows. A null id
-    is no component's name unless it is alone. An empty table gives no rows. Other columns are not read.
+    with null or wordless text have fingerprint zero and link like any other. Rows without an id link and are linked;
+    repeated ids keep their rows, and rows that share an id link by their texts alone. A null id is a component's name
+    only where no row of it has an id. An empty table gives no rows. Other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    edges = links(distinct.filter("rep is not null"), max_bits)
-    found = connected_components(edges).select(F.col("node").alias("rep"), "component")
-    names = distinct.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), max_bits)
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of `docs` with one row for each group of near-duplicates: the one of the smallest id.
 
-    Of rows that repeat the id, one stays, by its content's hash. All columns stay as they are.
+    A row without an id stays only where no row of its group has one; of rows of a group that share the id, or have
+    none, one stays, by its content's hash. Rows of different groups all stay, whatever their ids. All columns stay as
+    they are.
     """
-    from pyspark.sql import Window
-
-    kept = near_duplicates(docs, id_col, text_col, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    first = Window.partitionBy(f"`{id_col}`").orderBy(F.xxhash64(F.col(f"`{text_col}`")), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    hashes = {"_near_text": F.xxhash64(F.col(f"`{text_col}`")), "_near_row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
+    rows, key = docs.withColumns({"_near_id": F.col(f"`{id_col}`").cast("long"), **hashes}), ["_near_id", *hashes]
+    fps = written(fingerprints(rows, id_col, text_col, shingle, carried=tuple(hashes)).withColumnRenamed("doc_id", "_near_id"), "simhash")
+    first = F.struct(F.col("_near_id").isNull().alias("_none"), *key)
+    rooted = _rooted(fps.groupBy("fp").agg(F.min(first).alias("_first")), max_bits)
+    kept = rooted.groupBy("root").agg(F.min("_first").alias("_first")).select(*[F.col(f"_first.{k}").alias(f"_kept{k}") for k in key])
+    return rows.join(kept, [F.col(k).eqNullSafe(F.col(f"_kept{k}")) for k in key], "left_semi").dropDuplicates(key).drop(*key)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -271,6 +271,17 @@ def test_simhash_odd_rows(docs):
     assert simhash.report(empty(docs)).count() == 0
 
 
+def test_keep_one_keeps_different_texts_without_or_with_shared_ids(spark):
+    near = "one two three four five six seven"
+    rows = [(None, "red apples grow on old trees here"), (None, "blue whales swim in the deep sea"), (None, near), (3, near), (4, "green tea is served in small cups"), (4, "grey clouds hang over the wide hills"), (None, "RED apples grow on old trees here")]
+    frame = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text.lower()) for r in simhash.keep_one(frame).collect())
+    assert kept == Counter({(i, t.lower()): 1 for i, t in [*rows[:2], *rows[3:6]]})
+    named = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(frame).collect()}
+    fp = simhash.fingerprint(near.encode())
+    assert named[None, fp] == named[3, fp] == 3
+
+
 # ---------------------------------------------------------------- op7
 def test_exchange_separates_languages():
     rng = np.random.default_rng(0)
