@@ -1,14 +1,17 @@
 """Perplexity from Brown's class-based bigrams.
 
-Tokens are lowered words and one end a text. The most frequent words are symbols of their own; any other word goes to
-one of a few hundred buckets by a hash of its last three bytes, so every word has a symbol without a look-up. Exchange
-clustering assigns symbols to classes: each symbol in turn moves to the class that raises the bigram likelihood of
-classes most, until none moves. A token's probability is that of its class after the one before, times that of its
-symbol in the class, times that of the word in its bucket; class transitions are smoothed towards class shares, words
-in a bucket by add-one with a place for an unseen one.
-
-Spark counts words and symbol pairs over all training texts. The driver holds the symbols' pair matrix, whose size is
-fixed, and a bounded table of frequent words' counts; counts of all other words meet their texts in a join on the word.
+Tokens are lowered words and one end a text. Exchange clustering assigns the most frequent words, and buckets of all
+other words by a hash of their last three bytes, to classes: each in turn moves to the class that raises the bigram
+likelihood of classes most, until none moves. Then every other word that is seen `LEAST` times is assigned to its best
+class by the same rule, from the classes that its neighbours in the corpus have, so that the vocabulary with classes of
+its own grows with the corpus. Rarer and unseen words keep their bucket's class. A token's probability is that of its
+class after the one before, times that of its word in the class (for words in buckets, of the bucket in the class and
+of the word in its bucket); class transitions are counted with the final classes and smoothed towards class shares,
+words in a bucket by add-one with a place for an unseen one.
+
+Spark counts words, pairs and neighbours over all training texts. The driver holds the pair matrix of the first
+clustering, whose size is fixed, and a bounded table of frequent words' counts and classes; counts and classes of all
+other words meet their texts in a join on the word.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import fold, rows_of, texts, written
 
-#: Words that are symbols of their own, buckets for the others, classes; words whose counts every task gets.
+#: Words that are clustered first, buckets for the others, classes; words whose counts and classes every task gets.
 FREQUENT, BUCKETS, CLASSES, COUNTED = 700, 323, 48, 1 << 16
+#: How often a word is seen that gets a class of its own. Columns of a word's neighbours: classes before, classes after, itself.
+LEAST, SIDES = 10, 2 * CLASSES + 1
 END = FREQUENT + BUCKETS
 SYMBOLS = END + 1
 #: Weight of class shares in a transition, and of each symbol in a class; words counted before a task lets go of them.
@@ -43,7 +48,7 @@ class Symbols(dict):
         self.update(self.frequent)
 
     def __missing__(self, word: bytes) -> int:
-        symbol = FREQUENT + zlib.crc32(word[-3:]) % BUCKETS
+        symbol = FREQUENT + bucket_of(word)
         if len(self) < HELD:
             self[word] = symbol
         return symbol
@@ -53,6 +58,27 @@ class Symbols(dict):
         return np.array([END, *map(self.__getitem__, words), END], np.int64)
 
 
+def bucket_of(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % BUCKETS
+
+
+class Codes(dict):
+    """word -> its place among `words`, or len(words) plus its bucket; remembers a bounded number of other words."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.n = len(words)
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.n + bucket_of(word)
+        if len(self) < self.n + HELD:
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c) over the column text of all rows."""
 
@@ -102,6 +128,17 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def _gains(m: np.ndarray, r: np.ndarray, c: np.ndarray, own: float) -> np.ndarray:
+    """By how much each class's taking a word raises the likelihood; m counts classes without it, r follow it, c precede it."""
+    f, rows, cols = _xlogx(m), m.sum(1), m.sum(0)
+    gain_r, gain_c = _xlogx(m + r) - f, _xlogx(m + c[:, None]) - f
+    d = np.diag(m)
+    gain = gain_r.sum(1) - np.diag(gain_r) + gain_c.sum(0) - np.diag(gain_c) + _xlogx(d + r + c + own) - np.diag(f)
+    gain -= _xlogx(rows + r.sum() + own) - _xlogx(rows) + _xlogx(cols + c.sum() + own) - _xlogx(cols)
+    gain[0] = -np.inf
+    return gain
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 8) -> np.ndarray:
     """Each symbol's class, by the exchange algorithm; the last symbol (the end) keeps class 0 to itself."""
     n = len(pairs)
@@ -123,12 +160,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 8) -> np.n
             m[:, a] -= c
             m[a, a] -= own
             np.maximum(m, 0, out=m)
-            f, rows, cols = _xlogx(m), m.sum(1), m.sum(0)
-            gain_r, gain_c = _xlogx(m + r) - f, _xlogx(m + c[:, None]) - f
-            d = np.diag(m)
-            gain = gain_r.sum(1) - np.diag(gain_r) + gain_c.sum(0) - np.diag(gain_c) + _xlogx(d + r + c + own) - np.diag(f)
-            gain -= _xlogx(rows + r.sum() + own) - _xlogx(rows) + _xlogx(cols + c.sum() + own) - _xlogx(cols)
-            gain[0] = -np.inf
+            gain = _gains(m, r, c, own)
             b = int(gain.argmax())
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -149,13 +181,12 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 8) -> np.n
 
 @dataclass
 class Model:
-    """What scoring needs of the corpus, all of fixed size: classes, log10 probabilities, frequent words' counts."""
+    """What every task needs of the corpus, all of bounded size; codes are those of Codes(list(counted))."""
 
-    frequent: list[bytes]
-    classes: np.ndarray
-    move: np.ndarray  # (class, class): log10 of a transition
-    emit: np.ndarray  # symbol: log10 of the symbol in its class, less log10 of the bucket's denominator
     counted: dict[bytes, int]
+    classes: np.ndarray  # code: its class
+    emit: np.ndarray  # code: log10 of the word in its class; of its bucket in the class, less the bucket's denominator
+    total: np.ndarray  # class: log10 of the weight of its words
     ends: int
     tokens: int
     distinct: int
@@ -181,82 +212,252 @@ def most_counted(counts: DataFrame, most: int = COUNTED) -> dict[bytes, int]:
     return {r.word.encode(): int(r.c) for r in sorted(rows, key=lambda r: (-r.c, r.word))}
 
 
-def fit(train: DataFrame, counts: DataFrame, words: int, distinct: int, ends: int) -> Model:
-    """The model of the texts in `train`, whose word counts are `counts` (summing to `words`)."""
-    counted = most_counted(counts)
-    frequent = list(counted)[:FREQUENT]
+def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, spans: tuple[int, int], tailed: bool) -> DataFrame:
+    """(word, id, side, n): how often each class stands before (side = class) or after (CLASSES + class) a word.
+
+    Words with codes in `spans` come by their code as id, and then side 2 * CLASSES counts how often the word follows
+    itself; if `tailed`, words that are not among `words` come by themselves, with a null id. `first`: code -> class.
+    """
+    low, high = spans
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, total, held, size, others = Codes(words), np.zeros(max(high - low, 0) * SIDES, np.int32), [], 0, Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = list(others)
+            arrays = [pa.array([k[0] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(others.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["word", "at", "n"])
+
+        def tally() -> None:
+            nonlocal size
+            if held:
+                at, n = np.unique(np.concatenate(held), return_counts=True)
+                total[at] += n.astype(np.int32)
+                held.clear()
+                size = 0
+
+        for b in batches:
+            for t in rows_of(b, "text"):
+                tokens = t.lower().split()
+                code = codes.of(tokens)
+                around = np.concatenate(([0], first[code], [0]))
+                before, after = around[:-2], around[2:] + CLASSES
+                same = code[1:] == code[:-1]
+                inside = (code >= low) & (code < high)
+                for sides, self_ in ((before, np.concatenate(([False], same))[: len(code)]), (after, np.concatenate((same, [False]))[: len(code)])):
+                    at = (code - low) * SIDES + sides
+                    held.append(at[inside & ~self_])
+                held.append(((code[1:] - low) * SIDES + 2 * CLASSES)[same & inside[1:]])
+                size += 2 * len(code)
+                if size > 1_000_000:
+                    tally()
+                if tailed:
+                    for i in np.flatnonzero(code >= codes.n).tolist():
+                        others[tokens[i], int(before[i])] += 1
+                        others[tokens[i], int(after[i])] += 1
+                    if len(others) > HELD:
+                        yield out()
+                        others.clear()
+        tally()
+        if others:
+            yield out()
+        found = np.flatnonzero(total)
+        for i in range(0, len(found), 1 << 18):
+            at = found[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at + low * SIDES, pa.int64()), pa.array(total[at].astype(np.int64))], ["word", "at", "n"])
+
+    counts = train.select("text").mapInArrow(run, "word string, at long, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
+    by_id = F.col("word").isNull()
+    return counts.select("word", F.when(by_id, F.floor(F.col("at") / SIDES)).alias("id"), F.when(by_id, F.pmod("at", F.lit(SIDES))).otherwise(F.col("at")).alias("side"), "n")
+
+
+def assigned(near: DataFrame, m: np.ndarray, words: list[bytes], cls: np.ndarray) -> DataFrame:
+    """(word, id, class): each word's best class, as exchange would move it from its bucket's, all from the same counts `m`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for word, i, sides, times in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+                n = np.zeros(SIDES)
+                n[sides] = times
+                c, r, own = n[:CLASSES], n[CLASSES:-1], n[-1]
+                a = cls[FREQUENT + bucket_of(words[i] if word is None else word.encode())]
+                rest = m.copy()
+                rest[a] -= r
+                rest[:, a] -= c
+                rest[a, a] -= own
+                gain = _gains(np.maximum(rest, 0), r, c, own)
+                best = int(gain.argmax())
+                found.append(best if gain[best] > gain[a] + 1e-9 else int(a))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["word", "id", "class"])
+
+    rows = near.groupBy("word", "id").agg(F.collect_list(F.struct("side", "n")).alias("x")).select("word", "id", F.col("x.side").alias("sides"), F.col("x.n").alias("times"))
+    return rows.mapInArrow(run, "word string, id long, class long")
+
+
+def fit(train: DataFrame, counts: DataFrame, words: int, distinct: int, ends: int, most: int = COUNTED) -> tuple[Model, DataFrame]:
+    """The model of the texts in `train`, whose word counts are `counts` (summing to `words`), and (word, c, class) of all
+    words outside of its bounded table; class is null for those that keep their bucket's.
+    """
+    counted = most_counted(counts, most)
+    known, frequent = list(counted), list(counted)[:FREQUENT]
     pairs = pair_counts(train, frequent)
     cls = exchange(pairs)
     member = np.eye(CLASSES)[cls]
-    m, seen = member.T @ pairs @ member, pairs.sum(0)
-    share = (m.sum(0) + 1) / (m.sum() + CLASSES)
-    move = np.log10((m + PULL * share) / (m.sum(1, keepdims=True) + PULL))
-    emit = np.log10((seen + FLOOR) / ((seen + FLOOR) @ member)[cls])
-    bucket = F.lit(FREQUENT) + F.pmod(F.crc32(F.expr("substring(cast(word as binary), -3, 3)")), F.lit(BUCKETS))
-    rest = counts.join(F.broadcast(train.sparkSession.createDataFrame([(w.decode(),) for w in frequent], "word string")), "word", "left_anti")
-    sizes = {r.bucket: r.n + r.v for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    for s in range(FREQUENT, END):
-        emit[s] -= np.log10(sizes.get(s, 0) + 1)
-    return Model(frequent, cls, move, emit, counted, ends, words + ends, distinct + (ends > 0))
+    m = member.T @ pairs @ member
+    first = np.array([*cls[: len(frequent)], *[cls[FREQUENT + bucket_of(w)] for w in known[len(frequent) :]], *cls[FREQUENT:END]], np.int64)
+    often = sum(c >= LEAST for c in counted.values())
+    own = max(len(frequent), often)
+    tail = counts.filter(F.col("c") < (counted[known[-1]] if known else 1 << 62))
+    common = tail.filter(F.col("c") >= LEAST)
+    near = neighbours(train, known, first, (len(frequent), own), tailed := bool(common.head(1)))
+    if tailed:
+        near = written(near, "lm-neighbours")
+        near = near.filter("word is null").unionByName(near.filter("word is not null").join(common.select("word"), "word", "left_semi"))
+    found = written(assigned(near, m, known, cls), "lm-classes")
+    classes = first.copy()
+    for r in found.filter("word is null").collect():
+        classes[r.id] = r["class"]
+    rest = tail.join(found.filter("word is not null").select("word", "class"), "word", "left")
+
+    weight, n = np.zeros(CLASSES), np.array(list(counted.values()), np.float64)
+    np.add.at(weight, classes[:own], n[:own] + FLOOR)
+    for r in rest.filter("class is not null").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        weight[r["class"]] += r.n + FLOOR * r.v
+    size, bucket = np.zeros((BUCKETS, 2)), F.pmod(F.crc32(F.expr("substring(cast(word as binary), -3, 3)")), F.lit(BUCKETS))
+    for r in rest.filter("class is null").groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        size[r.bucket] += r.n, r.v
+    for w in known[own:]:
+        size[bucket_of(w)] += counted[w], 1
+    np.add.at(weight, cls[FREQUENT:END], size[:, 0] + FLOOR)
+    weight[0] += ends + FLOOR
+    total = np.log10(np.maximum(weight, FLOOR))
+    of_bucket = np.log10(size[:, 0] + FLOOR) - total[cls[FREQUENT:END]] - np.log10(size.sum(1) + 1)
+    emit = np.concatenate((np.log10(n[:own] + FLOOR) - total[classes[:own]], [of_bucket[bucket_of(w)] + np.log10(counted[w] + 1) for w in known[own:]], of_bucket))
+    return Model(counted, classes, emit, total, ends, words + ends, distinct + (ends > 0)), rest
+
+
+#: Marks a class in a text's classes that the join may replace.
+OPEN = 128
+FIELDS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, classes binary"
 
 
 def _parts(model: Model):
-    """Scores each text as far as the bounded tables go, and lists its other words."""
+    """Scores each text's words as far as the bounded tables go, and lists its classes and its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, row = Symbols(model.frequent), TaskContext.get().partitionId() << 40
-        log = {w: float(np.log10(c + 1)) for w, c in model.counted.items()}
+        codes, row = Codes(list(model.counted)), TaskContext.get().partitionId() << 40
+        log = np.concatenate((np.log10(np.array(list(model.counted.values()), np.float64) + 1), np.zeros(BUCKETS)))
         denominator, end = float(np.log10(model.tokens + model.distinct + 1)), float(np.log10(model.ends + 1))
-        frequent = symbols.frequent
+        marked = model.classes.astype(np.uint8)
+        marked[codes.n :] += OPEN
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b, out = whole.slice(at, 500), []
                 for doc_id, held_out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), rows_of(b, "text"), strict=True):
                     words = text.lower().split()
-                    s = symbols.of(words)
-                    c = model.classes[s]
-                    score = float(model.move[c[:-1], c[1:]].sum() + model.emit[s[1:]].sum())
-                    both, alone, known, rest = 0.0, end, 1 if model.ends else 0, []
-                    for w, n in Counter(words).items():
-                        x = log.get(w)
-                        if x is None:
-                            rest.append((w, n))
-                            continue
-                        known += n
-                        if w in frequent:
-                            alone += n * x
-                        else:
-                            both += n * x
-                    out.append((row, doc_id, held_out, len(words) + 1, known, both + alone - (len(words) + 1) * denominator, score + both, [w for w, _ in rest], [n for _, n in rest]))
+                    code, places = codes.of(words), {}
+                    others = np.flatnonzero(code >= codes.n)
+                    refs = np.array([places.setdefault(words[i], len(places)) for i in others.tolist()], np.int32)
+                    known = len(words) - len(others) + (model.ends > 0)
+                    base = float(log[code].sum()) + end - (len(words) + 1) * denominator
+                    out.append((row, doc_id, held_out, len(words) + 1, known, base, float(model.emit[code].sum()), marked[code].tobytes(), refs.tobytes(), list(places), np.bincount(refs, minlength=len(places)).tolist()))
                     row += 1
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                cols = list(zip(*out, strict=True))
-                arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]
-                arrays += [pa.array(cols[7], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(cols[8], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times"])
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                arrays[9] = arrays[9].cast(pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "classes", "refs", "words", "times"])
+
+    return run
+
+
+def _joined(model: Model):
+    """Adds to each text what the join found on its other words, and puts their classes in place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(model.counted)
+        for b in batches:
+            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            known, base, score, classes = [], [], [], []
+            names = ("n_known", "base_score", "score", "classes", "refs", "words", "times", "k", "c", "class")
+            for known_, base_, score_, raw, refs, words, times, ks, cs, own in zip(*[col[x].to_pylist() for x in names], strict=True):
+                seq = np.frombuffer(raw, np.uint8).copy()
+                is_open = seq >= OPEN
+                seq[is_open] -= OPEN
+                if ks:
+                    ks, own, c = np.array(ks), np.array(own), np.array(cs, np.float64)
+                    t = np.array(times)[ks]
+                    known_ += int(t.sum())
+                    base_ += float(t @ np.log10(c + 1))
+                    rare = own < 0
+                    score_ += float(t[rare] @ np.log10(c[rare] + 1))
+                    if not rare.all():
+                        was = model.emit[[n + bucket_of(words[k].encode()) for k in ks[~rare]]]
+                        score_ += float(t[~rare] @ (np.log10(c[~rare] + FLOOR) - model.total[own[~rare]] - was))
+                        new = np.full(len(words), -1)
+                        new[ks] = own
+                        new = new[np.frombuffer(refs, np.int32)]
+                        seq[is_open] = np.where(new >= 0, new, seq[is_open])
+                known.append(known_)
+                base.append(base_)
+                score.append(score_)
+                classes.append(seq.tobytes())
+            arrays = [*[col[x] for x in ("row", "doc_id", "held_out", "n_tokens")], pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(classes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "classes"])
 
     return run
 
 
-def scored(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def _between_ends(classes: bytes) -> np.ndarray:
+    return np.frombuffer(b"\0" + classes + b"\0", np.uint8).astype(np.int64)
+
+
+def transitions(classed: DataFrame) -> np.ndarray:
+    """(class, class): log10 of a transition, from the classes of all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                s = _between_ends(x)
+                total += np.bincount(s[:-1] * CLASSES + s[1:], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["pair", "n"])
+
+    m = np.zeros(CLASSES * CLASSES)
+    for r in classed.filter("not held_out").select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        m[r.pair] = r.n
+    m = m.reshape(CLASSES, CLASSES)
+    share = (m.sum(0) + 1) / (m.sum() + CLASSES)
+    return np.log10((m + PULL * share) / (m.sum(1, keepdims=True) + PULL))
+
+
+def scored(docs: DataFrame, modulus: int = 7, held: int = 2, most: int = COUNTED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row.
 
     The model learns from the whole texts of all rows outside of the held-out fold; null text is an empty one, which
     has its end alone. Rows that share an id are texts of their own. Without training rows both scores come from
-    the smoothing alone. An empty table gives no rows.
+    the smoothing alone. An empty table gives no rows. Every task gets the counts and classes of `most` words.
     """
     rows = texts(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), (fold("doc_id", modulus) == held).alias("held_out"), "text")
     train = rows.filter("not held_out")
     counts = written(word_counts(train), "lm-words")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = fit(train, counts, words, distinct, train.count())
-    parts = written(rows.mapInArrow(_parts(model), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<string>, times array<long>"), "lm-parts")
-    rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    known = rest.join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return parts.drop("words", "times").join(known, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score")
-    )
+    model, rest = fit(train, counts, words, distinct, train.count(), most)
+    parts = written(rows.mapInArrow(_parts(model), f"{FIELDS}, refs binary, words array<string>, times array<long>"), "lm-parts")
+    others = parts.select("row", F.posexplode("words").alias("k", "word")).join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("k", "c", F.coalesce("class", F.lit(-1)).alias("class"))).alias("x"))
+    both = parts.join(others, "row", "left").select(*parts.columns, F.col("x.k").alias("k"), F.col("x.c").alias("c"), F.col("x.class").alias("class"))
+    classed = written(both.mapInArrow(_joined(model), FIELDS), "lm-classed")
+    move = transitions(classed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = [float(move[s[:-1], s[1:]].sum()) for s in map(_between_ends, b.column(7).to_pylist())]
+            score = pa.array(b.column(6).to_numpy(zero_copy_only=False) + np.array(more), pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(1, 6)], score], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = classed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def report(docs: DataFrame) -> DataFrame:

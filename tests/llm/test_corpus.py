@@ -319,6 +319,19 @@ def test_lm(corpus):
     assert gain > 0
 
 
+def test_lm_learns_classes_beyond_the_frequent_words(spark):
+    rng = np.random.default_rng(0)
+    names = {k: [f"{k}{i}xyz" for i in range(800)] for k in "ab"}
+    p = 1 / (200 + np.arange(800))
+    rows = [(i, " ".join(rng.choice(names["ab"[i % 2]], 60, p=p / p.sum()))) for i in range(1400)]
+    pure, mixed = (10_000, " ".join(names["a"][500:540])), (10_001, " ".join(names["ab"[i % 2]][500 + i] for i in range(40)))
+    frame = spark.createDataFrame([*rows, (None, ""), *[(i, t) for i in range(20_000, 21_000) if zlib.crc32(str(i).encode()) % 7 == 2 for t in (pure[1], mixed[1])][:2]], "doc_id long, text string").repartition(3)
+    small, large = ({(r.doc_id, r.base_score): r for r in lm_classes.scored(frame, most=n).collect()} for n in (1200, 1 << 16))
+    a, b = sorted((r.score for k, r in large.items() if r.doc_id is not None and r.doc_id >= 20_000), reverse=True)
+    assert a - b > 0.3 * 20
+    assert sorted((r.doc_id or 0, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in small.values()) == sorted((r.doc_id or 0, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in large.values())
+
+
 def test_lm_odd_rows(docs):
     assert len(lm_classes.report(docs).collect()) == len(ODD)
     assert lm_classes.report(empty(docs)).count() == 0
