@@ -25,20 +25,33 @@ WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def word_counts(col: pa.Array) -> np.ndarray:
-    """Words ([^\\x20\\x09-\\x0D]+) of each text of an Arrow column, counted on its byte buffer; null: 0."""
-    wide = pa.types.is_large_string(col.type)
+def word_counts(col: pa.Array, rows: int = 500) -> np.ndarray:
+    """Words ([^\\x20\\x09-\\x0D]+) of each text of an Arrow column, counted on its byte buffer; null: 0.
+
+    `rows` texts are looked at together, so that what is held beside the column is a few times their bytes.
+    """
+    parts = [_begins(col.slice(at, rows)) for at in range(0, len(col), rows)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _begins(col: pa.Array) -> np.ndarray:
+    """How many bytes of each text begin a word: not blank, and first in the text or behind a blank."""
     _, offsets, data = col.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    blank = _BLANK[np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]]
-    at -= at[0]
-    begins = ~blank
-    begins[1:] &= blank[:-1]
-    first = at[:-1][at[1:] > at[:-1]]
-    begins[first] = ~blank[first]
-    upto = np.concatenate([[0], np.cumsum(begins)])
-    counts = upto[at[1:]] - upto[at[:-1]]
-    return np.where(np.asarray(col.is_valid()), counts, 0)
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    counts, filled = np.zeros(len(col), np.int64), (at[1:] > at[:-1]) & np.asarray(col.is_valid())
+    if filled.any():
+        blank = _BLANK[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
+        at -= at[0]
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        first = at[:-1][at[1:] > at[:-1]]
+        begins[first] = ~blank[first]
+        # texts that hold no byte take no part: reduceat sums from each start to the next one
+        spans = np.flatnonzero(at[1:] > at[:-1])
+        sums = np.zeros(len(col), np.int64)
+        sums[spans] = np.add.reduceat(begins, at[:-1][spans], dtype=np.int64)
+        counts[filled] = sums[filled]
+    return counts
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -199,10 +212,28 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(data[starts[a] : ends[b - 1]].decode() for a, b in joined)
 
 
+def _cut_out(names: list[str]):
+    """Replaces the text of (*names, _spans, _pass) by the words of the spans that are taken more than _pass times."""
+    place = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                b = whole.slice(at, 500)
+                spans = ([(s["first_word"], s["words"]) for s in own if s["times"] > n] for own, n in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True))
+                columns = list(b.columns[: len(names)])
+                columns[place] = pa.array([_cut(t.as_py(), own) for t, own in zip(columns[place], spans, strict=True)], columns[place].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
 def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
     """The mix as documents, in the columns of `docs`: a row for each document and pass that takes some of it.
 
-    Pass p's text holds the document's blocks that the mix takes more than p times; n_chars, if there, follows it.
+    Pass p's text holds the document's blocks that the mix takes more than p times; n_chars, if there, follows it. A row
+    with null or wordless text is in no block and so in no result; repeated rows and rows that share an id, or have
+    none, are documents of their own; an empty table gives none. Other columns stay as they are.
     """
     names = docs.columns
     spans = Mix(docs, **plan).spans
@@ -213,11 +244,10 @@ def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
     rows = docs.withColumn("_n", F.row_number().over(same))
     found = rows.join(packed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content")) & (F.col("_n") == F.col("_nth")))
     taken = found.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.array_max("_spans.times").cast("int") - 1)))
-    cut = F.udf(lambda text, spans, p: _cut(text, [(s.first_word, s.words) for s in spans if s.times > p]), "string")
-    taken = taken.withColumn("text", cut("text", "_spans", "_pass"))
+    cut = taken.select(*[F.col(f"`{c}`") for c in names], "_spans", "_pass").mapInArrow(_cut_out(names), docs.schema)
     if "n_chars" in names:
-        taken = taken.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return taken.select(*[F.col(f"`{c}`") for c in names])
+        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return cut.select(*[F.col(f"`{c}`") for c in names])
 
 
 def report(docs: DataFrame) -> DataFrame:
