@@ -1,10 +1,11 @@
 """SimHash near-duplicates, linked through a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most d bits agree in at least 8 - d of their 8 byte positions. The index
-lists distinct fingerprints under what they hold at certain byte positions; partners from one list are tallied by the
-number of positions where their bytes agree, and only pairs that reach the guaranteed number are verified bit by bit.
-So that lists stay short, a list's key joins the bytes of several positions: the eight positions form four pairs, and
-a key is the content of two pairs (four bytes). With d = 2 at most two pairs differ, so one of the six keys agrees.
+Two 64-bit fingerprints that differ in at most 2 bits agree in at least 6 of their 8 byte positions. The index has
+posting lists of distinct fingerprints; a list stands for one byte position's content among fingerprints that share a
+prefix. So that lists stay short, the prefix is the content of two of four position pairs (four bytes; one of the six
+choices agrees for every link), and each of the four positions left has lists of its own. Partners are tallied over
+these lists: a pair that the prefix and fewer than two further positions join falls out, since six are guaranteed, and
+only what is left is verified bit by bit.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of, texts, written
@@ -66,51 +67,81 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _pair_key(column: str, pairs: tuple[tuple[int, int], ...]):
+#: The least number of byte positions in which linked fingerprints agree, and those that a prefix covers.
+GUARANTEED, COVERED = 6, 4
+
+
+def _byte(column: str, position: int) -> Column:
+    return F.shiftright(F.col(column), 8 * position).bitwiseAND(F.lit(0xFF))
+
+
+def _prefix(column: str, pairs: tuple[tuple[int, int], ...]) -> Column:
     """The 16-bit contents of two position pairs as one long."""
     parts = [F.shiftright(F.col(column), 8 * low).bitwiseAND(F.lit(0xFFFF)) for low, _ in pairs]
     return F.shiftleft(parts[0], 16).bitwiseOR(parts[1])
 
 
-def links(fps: DataFrame, max_bits: int = 2, long_list: int = 64) -> DataFrame:
-    """(u, v): edges between representatives of distinct fingerprints whose components are those of all links.
+def postings(fps: DataFrame) -> DataFrame:
+    """(slot, prefix, position, byte, fp): the inverted index of distinct `fp`, without prefixes that only one has.
+
+    A fingerprint has six prefixes, one a slot, and under each a posting for each of the four positions left.
+    """
+    slots = list(combinations(POSITION_PAIRS, 2))
+    each = F.array(*[F.struct(F.lit(i).alias("slot"), _prefix("fp", k).alias("prefix")) for i, k in enumerate(slots)])
+    entries = fps.select("fp", F.explode(each).alias("at")).select("fp", "at.slot", "at.prefix")
+    shared = entries.groupBy("slot", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("slot", "prefix")
+    entries = entries.join(shared, ["slot", "prefix"])
+    rest = F.lit(None)
+    for i, k in enumerate(slots):
+        left = [p for pair in POSITION_PAIRS if pair not in k for p in pair]
+        rest = F.when(F.col("slot") == i, F.array(*[F.struct(F.lit(p).alias("position"), _byte("fp", p).alias("byte")) for p in left])).otherwise(rest)
+    return entries.select("slot", "prefix", "fp", F.explode(rest).alias("at")).select("slot", "prefix", "at.position", "at.byte", "fp")
 
-    `fps` holds (fp, rep), fp distinct. Lists of at most `long_list` entries give their pairs: tallied, filtered by
-    the guaranteed count, verified. Longer lists hold fingerprints that agree in the list's four bytes; there each
-    entry is filed under itself and under its 32 one-bit changes in the other bytes. Entries of one such file differ
-    by at most two bits, every pair of the list within two bits shares a file, and a file holds 33 entries at most:
-    joining each entry to its file's smallest keeps all components, at 33 rows an entry, however long the list.
+
+LIST = ["slot", "prefix", "position", "byte"]
+
+
+def tallied(short: DataFrame) -> DataFrame:
+    """(u, v, shared): pairs of the postings' fingerprints, u < v, with the byte positions that prefix and lists show equal."""
+    a, b = short.withColumnRenamed("fp", "u"), short.withColumnRenamed("fp", "v")
+    return a.join(b, LIST).filter("u < v").groupBy("slot", "u", "v").agg((F.count("*") + COVERED).alias("shared"))
+
+
+def links(fps: DataFrame, max_bits: int = 2, long_list: int = 64) -> DataFrame:
+    """(u, v): edges between distinct fingerprints (column fp) whose components are those of all links.
+
+    Posting lists of at most `long_list` entries give their pairs: tallied, filtered by the guaranteed count, verified.
+    A longer list holds fingerprints that agree in five bytes; a tally would take the square of it. There each entry is
+    filed under itself and under its 24 one-bit changes in the bytes left: entries of one file differ by at most two
+    bits, every pair of the list within two bits shares a file, and a file holds 25 entries at most. Joining each entry
+    to its file's smallest keeps all components, at 25 rows an entry, however long the list. A pair that meets in a long
+    list is linked there, any other one is tallied in full.
     """
     if max_bits != 2:
         raise ValueError("the index is laid out for links of at most 2 bits")
-    keys = list(combinations(POSITION_PAIRS, 2))
-    each = F.array(*[F.struct(F.lit(i).alias("slot"), _pair_key("fp", k).alias("key")) for i, k in enumerate(keys)])
-    index = fps.select("fp", "rep", F.explode(each).alias("at")).select("fp", "rep", "at.slot", "at.key")
-    sizes = index.groupBy("slot", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    index = index.join(sizes, ["slot", "key"])
-    short, long = index.filter(F.col("n") <= long_list), index.filter(F.col("n") > long_list)
-
-    a = short.select("slot", "key", F.col("fp").alias("fa"), F.col("rep").alias("u"))
-    b = short.select("slot", "key", F.col("fp").alias("fb"), F.col("rep").alias("v"))
-    differs = F.col("fa").bitwiseXOR(F.col("fb"))
-    tally = sum((F.shiftright(differs, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for i in range(8))
-    pairs = a.join(b, ["slot", "key"]).filter(F.col("fa") < F.col("fb")).filter(tally >= 8 - max_bits)
-    near = pairs.filter(F.bit_count(differs) <= max_bits).select("u", "v")
-
-    free = {i: [8 * p + bit for pair in POSITION_PAIRS if pair not in k for p in pair for bit in range(8)] for i, k in enumerate(keys)}
+    index = written(postings(fps), "simhash-postings")
+    sizes = index.groupBy(*LIST).agg(F.count("*").alias("n"))
+    some, many = sizes.filter((F.col("n") > 1) & (F.col("n") <= long_list)), sizes.filter(F.col("n") > long_list)
+    pairs = tallied(index.join(some.drop("n"), LIST)).filter(F.col("shared") >= GUARANTEED)
+    near = pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
+
+    slots = list(combinations(POSITION_PAIRS, 2))
     mask = lambda bit: (1 << bit) - (1 << 64 if bit == 63 else 0)
-    changed = F.lit(None)
-    for i, bits in free.items():
-        changed = F.when(F.col("slot") == i, F.array(F.lit(0).cast("long"), *[F.lit(mask(x)).cast("long") for x in bits])).otherwise(changed)
-    filed = long.select("fp", "rep", F.explode(changed).alias("flip")).select("rep", F.col("fp").bitwiseXOR(F.col("flip")).alias("file")).distinct()
-    least = filed.groupBy("file").agg(F.min("rep").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    starred = filed.join(least, "file").filter("rep <> v").select(F.col("rep").alias("u"), "v")
+    changes = F.lit(None)
+    for i, k in enumerate(slots):
+        left = [p for pair in POSITION_PAIRS if pair not in k for p in pair]
+        for p in left:
+            bits = [8 * q + bit for q in left if q != p for bit in range(8)]
+            changes = F.when((F.col("slot") == i) & (F.col("position") == p), F.array(F.lit(0).cast("long"), *[F.lit(mask(x)).cast("long") for x in bits])).otherwise(changes)
+    filed = index.join(many.drop("n"), LIST).select("fp", F.explode(changes).alias("change")).select("fp", F.col("fp").bitwiseXOR(F.col("change")).alias("file")).distinct()
+    least = filed.groupBy("file").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1")
+    starred = filed.join(least, "file").filter("fp <> v").select(F.col("fp").alias("u"), "v")
     return near.unionByName(starred)
 
 
 def _rooted(distinct: DataFrame, max_bits: int) -> DataFrame:
     """`distinct`, a table of distinct fp, with its column root: the smallest fingerprint that fp reaches over links."""
-    found = connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), max_bits)).select(F.col("node").alias("fp"), "component")
+    found = connected_components(links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "component")
     return distinct.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
