@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -13,9 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new local one where it is unset in local mode.
+
+    On a cluster a local folder would be another one on each machine, so there the setting has to be made.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barwright-"))
         root = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
@@ -47,14 +53,16 @@ def fold(column: str, modulus: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, id_col: str, most: int, seed: str) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of the id, so that reruns agree; all rows if there are fewer.
+    """About `most` rows chosen by a hash of the id, so that reruns agree, never more than twice as many; all rows if there are fewer.
 
-    One count sets the share of the hash range that is kept; the expected size is `most`.
+    One count sets the share of the hash range that is kept. The hard bound only counts where a few ids hold many rows;
+    which of these rows stay is open then.
     """
     n = df.count()
     if n <= most:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)) < int(1_000_003 * most / n))
+    some = df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_003)) < int(1_000_003 * most / n))
+    return some.limit(2 * most) if some.count() > 2 * most else some
 
 
 def rows_of(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:

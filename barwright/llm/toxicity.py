@@ -1,18 +1,18 @@
 """Toxicity from a learned lexicon, matched through Levenshtein automata on a trie.
 
-Labelled documents give the lexicon: words, and beginnings of words, that appear in a larger share of toxic documents
-than of others. The words form a trie; the automaton that accepts what is one edit away from a term is intersected
-with it on the fly (states are sets of trie nodes with the edits spent, kept once made), which catches misspelled
-terms. Variants that clean documents use are words of their own and don't count. A match counts as quoted if it stands
-within quotation marks or close behind a reporting word, else as abuse; counts, densities and the densest window of
-words feed a logistic regression.
+Labelled documents give the lexicon: words, and stems of word families, that a surely larger share of toxic documents
+than of others has outside of quotations. All of them are terms of one trie, and the automaton that accepts what is one edit away from
+a word of it is intersected with the trie on the fly (states are sets of trie nodes with the edits spent, kept once
+made); nothing else finds a term in a text. Words of five letters and more may be misspelled by an edit, unless clean
+documents use the misspelling as a word of its own; shorter words and stems are matched as they are, a stem at the
+beginning of a word. A match counts as quoted if it stands within quotation marks or close behind a reporting word,
+else as abuse; counts, densities and the densest window of words feed a logistic regression.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,50 +20,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, texts
+from .common import bounded_sample, fold, shared_root, texts
 
 #: Labelled documents learned from at most; terms of each kind at most; words in a context window; chunks remembered.
 SAMPLE, TERMS, WINDOW, REMEMBERED = 12_000, 300, 25, 150_000
-STEMS = range(3, 9)
+#: Lengths of stems; letters from which a word may be misspelled; the least log odds, and the errors taken off them.
+STEMS, FUZZY, SURE, ERRORS = range(4, 10), 5, 1.5, 1.64
 _TRIM = "\"'“”„«»‹›‘’.,;:!?()[]{}<>|*#%&$-–—…_~/\\=+"
 _OPEN, _CLOSE = "\"“„«‹", "\"”“»›"
 #: Words that introduce someone else's words.
 REPORTING = frozenset("said says say wrote writes called calls quoted quotes quote word words term terms dit disait écrit mot sagte sagt schrieb wort dijo dice escribió palabra".split())
 
 
-def _terms(words: Iterable[str]) -> set[str]:
-    """What a document has: its words, and the beginnings of words as stems, marked by a star."""
-    distinct = {w.strip(_TRIM) for w in words}
+def quotation(chunks: list[str]) -> list[bool]:
+    """For each chunk whether it stands in quotation marks that close within 60 words."""
+    inside, opened = [False] * len(chunks), None
+    for i, c in enumerate(chunks):
+        if opened is None and c[0] in _OPEN and len(c) > 1:
+            opened = i
+        end = c.rstrip(".,;:!?")[-1:]
+        if opened is not None and end and end in _CLOSE and (i > opened or len(c) > 2):
+            inside[opened : i + 1] = [True] * (i + 1 - opened)
+            opened = None
+        elif opened is not None and i - opened > 60:
+            opened = None
+    return inside
+
+
+def is_quoted(chunks: list[str], inside: list[bool], i: int) -> bool:
+    """Whether the chunk at i is quoted: within quotation marks or close behind a reporting word."""
+    return inside[i] or any(chunks[j].strip(_TRIM) in REPORTING for j in range(max(0, i - 3), i))
+
+
+def _terms(chunks: list[str]) -> set[str]:
+    """What a document says in its own voice: its words, and the beginnings of words as stems, marked by a star."""
+    inside = quotation(chunks)
+    distinct = {w.strip(_TRIM) for i, w in enumerate(chunks) if not is_quoted(chunks, inside, i)}
     distinct.discard("")
     return distinct | {w[:n] + "*" for w in distinct if len(w) <= 40 for n in STEMS if len(w) > n}
 
 
 @dataclass
 class Automaton:
-    """Accepts words one edit away from a term, by walking the terms' trie with an edit to spare."""
+    """Finds the terms that a word is, starts with (terms that end in a star), or is one edit away from.
+
+    The trie has two roots: below the first are words that may be misspelled, walked with an edit to spare; below the
+    second short words and stems, walked without. match() gives the smallest number of a term, exact ones first.
+    """
 
     terms: tuple[str, ...]
-    children: list[dict[str, int]] = field(default_factory=lambda: [{}])
+    children: list[dict[str, int]] = field(default_factory=lambda: [{}, {}])
     ends: dict[int, int] = field(default_factory=dict)
-    states: dict[frozenset, int] = field(default_factory=dict)
-    sets: list[frozenset] = field(default_factory=list)
+    stems: dict[int, int] = field(default_factory=dict)
+    states: dict[tuple, int] = field(default_factory=dict)
+    sets: list[tuple] = field(default_factory=list)
     steps: list[dict[str, int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         for i, term in enumerate(self.terms):
-            node = 0
-            for c in term:
+            word = term.removesuffix("*")
+            node = 0 if word == term and len(word) >= FUZZY else 1
+            for c in word:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                 node = self.children[node][c]
-            self.ends[node] = i
-        self.state({(0, 0)})
+            (self.ends if word == term else self.stems)[node] = i
+        self.state({(0, 0), (1, 1)}, None)
 
-    def state(self, pairs: set[tuple[int, int]]) -> int:
-        """The number of a set of (node, edits), closed under leaving out a term's next letter."""
+    def state(self, pairs: set[tuple[int, int]], stem: int | None) -> int:
+        """The number of a set of (node, edits), closed under leaving out a term's next letter, and the stem met so far."""
         closed = pairs | {(child, 1) for node, e in pairs if e == 0 for child in self.children[node].values()}
-        key = frozenset(closed)
+        stem = min((self.stems[n] for n, _ in closed if n in self.stems), default=stem) if stem is None else stem
+        key = (frozenset(closed), stem)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
@@ -74,39 +103,42 @@ class Automaton:
         """The state after c, -1 if none."""
         after = self.steps[at].get(c)
         if after is None:
-            pairs = set()
-            for node, e in self.sets[at]:
+            pairs, (before, stem) = set(), self.sets[at]
+            for node, e in before:
                 if c in self.children[node]:
                     pairs.add((self.children[node][c], e))
                 if e == 0:
                     pairs.add((node, 1))
                     pairs |= {(child, 1) for child in self.children[node].values()}
-            after = self.steps[at][c] = self.state(pairs) if pairs else -1
+            after = self.steps[at][c] = self.state(pairs, stem) if pairs or stem is not None else -1
         return after
 
-    def match(self, word: str) -> int:
-        """The number of a term at most one edit away, the smallest; -1 if none."""
+    def match(self, word: str) -> tuple[int, int]:
+        """(term's number, edits); (-1, 0) if none."""
         at = 0
         for c in word:
             at = self.step(at, c)
             if at < 0:
-                return -1
-        found = [self.ends[n] for n, _ in self.sets[at] if n in self.ends]
-        return min(found) if found else -1
+                return -1, 0
+        pairs, stem = self.sets[at]
+        exact = [self.ends[n] for n, e in pairs if n in self.ends and (e == 0 or self.terms[self.ends[n]] == word)]
+        if exact or stem is not None:
+            return min([*exact, *([stem] if stem is not None else [])]), 0
+        near = [self.ends[n] for n, _ in pairs if n in self.ends]
+        return (min(near), 1) if near else (-1, 0)
 
 
 @dataclass
 class Model:
-    """Lexicon and weights. terms and stems give a log odds ratio each; allowed are variants that clean text uses."""
+    """Lexicon and weights: a term's log odds ratio (stems end in a star); allowed are variants that clean text uses."""
 
     terms: dict[str, float]
-    stems: dict[str, float]
     allowed: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
     prior: float = 0.0
 
     def __post_init__(self) -> None:
-        self.fuzzy = tuple(sorted(t for t in self.terms if len(t) >= 5))
+        self.names = tuple(sorted(self.terms))
         self.reset()
 
     def __getstate__(self) -> dict:
@@ -117,18 +149,13 @@ class Model:
         self.reset()
 
     def reset(self) -> None:
-        self.automaton, self.known = Automaton(self.fuzzy), {}
+        self.automaton, self.known = Automaton(self.names), {}
 
     def look_up(self, chunk: str) -> tuple[int, float]:
-        """(kind, weight): 0 no match, 1 a term or stem, 2 a misspelled term."""
+        """(kind, weight): 0 no match, 1 a term, 2 a misspelled term."""
         word = chunk.strip(_TRIM)
-        got = (0, 0.0)
-        if word in self.terms:
-            got = (1, self.terms[word])
-        elif stem := next((word[:n] for n in STEMS if len(word) > n and word[:n] in self.stems), None):
-            got = (1, self.stems[stem])
-        elif len(word) >= 4 and word not in self.allowed and (i := self.automaton.match(word)) >= 0:
-            got = (2, self.terms[self.fuzzy[i]])
+        i, edits = self.automaton.match(word)
+        got = (0, 0.0) if i < 0 or edits and (len(word) < FUZZY - 1 or word in self.allowed) else (1 + edits, self.terms[self.names[i]])
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(chunk) <= 64:
@@ -147,9 +174,9 @@ class Model:
             return [0.0] * 6
         abuse = quote = misspelled = 0.0
         places, distinct = [], set()
-        inside = self._quotes(chunks)
+        inside = quotation(chunks)
         for i, kind, weight in hits:
-            if inside[i] or any(chunks[j].strip(_TRIM) in REPORTING for j in range(max(0, i - 3), i)):
+            if is_quoted(chunks, inside, i):
                 quote += weight
                 quoted.append(i)
                 continue
@@ -161,21 +188,6 @@ class Model:
         densest = max((b - a for a, b in zip(range(len(places)), np.searchsorted(places, np.array(places) + WINDOW), strict=True)), default=0)
         return [float(np.log1p(abuse)), float(np.log1p(quote)), float(np.log1p(misspelled)), min(5.0, 100 * len(places) / len(chunks)), float(np.log1p(densest)), float(np.log1p(len(distinct)))]
 
-    @staticmethod
-    def _quotes(chunks: list[str]) -> list[bool]:
-        """For each chunk whether it stands in quotation marks that close within 60 words."""
-        inside, opened = [False] * len(chunks), None
-        for i, c in enumerate(chunks):
-            if opened is None and c[0] in _OPEN and len(c) > 1:
-                opened = i
-            if opened is not None and c.rstrip(".,;:!?")[-1:] and c.rstrip(".,;:!?")[-1] in _CLOSE and (i > opened or len(c) > 2):
-                for j in range(opened, i + 1):
-                    inside[j] = True
-                opened = None
-            elif opened is not None and i - opened > 60:
-                opened = None
-        return inside
-
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(features), self.prior)
@@ -209,38 +221,58 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
+def lexicon(counted: list[tuple[str, float, float]], bad: int, good: int) -> dict[str, float]:
+    """The terms among (word or stem with a star, toxic documents, other documents), with their log odds ratios.
+
+    A term's odds count less `ERRORS` standard errors. A stem stands for a family of words: one of its words that has
+    half of the stem's documents is a term by itself instead, and of nested stems the best one stays, the longest on
+    ties. Words of a family that is in by its stem are not listed again.
+    """
+    odds = {t: float(np.log(((b + 0.5) / (bad + 1)) / ((g + 0.5) / (good + 1)))) for t, b, g in counted}
+    sure = {t: odds[t] - ERRORS * np.sqrt(1 / (b + 0.5) + 1 / (g + 0.5)) for t, b, g in counted}
+    docs = {t: b for t, b, _ in counted}
+    best = sorted((t for t in odds if sure[t] > SURE), key=lambda t: (-sure[t] * np.sqrt(docs[t]), -len(t), t))
+    words, heads = [t for t in best if not t.endswith("*")], Counter()
+    for w in words:
+        for n in range(1, len(w) + 1):
+            heads[w[:n]] = max(heads[w[:n]], docs[w])
+    stems: list[str] = []
+    for t in best:
+        stem = t[:-1]
+        if t.endswith("*") and len(stems) < TERMS and heads[stem] < docs[t] / 2 and not any(stem.startswith(s) or s.startswith(stem) for s in stems):
+            stems.append(stem)
+    words = [w for w in words if not any(w.startswith(s) for s in stems)][:TERMS]
+    return {t: odds[t] for t in [*words, *(s + "*" for s in stems)]}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int = 5, held: int = 0) -> Model:
     """A model from labelled documents outside of the held-out fold: at most about `sample`, chosen by a hash of the id.
 
-    Rows without text or label are left out; without both classes the score is the classes' share (0 if no rows).
-    Document frequencies are counted by Spark; terms (at most `TERMS` words and stems) and features of the sample
-    reach the driver.
+    Rows without text or label are left out, an id with several labels has the largest; without both classes the score
+    is the classes' share (0 if no rows). Document frequencies are counted by Spark; candidates for the lexicon (the
+    most telling words and stems, a bounded number of each) and features of the sample reach the driver.
     """
     ids = texts(labels, "doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held))
-    some = bounded_sample(ids, "doc_id", sample, "toxicity")
-    known = texts(docs, "doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).checkpoint()
-    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    some = bounded_sample(ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", sample, "toxicity")
+    known = texts(docs, "doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    shared_root(docs.sparkSession)
+    known = known.checkpoint()
+    counted = lambda: {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = counted()
+    if sum(sizes.values()) > 2 * sample:  # a few ids that hold many texts
+        known = known.limit(2 * sample).checkpoint()
+        sizes = counted()
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
-        return Model({}, {}, prior=bad / max(1, bad + good))
+        return Model({}, prior=bad / max(1, bad + good))
     counts = _counted(known, _terms).groupBy("term").pivot("toxic", [0, 1]).agg(F.sum("n")).fillna(0).select("term", F.col("0").alias("g"), F.col("1").alias("b"))
-    odds = F.log(((F.col("b") + 0.5) / (bad + 1)) / ((F.col("g") + 0.5) / (good + 1)))
-    rare = max(5, bad // 80)
-    chosen = counts.filter((F.col("b") >= rare) & (odds > 1.5)).withColumn("odds", odds).orderBy(F.desc(odds * F.sqrt("b")), "term").limit(8 * TERMS).collect()
-    exact = {r.term: r.odds for r in chosen if not r.term.endswith("*")}
-    stems: dict[str, float] = {}
-    for r in sorted((r for r in chosen if r.term.endswith("*")), key=lambda r: (len(r.term), r.term)):
-        stem = r.term[:-1]
-        if len(stems) < TERMS and r.odds > 2 and not any(stem.startswith(s) for s in stems) and r.b >= 2 * rare:
-            stems[stem] = r.odds
-    words = {t: o for t, o in sorted(exact.items(), key=lambda x: -x[1]) if o > 2 and not any(t.startswith(s) for s in stems if len(t) > len(s))}
-    words = dict(list(words.items())[:TERMS])
-    stems = {s: o for s, o in stems.items() if not any(s.startswith(w) or w.startswith(s) for w in words)}
-    model = Model(words, stems)
+    odds = F.log(((F.col("b") + 0.5) / (bad + 1)) / ((F.col("g") + 0.5) / (good + 1))) - ERRORS * F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
+    telling = counts.filter((F.col("b") >= max(5, bad // 80)) & (odds > SURE)).withColumn("w", odds * F.sqrt("b"))
+    kinds = [telling.filter(F.col("term").endswith("*") == star).orderBy(F.desc("w"), "term").limit(8 * TERMS) for star in (False, True)]
+    model = Model(lexicon([(r.term, r.b, r.g) for k in kinds for r in k.collect()], bad, good))
 
     def variants(chunks: list[str]) -> set[str]:
-        distinct = {w.strip(_TRIM) for w in chunks}
-        return {w for w in distinct if len(w) >= 4 and w not in model.terms and model.automaton.match(w) >= 0}
+        return {w for w in {w.strip(_TRIM) for w in chunks} if model.automaton.match(w)[1]}
 
     clean = _counted(known.filter("toxic = 0"), variants)
     model.allowed = frozenset(r.term for r in clean.select("term").distinct().collect())
@@ -267,13 +299,20 @@ def _scored(model: Model, raw: bool = False):
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): the toxicity of each row's whole text; null and empty texts are scored as texts without matches."""
+    """(doc_id, score): the toxicity of each row's whole text; null and empty texts are scored as texts without matches.
+
+    Every row gives one, repeated ones and rows without an id too; an empty table gives none. Other columns, whatever
+    their names, are not read.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_scored(model), "doc_id long, score double")
 
 
 def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows whose score is below `limit`, all columns as they are."""
+    """The rows whose score is below `limit`, all columns as they are, repeated rows too.
+
+    Null and empty texts are scored as texts without matches; an empty table gives no rows.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
