@@ -1,10 +1,11 @@
-"""Media columns: payloads stored by content in tar shards, described by rows of digest, offset and length.
+"""Media columns: payloads stored by content in tar shards, described by rows of digest, shard, offset and length.
 
 A text's UTF-8 bytes, filled up with bytes 0 to a positive multiple of 64, become the samples of an 8-bit greyscale
 PNG, 64 samples a line. Every task packs the images of its rows into tar shards of bounded size under the shared
 folder; a shard holds equal images once, under the image's SHA-256, and is itself named by what it holds, so a task
-that runs again writes the same file. The rows keep (shard, offset, length): metadata come from range reads of an
-image's first 33 bytes, samples from a range read of the whole image.
+that runs again writes the same file. Rows name images by digest; an index has one place (shard, offset, length) for
+each digest, whichever task stored it, so that equal texts are read, checked and described once. Width and height come
+from range reads of an image's first 33 bytes alone; samples are only read where features need them.
 """
 
 from __future__ import annotations
@@ -100,20 +101,32 @@ class _Shard:
         self.out.write(bytes(1024))
         self.out.close()
         final = f"{self.folder}/{hashlib.sha256(''.join(self.at).encode()).hexdigest()[:32]}.tar"
-        self.fs.move(self.name, final)
+        if self._stored(final):  # by an earlier attempt of the task; some stores refuse to rename onto a file
+            self.fs.delete_file(self.name)
+        else:
+            try:
+                self.fs.move(self.name, final)
+            except OSError:
+                if not self._stored(final):
+                    raise
+                self.fs.delete_file(self.name)
         ids, sizes, digests, offsets, lengths = zip(*self.rows, strict=True)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array([scheme + final] * len(ids), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
             ["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
         )
 
+    def _stored(self, path: str) -> bool:
+        return self.fs.get_file_info(path).type == fs.FileType.File
 
-def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 64 << 20) -> DataFrame:
+
+def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 64 << 20, shard_rows: int = 50_000) -> DataFrame:
     """(doc_id, n_bytes, digest, shard, offset, length) of every row, its image stored in a tar shard under `folder`.
 
     Null text is stored as an empty one: 64 bytes 0. Equal texts give equal images and digests; a shard stores them
-    once. A shard closes when it passes `shard_bytes`. The index is written to the shared folder, so images are
-    stored once whatever reads it. An empty table gives an empty index.
+    once. A shard closes when it passes `shard_bytes` or has `shard_rows` rows. The index is written to the shared
+    folder, so images are stored once whatever reads it. Rows that share an id or have none are rows of their own;
+    columns other than id and text are not read; an empty table gives an empty index.
     """
     scheme = folder[: folder.index("://") + 3] if "://" in folder else ""
 
@@ -123,7 +136,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             for doc_id, text in zip(b.column(0).to_pylist(), rows_of(b, "text"), strict=True):
                 shard = shard or _Shard(folder)
                 shard.add(doc_id, len(text), encode(padded(text)))
-                if shard.size >= shard_bytes:
+                if shard.size >= shard_bytes or len(shard.rows) >= shard_rows:
                     yield shard.close(scheme)
                     shard = None
         if shard:
@@ -133,11 +146,15 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     return written(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media-index")
 
 
-def _near(index: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """index dealt out so that a task reads neighbouring images, in order, about `chunk_bytes` of them."""
+def objects(index: DataFrame, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """(digest, shard, offset, length): one place for each stored image, the first of those it lies at.
+
+    They are dealt out so that a task reads neighbouring images, in order, about `chunk_bytes` of them.
+    """
+    places = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.shard", "at.offset", "at.length")
     total = index.agg(F.sum("length")).first()[0] or 0
     parts = max(index.sparkSession.sparkContext.defaultParallelism, total // chunk_bytes)
-    return index.repartition(parts, "shard", F.floor(F.col("offset") / F.lit(chunk_bytes // 8))).sortWithinPartitions("shard", "offset")
+    return places.repartition(parts, "shard", F.floor(F.col("offset") / F.lit(chunk_bytes // 8))).sortWithinPartitions("shard", "offset")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -157,8 +174,8 @@ def _ranges(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tup
         source.close()
 
 
-def headers(index: DataFrame) -> DataFrame:
-    """index with width, height and bits, from the images' headers alone."""
+def headers(objects: DataFrame) -> DataFrame:
+    """objects with width, height and bits, from the first 33 bytes of each image alone; rows stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, heads in _ranges(batches, HEADER_BYTES):
@@ -166,33 +183,43 @@ def headers(index: DataFrame) -> DataFrame:
             more = [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "width", "height", "bits"])
 
-    fields = ", ".join(f"{c} {t}" for c, t in index.dtypes)
-    return _near(index).mapInArrow(run, f"{fields}, width int, height int, bits int")
+    fields = ", ".join(f"{c} {t}" for c, t in objects.dtypes)
+    return objects.mapInArrow(run, f"{fields}, width int, height int, bits int")
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """index with the payload's and the image's sizes and digests and the payload's feature, all from stored bytes.
+def read_back(objects: DataFrame) -> DataFrame:
+    """objects with payload_sha256, tail_crc32 and feature of the samples, read from the stored images.
 
-    A stored image whose digest is not the row's raises.
+    An image whose digest is not the row's, or whose samples are not as many as its header says, raises.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, images in _ranges(batches, None):
-            found = []
-            for image, digest in zip(images, b.column(b.schema.get_field_index("digest")).to_pylist(), strict=True):
-                width, height, _ = read_header(image[:HEADER_BYTES])
-                if (own := hashlib.sha256(image).hexdigest()) != digest:
-                    raise ValueError(f"stored image {digest} reads as {own}")
+            found, column = [], {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            for image, digest, width, height in zip(images, column["digest"], column["width"], column["height"], strict=True):
                 payload = decode(image)
-                found.append((width * height, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), own, feature(payload)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            more = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                if hashlib.sha256(image).hexdigest() != digest or len(payload) != width * height:
+                    raise ValueError(f"stored image {digest} reads otherwise")
+                found.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature(payload)))
+            more = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "payload_sha256", "tail_crc32", "feature"])
+
+    fields = ", ".join(f"{c} {t}" for c, t in objects.dtypes)
+    return objects.mapInArrow(run, f"{fields}, payload_sha256 string, tail_crc32 long, feature string")
 
-    fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _near(index).mapInArrow(run, f"doc_id long, n_bytes long, {fields}")
+
+def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of `docs` with its image's place, header and features: store, headers, read_back and a join on the digest."""
+    index = store(docs, folder, id_col, text_col)
+    found = read_back(headers(objects(index)))
+    return index.select("doc_id", "n_bytes", "digest").join(found, "digest")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from images stored in the shared folder and read back."""
-    return read_back(store(texts(docs, "doc_id", "text"), scratch_path(docs.sparkSession, "media")))
+    """The contract's columns, from images stored in the shared folder and read back, and shard, offset, width and height.
+
+    payload_bytes is the header's width times its height; media_bytes the stored length.
+    """
+    rows = media_columns(texts(docs, "doc_id", "text"), scratch_path(docs.sparkSession, "media"))
+    size = (F.col("width").cast("long") * F.col("height")).alias("payload_bytes")
+    return rows.select("doc_id", "n_bytes", size, "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("digest").alias("media_sha256"), "feature", "shard", "offset", "width", "height")
