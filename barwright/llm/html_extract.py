@@ -1,11 +1,13 @@
 """Main text from HTML by text-to-tag ratios.
 
 The standard library's parser streams a page's events; block-level tags end lines. A line keeps its text, the number
-of tags met since the line before, how much of its text is in links, and the container it lies in: the article or main
-element around it, else the closest sectioning element. Lines inside menus, headers, footers, sidebars, adverts,
-notices, forms and comments are set aside as they stream by. The ratio of text to tags is smoothed with a Gaussian over
-the other lines and clustered by a threshold halfway between two means; containers that hold a line of the high
-cluster are the content regions, articles before anything else.
+of tags met since the line before, how much of its text is in links, and the container it lies in. What HTML's own
+elements say is no main text (menus, footers, forms, scripts and so on) is set aside as it streams by. The ratio of
+text to tags is smoothed with a Gaussian over the lines and clustered by a threshold halfway between two means; class
+names that hint at other parts lower a line's score, no more. The lines of the high cluster are the core. The content
+region is the smallest container that holds nearly all of it, or the articles where a page has some; in it, hinted
+containers go whose score is low, and so do containers without core that are lists of links or of short lines.
+Everything else in the region stays.
 """
 
 from __future__ import annotations
@@ -22,46 +24,58 @@ from pyspark.sql import functions as F
 from .common import texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never main text.
-ASIDE = frozenset("script style noscript template head title svg math canvas iframe object audio video nav footer aside menu dialog form button select textarea input label fieldset datalist option".split())
+#: Elements and roles whose content is never main text.
+ASIDE = frozenset("script style noscript template head title svg canvas iframe object audio video nav footer aside menu dialog form button select textarea datalist option".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul footer aside".split()
 )
 SECTIONS = frozenset("article main section div body td blockquote details figure".split())
 ARTICLES = frozenset(("article", "main"))
-#: Words of class, id and role that mark other parts than main text, and words of wrappers that may hold them beside it.
-ODD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar sidenav menu nav navbar navigation topnav breadcrumb breadcrumbs footer foot comment comments commentlist discussion disqus reply replies respond related recommended recommendations pagination pager toolbar masthead complementary contentinfo search tags skip disclaimer".split()
+#: Words of class, id and label that hint at other parts than main text, and words of wrappers that may hold them beside it.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social sidebar sidenav menu nav navbar navigation topnav breadcrumb breadcrumbs footer comment comments commentlist discussion disqus reply replies respond related recommended recommendations pagination pager".split()
 )
-HEADS = frozenset("header topbar masthead".split())
+WEAK = frozenset("foot header topbar masthead toolbar signup login search tags skip disclaimer label".split())
 WRAPPERS = frozenset("content main article post page wrapper wrap container layout row body entry story has with no".split())
+#: What a hint takes off a score (scores are logarithms of ratios); how far apart the clusters' means have to be.
+STRONG_COST, WEAK_COST, GAP = 3.0, 1.0, 1.4
+#: The share of the core that a region holds, and the lines that make a list.
+REGION, LIST = 0.85, 3
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _odd(attrs: list[tuple[str, str | None]]) -> bool:
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether the element isn't shown, or its role sets it aside."""
+    return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "role" and v in ROLES or n == "style" and v and re.search(r"display\s*:\s*none", v) for n, v in attrs)
+
+
+def _cost(attrs: list[tuple[str, str | None]]) -> float:
+    """What the element's names take off the scores of its lines."""
+    cost = 0.0
     for name, value in attrs:
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
-        if value and name in ("class", "id", "role", "aria-label") or name == "itemtype" and value and "Comment" in value:
+        if value and name in ("class", "id", "aria-label") or name == "itemtype" and value and "Comment" in value:
             words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-            if words & ODD_WORDS and (not words & WRAPPERS or any(w.startswith(("comment", "advert", "cookie")) for w in words) or name == "role"):
-                return True
-        elif name == "style" and value and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            if not words & WRAPPERS or any(w.startswith(("comment", "advert", "cookie")) for w in words):
+                cost = max(cost, STRONG_COST * bool(words & STRONG), WEAK_COST * bool(words & WEAK))
+    return cost
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines: (text, tags, characters in links, container's number, whether that is an article)."""
+    """Collects a page's lines: (text, tags, characters in links, container's number).
+
+    containers[i]: (parent's number, what its names take off, whether it is an article, whether it lies in one).
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, int, bool]] = []  # tag, container around its content, whether that is an article
-        self.skip_at, self.articles, self.links = 0, 0, 0  # skip_at: the stack's height with the element set aside, or 0
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.containers: list[tuple[int, float, bool, bool]] = [(-1, 0.0, False, False)]
+        self.open: list[tuple[str, int]] = []  # tag, container around its content
+        self.skip_at, self.links = 0, 0  # skip_at: the stack's height with the element set aside, or 0
         self.parts: list[str] = []
-        self.tags, self.linked, self.containers = 0, 0, 0
+        self.tags, self.linked = 0, 0
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """Marked sections outside of XML are bogus comments."""
@@ -71,15 +85,14 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                _, container, article = self.open[-1] if self.open else ("", 0, False)
-                self.lines.append((text, self.tags, self.linked, container, article))
+                self.lines.append((text, self.tags, self.linked, self.open[-1][1] if self.open else 0))
                 self.tags = self.linked = 0
             self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skip_at:
             if tag not in VOID:
-                self.open.append((tag, 0, False))
+                self.open.append((tag, 0))
             return
         self.tags += 1
         if tag in BLOCKS:
@@ -88,18 +101,19 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, container, article = self.open[-1] if self.open else ("", 0, False)
-        if tag in ARTICLES:
-            article = True
-            self.containers += 1
-            container = self.containers
-        elif tag in SECTIONS and not article:
-            self.containers += 1
-            container = self.containers
-        odd = tag in ASIDE or tag not in ("html", "body", *ARTICLES) and attrs and _odd(attrs) or not article and (tag == "header" or any(n in ("class", "id") and v in HEADS for n, v in attrs))
-        self.open.append((tag, container, article))
+        at = self.open[-1][1] if self.open else 0
+        inside = self.containers[at][3]
+        whole = tag in ("html", "body")
+        aside = tag in ASIDE or tag == "header" and not inside or not whole and tag not in ARTICLES and attrs and _hidden(attrs)
+        cost = _cost(attrs) if attrs and not whole else 0.0
+        if not aside and (tag in SECTIONS or cost):
+            self.containers.append((at, cost, tag in ARTICLES, inside or tag in ARTICLES))
+            at = len(self.containers) - 1
+            if cost:
+                self.flush()
+        self.open.append((tag, at))
         self.links += tag == "a"
-        if odd:
+        if aside:
             self.flush()
             self.skip_at = len(self.open)
 
@@ -118,10 +132,10 @@ class Lines(HTMLParser):
                 return
             self.skip_at = 0
         self.tags += 1
-        if any(t in BLOCKS for t, _, _ in self.open[i:]):
+        around = self.open[i - 1][1] if i else 0
+        if any(t in BLOCKS or at != around for t, at in self.open[i:]):
             self.flush()
-        self.links -= sum(t == "a" for t, _, _ in self.open[i:])
-        self.links = max(0, self.links)
+        self.links = max(0, self.links - sum(t == "a" for t, _ in self.open[i:]))
         del self.open[i:]
 
     def handle_data(self, data: str) -> None:
@@ -131,6 +145,11 @@ class Lines(HTMLParser):
                 self.linked += len(data)
 
 
+def ratios(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """Characters outside of links for each tag before the line's end, as logarithms."""
+    return np.log1p(np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in lines], np.float64))
+
+
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     """x under a Gaussian of three sigma to each side, renormalised at the ends."""
     half = int(3 * sigma)
@@ -139,15 +158,20 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def halfway(x: np.ndarray) -> float:
-    """The threshold between two clusters of x: halfway between the means of what is below and above it."""
-    t = float(x.mean())
+    """The threshold between two clusters of x: halfway between the means of what is below and above it.
+
+    Values whose clusters' means lie closer than `GAP` are one cluster, the high one.
+    """
+    t, apart = float(x.mean()), 0.0
     for _ in range(20):
         low, high = x[x < t], x[x >= t]
-        new = (float(low.mean()) + float(high.mean())) / 2 if len(low) and len(high) else t
+        if not len(low) or not len(high):
+            break
+        apart, new = float(high.mean()) - float(low.mean()), (float(low.mean()) + float(high.mean())) / 2
         if abs(new - t) < 1e-6:
             break
         t = new
-    return t
+    return t if apart >= GAP else -np.inf
 
 
 def main_text(html: str, sigma: float = 1.0) -> str:
@@ -156,15 +180,50 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.skip_at or parser.flush()
-    lines = parser.lines
+    lines, boxes = parser.lines, parser.containers
+    if any(boxes[at][3] for *_, at in lines):
+        lines = [x for x in lines if boxes[x[3]][3]]
     if not lines:
         return ""
-    if any(article for *_, article in lines):
-        lines = [x for x in lines if x[4]]
-    ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines], np.float64)
-    smooth = smoothed(np.log1p(ratio), sigma)
-    regions = {x[3] for x, r in zip(lines, smooth >= halfway(smooth), strict=True) if r}
-    return "\n\n".join(text for text, _, linked, container, article in lines if container in regions and (article or 2 * linked <= len(text)))
+    total_cost = [0.0] * len(boxes)
+    for i, (parent, cost, *_) in enumerate(boxes):
+        total_cost[i] = max(cost, total_cost[parent] if parent >= 0 else 0.0)
+    score = smoothed(ratios(lines), sigma) - np.array([total_cost[at] for *_, at in lines])
+    limit = halfway(score)
+    core = score >= limit
+
+    size, linked, chars, held, points = (np.zeros(len(boxes)) for _ in range(5))  # by container: core, links, text, lines, scores
+    for (text, _, links, at), high, s in zip(lines, core, score, strict=True):
+        size[at] += len(text) * high
+        linked[at] += links
+        chars[at] += len(text)
+        held[at] += 1
+        points[at] += s
+    for i in range(len(boxes) - 1, 0, -1):
+        for sums in (size, linked, chars, held, points):
+            sums[boxes[i][0]] += sums[i]
+    region = 0
+    children: list[list[int]] = [[] for _ in boxes]
+    for i, (parent, *_) in enumerate(boxes):
+        if parent >= 0:
+            children[parent].append(i)
+    while best := [c for c in children[region] if size[c] and size[c] >= REGION * size[0]]:
+        region = best[0]
+
+    kept = [False] * len(boxes)
+    kept[region] = True
+    for i in range(region + 1, len(boxes)):  # parents come before their children
+        parent, cost, article, inside = boxes[i]
+        if kept[parent] and held[i]:
+            if cost:
+                kept[i] = points[i] / held[i] >= limit
+            elif size[i]:
+                kept[i] = True
+            else:
+                kept[i] = not article if inside else 2 * linked[i] <= chars[i] and held[i] < LIST
+    menu = [not high and not boxes[x[3]][3] and 2 * x[2] > len(x[0]) for x, high in zip(lines, core, strict=True)]
+    runs = [m and (menu[i - 1 : i] == [True] or menu[i + 1 : i + 2] == [True]) for i, m in enumerate(menu)]
+    return "\n\n".join(text for (text, _, _, at), run in zip(lines, runs, strict=True) if kept[at] and not run)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sigma: float = 1.0) -> DataFrame:
