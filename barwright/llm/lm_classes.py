@@ -16,6 +16,7 @@ other words meet their texts in a join on the word.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, rows_of, texts, written
@@ -192,114 +193,130 @@ class Model:
     distinct: int
 
 
-def most_counted(counts: DataFrame, most: int = COUNTED) -> dict[bytes, int]:
-    """The words with the largest counts, most frequent first (ties by word), as many whole steps of counts as hold `most` words.
+def most_counted(counts: DataFrame, most: int = COUNTED) -> tuple[dict[bytes, int], Column]:
+    """At most `most` words with the largest counts, most frequent first (ties by word), and the condition that picks them.
 
-    Words are tallied by a sixteenth of the count's binary logarithm; the smallest count of the last step that fits
-    is the limit, so that no sort of all words is needed and at most `most` of them reach the driver.
+    Words are tallied by a sixteenth of the count's binary logarithm, so that no sort of all words is needed. Steps are
+    taken whole from the top; of the first one that no longer fits, a hash of the word picks as large a share as does.
     """
     step = F.floor(F.log2(F.col("c").cast("double")) * 16)
-    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()
-    limit, held = None, 0
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    held, chosen = 0, F.lit(False)
     for r in steps:
-        held += r.n
-        if held > most:
+        if held + r.n > most:
+            share = (most - held - 3 * math.sqrt(most - held)) / r.n
+            if share > 0:
+                chosen = chosen | ((step == r.step) & (F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < int(share * (1 << 40))))
             break
-        limit = r.least
-    if limit is None:
-        return {}
-    rows = counts.filter(F.col("c") >= limit).collect()
-    return {r.word.encode(): int(r.c) for r in sorted(rows, key=lambda r: (-r.c, r.word))}
+        held += r.n
+        chosen = step >= r.step
+    rows = counts.filter(chosen).collect()
+    return {r.word.encode(): int(r.c) for r in sorted(rows, key=lambda r: (-r.c, r.word))}, chosen
 
 
-def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, spans: tuple[int, int], tailed: bool) -> DataFrame:
-    """(word, id, side, n): how often each class stands before (side = class) or after (CLASSES + class) a word.
+def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int) -> DataFrame:
+    """(word, id, sides, times): which classes stand beside a word and how often, one row for each task and word or more.
 
-    Words with codes in `spans` come by their code as id, and then side 2 * CLASSES counts how often the word follows
-    itself; if `tailed`, words that are not among `words` come by themselves, with a null id. `first`: code -> class.
+    Side c is class c before the word, CLASSES + c class c after it, 2 * CLASSES that it follows itself. Words with
+    codes from `low` on come by their code as id, words that are not among `words` by themselves. `first`: code -> class.
+    sides are unsigned bytes, times unsigned 32-bit numbers.
     """
-    low, high = spans
+    n = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total, held, size, others = Codes(words), np.zeros(max(high - low, 0) * SIDES, np.int32), [], 0, Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(others)
-            arrays = [pa.array([k[0] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(others.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["word", "at", "n"])
-
-        def tally() -> None:
-            nonlocal size
-            if held:
-                at, n = np.unique(np.concatenate(held), return_counts=True)
-                total[at] += n.astype(np.int32)
-                held.clear()
-                size = 0
+        codes, total, held, size, local = Codes(words), np.zeros((n - low) * SIDES, np.int32), [], 0, {}
+
+        def rows(keys: np.ndarray, times: np.ndarray, by: pa.Array, by_id: bool) -> pa.RecordBatch:
+            """One row for each word among keys (ascending; place in `by` times SIDES plus side)."""
+            word, side = keys // SIDES, (keys % SIDES).astype(np.uint8)
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            edges = np.append(begin, len(word))
+            cut = lambda x, width: pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(x.tobytes())])
+            named = by.take(pa.array(word[begin]))
+            none = pa.nulls(len(begin), pa.string() if by_id else pa.int64())
+            return pa.RecordBatch.from_arrays([none if by_id else named, named if by_id else none, cut(side, 1), cut(times.astype(np.uint32), 4)], ["word", "id", "sides", "times"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, local
+            keys, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            known = int(np.searchsorted(keys, len(total)))
+            total[keys[:known]] += times[:known].astype(np.int32)
+            if local:
+                yield rows(keys[known:] - len(total), times[known:], pa.array(list(local), pa.binary()).cast(pa.string()), False)
+            held, size, local = [], 0, {}
 
         for b in batches:
             for t in rows_of(b, "text"):
                 tokens = t.lower().split()
                 code = codes.of(tokens)
                 around = np.concatenate(([0], first[code], [0]))
-                before, after = around[:-2], around[2:] + CLASSES
-                same = code[1:] == code[:-1]
-                inside = (code >= low) & (code < high)
-                for sides, self_ in ((before, np.concatenate(([False], same))[: len(code)]), (after, np.concatenate((same, [False]))[: len(code)])):
-                    at = (code - low) * SIDES + sides
-                    held.append(at[inside & ~self_])
-                held.append(((code[1:] - low) * SIDES + 2 * CLASSES)[same & inside[1:]])
+                own = code - low
+                for i in np.flatnonzero(code >= n).tolist():
+                    own[i] = n - low + local.setdefault(tokens[i], len(local))
+                same = (code[1:] == code[:-1]) & (code[1:] < n)
+                alone = np.concatenate(([False], same))[: len(code)], np.concatenate((same, [False]))[: len(code)]
+                wanted = own >= 0
+                for side, itself in ((around[:-2], alone[0]), (around[2:] + CLASSES, alone[1])):
+                    held.append((own * SIDES + side)[wanted & ~itself])
+                held.append((own * SIDES + 2 * CLASSES)[wanted & alone[0]])
                 size += 2 * len(code)
-                if size > 1_000_000:
-                    tally()
-                if tailed:
-                    for i in np.flatnonzero(code >= codes.n).tolist():
-                        others[tokens[i], int(before[i])] += 1
-                        others[tokens[i], int(after[i])] += 1
-                    if len(others) > HELD:
-                        yield out()
-                        others.clear()
-        tally()
-        if others:
-            yield out()
+                if size > 1_000_000 or len(local) > HELD:
+                    yield from flush()
+        yield from flush()
         found = np.flatnonzero(total)
-        for i in range(0, len(found), 1 << 18):
-            at = found[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at + low * SIDES, pa.int64()), pa.array(total[at].astype(np.int64))], ["word", "at", "n"])
+        for part in np.array_split(found, max(1, len(found) >> 18)) if len(found) else ():
+            yield rows(part, total[part], pa.array(np.arange(low, n)), True)
 
-    counts = train.select("text").mapInArrow(run, "word string, at long, n long").groupBy("word", "at").agg(F.sum("n").alias("n"))
-    by_id = F.col("word").isNull()
-    return counts.select("word", F.when(by_id, F.floor(F.col("at") / SIDES)).alias("id"), F.when(by_id, F.pmod("at", F.lit(SIDES))).otherwise(F.col("at")).alias("side"), "n")
+    return train.select("text").mapInArrow(run, "word string, id long, sides binary, times binary")
 
 
 def assigned(near: DataFrame, m: np.ndarray, words: list[bytes], cls: np.ndarray) -> DataFrame:
-    """(word, id, class): each word's best class, as exchange would move it from its bucket's, all from the same counts `m`."""
+    """(word, id, class): the best class of each word seen `LEAST` times, as exchange would move it from its bucket's.
+
+    All are judged from the same counts `m`. A word's rows, at most a few for each task, are sorted to stand together
+    and summed as they stream by.
+    """
+
+    def best(word: str | None, i: int | None, n: np.ndarray) -> int:
+        c, r, own = n[:CLASSES], n[CLASSES:-1], n[-1]
+        a = cls[FREQUENT + bucket_of(words[i] if word is None else word.encode())]
+        rest = m.copy()
+        rest[a] -= r
+        rest[:, a] -= c
+        rest[a, a] -= own
+        gain = _gains(np.maximum(rest, 0), r, c, own)
+        b = int(gain.argmax())
+        return b if gain[b] > gain[a] + 1e-9 else int(a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, out = None, np.zeros(SIDES), []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in out], pa.string()), pa.array([k[1] for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["word", "id", "class"])
+
         for b in batches:
-            found = []
             for word, i, sides, times in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
-                n = np.zeros(SIDES)
-                n[sides] = times
-                c, r, own = n[:CLASSES], n[CLASSES:-1], n[-1]
-                a = cls[FREQUENT + bucket_of(words[i] if word is None else word.encode())]
-                rest = m.copy()
-                rest[a] -= r
-                rest[:, a] -= c
-                rest[a, a] -= own
-                gain = _gains(np.maximum(rest, 0), r, c, own)
-                best = int(gain.argmax())
-                found.append(best if gain[best] > gain[a] + 1e-9 else int(a))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["word", "id", "class"])
-
-    rows = near.groupBy("word", "id").agg(F.collect_list(F.struct("side", "n")).alias("x")).select("word", "id", F.col("x.side").alias("sides"), F.col("x.n").alias("times"))
-    return rows.mapInArrow(run, "word string, id long, class long")
+                if (word, i) != key:
+                    if n[:CLASSES].sum() + n[-1] >= LEAST:
+                        out.append((key, best(*key, n)))
+                    key, n = (word, i), np.zeros(SIDES)
+                n[np.frombuffer(sides, np.uint8)] += np.frombuffer(times, np.uint32)
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+        if n[:CLASSES].sum() + n[-1] >= LEAST:
+            out.append((key, best(*key, n)))
+        yield batch()
+
+    dealt = near.repartition("word", "id").sortWithinPartitions("word", "id")
+    return dealt.mapInArrow(run, "word string, id long, class long")
 
 
 def fit(train: DataFrame, counts: DataFrame, words: int, distinct: int, ends: int, most: int = COUNTED) -> tuple[Model, DataFrame]:
     """The model of the texts in `train`, whose word counts are `counts` (summing to `words`), and (word, c, class) of all
     words outside of its bounded table; class is null for those that keep their bucket's.
     """
-    counted = most_counted(counts, most)
+    counted, chosen = most_counted(counts, most)
     known, frequent = list(counted), list(counted)[:FREQUENT]
     pairs = pair_counts(train, frequent)
     cls = exchange(pairs)
@@ -308,12 +325,8 @@ def fit(train: DataFrame, counts: DataFrame, words: int, distinct: int, ends: in
     first = np.array([*cls[: len(frequent)], *[cls[FREQUENT + bucket_of(w)] for w in known[len(frequent) :]], *cls[FREQUENT:END]], np.int64)
     often = sum(c >= LEAST for c in counted.values())
     own = max(len(frequent), often)
-    tail = counts.filter(F.col("c") < (counted[known[-1]] if known else 1 << 62))
-    common = tail.filter(F.col("c") >= LEAST)
-    near = neighbours(train, known, first, (len(frequent), own), tailed := bool(common.head(1)))
-    if tailed:
-        near = written(near, "lm-neighbours")
-        near = near.filter("word is null").unionByName(near.filter("word is not null").join(common.select("word"), "word", "left_semi"))
+    tail = counts.filter(~chosen)
+    near = neighbours(train, known, first, len(frequent))
     found = written(assigned(near, m, known, cls), "lm-classes")
     classes = first.copy()
     for r in found.filter("word is null").collect():
@@ -436,8 +449,9 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, most: int = COUNTED
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row.
 
     The model learns from the whole texts of all rows outside of the held-out fold; null text is an empty one, which
-    has its end alone. Rows that share an id are texts of their own. Without training rows both scores come from
-    the smoothing alone. An empty table gives no rows. Every task gets the counts and classes of `most` words.
+    has its end alone. Rows that share an id are texts of their own, repeated rows too. Without training rows both
+    scores come from the smoothing alone. An empty table gives no rows; other columns are not read. Every task gets the
+    counts and classes of `most` words; which these are changes no score, since all other words meet theirs in a join.
     """
     rows = texts(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), (fold("doc_id", modulus) == held).alias("held_out"), "text")
     train = rows.filter("not held_out")
