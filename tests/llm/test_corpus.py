@@ -62,6 +62,49 @@ def test_html_without_article_and_broken():
     assert html_extract.main_text("") == ""
 
 
+LONG_LINE = "A paragraph of the story that goes on for quite a while, as paragraphs of stories do, and says something. " * 3
+PLAIN = f"""<body><div><p><a href=a>Home</a></p><p><a href=b>About us</a></p></div>
+<div><h1>The story</h1><p>{LONG_LINE}</p><p>{LONG_LINE}</p><div class="tags"><p>A short block, which is part of it.</p></div><p>{LONG_LINE}</p><blockquote>Short quote.</blockquote><p>{LONG_LINE}</p></div>
+<div><b>Also</b>{"<p><i>some</i> <b>other</b> <i>thing</i> <b>that</b> <i>stands</i> <b>aside</b> <i>from</i> <b>stories</b></p>" * 9}</div>
+<div class="comments"><p><b>Ann</b> <i>1 May</i><br>{LONG_LINE}</p><p><b>Bob</b> <i>2 May</i><br>{LONG_LINE}</p></div></body>"""
+STORY = "\n\n".join(["The story", *[LONG_LINE.strip()] * 2, "A short block, which is part of it.", LONG_LINE.strip(), "Short quote.", LONG_LINE.strip()])
+
+
+def test_html_ratio_smoothing_and_threshold_decide_without_semantic_elements(monkeypatch):
+    assert html_extract.main_text(PLAIN) == STORY
+    for name, other in (("ratios", lambda lines: np.full(len(lines), 4.0)), ("smoothed", lambda x, sigma: x), ("halfway", lambda x: -np.inf)):
+        with monkeypatch.context() as patch:
+            patch.setattr(html_extract, name, other)
+            assert html_extract.main_text(PLAIN) != STORY, name
+
+
+def test_html_names_only_hint_inside_an_article():
+    page = "<nav>x</nav><article><h1>Title</h1><p>{0}</p><div class='search-results'><p>{0}</p></div><label>{0}</label><div class='ad'>Buy now!</div><p>{0}</p></article>"
+    text = html_extract.main_text(page.format(LONG_LINE))
+    assert text == "\n\n".join(["Title", *[LONG_LINE.strip()] * 4])
+
+
+def test_html_smoothing_and_clusters_against_loops():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 40):
+        x = rng.exponential(2, n) * (1 + 3 * (rng.random(n) < 0.5))
+        for sigma in (1.0, 2.0):
+            half = int(3 * sigma)
+            want = []
+            for i in range(n):
+                near = [(np.exp(-0.5 * ((j - i) / sigma) ** 2), x[j]) for j in range(max(0, i - half), min(n, i + half + 1))]
+                want.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+            assert np.allclose(html_extract.smoothed(x, sigma), want)
+        t = sum(x) / n
+        for _ in range(50):
+            low, high = [v for v in x if v < t], [v for v in x if v >= t]
+            if not low or not high:
+                break
+            t = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        apart = sum(high) / len(high) - sum(low) / len(low) if low and high else 0
+        assert html_extract.halfway(x) == (pytest.approx(t, abs=1e-5) if apart >= html_extract.GAP else -np.inf)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (1, "u", PAGE, 9), (2, None, None, 9), (None, "v", "", 9)], "page_id long, url string, html string, n_chars int")
     rows = html_extract.report(pages).collect()
@@ -170,19 +213,20 @@ def test_language_odd_rows(docs):
     assert langid.report(empty(docs)).count() == 0
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_automaton_is_levenshtein():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
-
-    terms = ("moron", "idiot", "clown", "morons")
+    terms = ("clown", "idiot", "moron", "morons", "oaf", "xyz*")
     auto = toxicity.Automaton(terms)
     rng = np.random.default_rng(0)
-    tried = list(terms) + ["", "mron", "mo0ron", "idiots", "idiotss", "own", "clwon"]
+    tried = list(terms) + ["", "mron", "mo0ron", "idiots", "idiotss", "own", "clwon", "oaf", "oa", "oafs", "xyz", "xyzabc", "xya", "axyz", "moronx", "moroxyz"]
     for _ in range(500):
         w = list(terms[rng.integers(4)])
         for _ in range(rng.integers(0, 3)):
@@ -190,8 +234,55 @@ def test_automaton_is_levenshtein():
             w[i : i + rng.integers(0, 2)] = list("abmo"[: rng.integers(0, 3)])
         tried.append("".join(w))
     for w in tried:
-        near = [i for i, t in enumerate(terms) if distance(w, t) <= 1]
-        assert auto.match(w) == (min(near) if near else -1), w
+        exact = [i for i, t in enumerate(terms) if t == w or t.endswith("*") and w.startswith(t[:-1])]
+        near = [i for i, t in enumerate(terms) if len(t) >= 5 and distance(w, t) <= 1]
+        assert auto.match(w) == ((min(exact), 0) if exact else (min(near), 1) if near else (-1, 0)), w
+
+
+def test_lexicon_prefers_words_and_takes_families():
+    rows = [("idiot", 130, 0), ("idio*", 131, 1), ("idiot*", 2, 0), ("boko*", 60, 1), ("bokoa", 12, 0), ("bokoe", 9, 0), ("bok*x", 1, 0), ("noise", 6, 9), ("boko", 3, 3)]
+    assert set(toxicity.lexicon(rows, 360, 2800)) == {"idiot", "boko*"}
+
+
+def toxic_fixture(spark, n=900):
+    """Toxic documents use terms (some misspelled), clean ones quote them or don't have them."""
+    rng = np.random.default_rng(4)
+    terms, rows = ["idiot", "moron", "clown", "stupid"], []
+    for i in range(n):
+        words = [WORDS[k] for k in rng.integers(0, 19, 40)]
+        kind = i % 4
+        for at in (8, 20):
+            t = terms[rng.integers(0, 4)]
+            if kind == 0:
+                j = int(rng.integers(1, len(t)))
+                words[at] = t if i % 8 else t[:j] + "qjwv"[rng.integers(0, 4)] + t[j + int(rng.integers(0, 2)) :]
+            elif kind == 1:
+                words[at] = f'said "{t}"'
+        rows.append((i, " ".join(words), int(kind == 0)))
+    return spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), rows
+
+
+def test_automaton_and_quotation_context_decide(spark, monkeypatch):
+    docs, labels, rows = toxic_fixture(spark)
+    model = toxicity.fit(docs, labels)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+
+    def right(m):
+        return np.mean([(m.score(np.array([m.features(t)]))[0] >= 0.5) == bool(y) for _, t, y in held])
+
+    full = right(model)
+    assert set(model.terms) == {"idiot", "moron", "clown", "stupid"} and full > 0.97
+    with monkeypatch.context() as patch:
+        patch.setattr(toxicity.Automaton, "match", lambda self, w: (self.terms.index(w), 0) if w in self.terms else (-1, 0))
+        model.reset()
+        assert right(model) < full - 0.05
+    with monkeypatch.context() as patch:
+        patch.setattr(toxicity, "is_quoted", lambda chunks, inside, i: False)
+        model.reset()
+        assert right(model) < full - 0.1
+    model.reset()
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert all(got[i] == pytest.approx(float(model.score(np.array([model.features(t)]))[0])) for i, t, _ in rows[:100])
 
 
 def test_toxicity(spark):
@@ -243,25 +334,51 @@ def test_simhash_brute_force(corpus):
     assert got == {i: (f"{docs[i]:016x}", name[i]) for i in docs}
 
 
-def test_long_lists_lose_no_link(spark):
-    rng = np.random.default_rng(1)
+def near_fingerprints(n, seed=1):
+    """n distinct signed fingerprints, each one or two bits from another."""
+    rng = np.random.default_rng(seed)
     base = int(rng.integers(0, 1 << 62))
     fps = {base, base ^ (1 << 63)}
-    while len(fps) < 300:
+    while len(fps) < n:
         f = list(fps)[rng.integers(len(fps))]
         fps.add(f ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64))))
-    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
-    frame = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    return [f - (1 << 64) if f >> 63 else f for f in fps]
 
-    def components(long_list):
-        from barwright.llm.components import connected_components
 
+def test_long_lists_lose_no_link(spark):
+    from barwright.llm.components import connected_components
+
+    fps = near_fingerprints(300)
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+
+    def components(long_list):
         found = {r.node: r.component for r in connected_components(simhash.links(frame, long_list=long_list)).collect()}
-        return {i: found.get(i, i) for i in range(len(fps))}
+        return {f: found.get(f, f) for f in fps}
 
     assert components(1) == components(100_000) == components(8)
 
 
+def test_tally_counts_shared_positions_and_filters(spark):
+    rng = np.random.default_rng(5)
+    prefix = int(rng.integers(0, 1 << 31))
+    fps = sorted({(prefix << 32) | int(rng.integers(0, 1 << 32)) & 0x0F0F0F0F for _ in range(400)})
+    index = simhash.postings(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    got = Counter((r.u, r.v, r.shared) for r in simhash.tallied(index).collect())
+    same = lambda a, b, places: sum((a >> 8 * p & 255) == (b >> 8 * p & 255) for p in places)
+    want = Counter()
+    slots = [((0, 1), (2, 3)), ((0, 1), (4, 5)), ((0, 1), (6, 7)), ((2, 3), (4, 5)), ((2, 3), (6, 7)), ((4, 5), (6, 7))]
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            for s in slots:
+                inside = [p for pair in s for p in pair]
+                more = same(a, b, set(range(8)) - set(inside))
+                if same(a, b, inside) == 4 and more:
+                    want[a, b, 4 + more] += 1
+    assert got == want
+    kept = [k for k in got if k[2] >= simhash.GUARANTEED]
+    assert 0 < len(kept) < len(got) / 2 and all((a ^ b).bit_count() > 2 or any(k[:2] == (a, b) for k in kept) for i, a in enumerate(fps) for b in fps[i + 1 :])
+
+
 def test_simhash_odd_rows(docs):
     rows = simhash.report(docs).collect()
     by = {r.doc_id: r for r in rows}
@@ -295,12 +412,16 @@ def test_exchange_separates_languages():
 
 
 def test_most_counted_words(spark):
-    counts = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(300)], "word string, c long")
-    ranked = sorted(((c, w) for w, c in counts.collect()), key=lambda x: (-x[0], x[1]))
-    for most in (0, 1, 7, 50, 1000):
-        found = [(c, w.decode()) for w, c in lm_classes.most_counted(counts, most).items()]
-        assert found == ranked[: len(found)] and len(found) <= most and len(found) >= min(most, 300) * 0.6 - 1
-    assert lm_classes.most_counted(empty(counts)) == {}
+    counts = spark.createDataFrame([(f"w{i}", 1 + 1000 // (i + 1)) for i in range(300)] + [(f"x{i}", 1) for i in range(2000)], "word string, c long")
+    of = {r.word.encode(): r.c for r in counts.collect()}
+    for most in (0, 1, 7, 50, 1000, 5000):
+        found, chosen = lm_classes.most_counted(counts, most)
+        assert all(of[w] == c for w, c in found.items()) and min(most, 2300) * 0.6 - 9 <= len(found) <= most
+        assert list(found) == sorted(found, key=lambda w: (-of[w], w)) and {r.word.encode() for r in counts.filter(~chosen).collect()} == set(of) - set(found)
+        left = [c for w, c in of.items() if w not in found]
+        assert not found or not left or min(found.values()) >= max(left) / 2 ** (1 / 16)
+    assert lm_classes.most_counted(empty(counts))[0] == {}
+    assert len(lm_classes.most_counted(counts.filter("c = 1"), 1000)[0]) > 800
 
 
 def test_lm(corpus):
@@ -332,12 +453,89 @@ def test_lm_learns_classes_beyond_the_frequent_words(spark):
     assert sorted((r.doc_id or 0, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in small.values()) == sorted((r.doc_id or 0, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in large.values())
 
 
+def test_lm_score_is_the_class_bigram_of_brute_force(spark, monkeypatch):
+    """score from plain counts, given the classes that clustering and assignment found."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "stuvwxyzéñ"]
+    p = 1 / (900 + np.arange(1000))
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 80), p=p / p.sum())) for _ in range(450)]
+    texts += [texts[0], "Unseen words here ast", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    made = {}
+    keep = lm_classes.fit
+    monkeypatch.setattr(lm_classes, "fit", lambda *a: made.setdefault("fit", keep(*a)))
+    rows = {r.doc_id: r for r in lm_classes.scored(frame, most=800).collect()}
+    model, rest = made["fit"]
+    words = list(model.counted)
+    beyond = {r.word.encode(): r["class"] for r in rest.collect()}
+    split = [t.lower().encode().split() for t in texts]
+    train = [w for i, w in enumerate(split) if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(x for w in train for x in w)
+    own = {w for w in count if (beyond[w] is not None if w in beyond else words.index(w) < lm_classes.FREQUENT or count[w] >= lm_classes.LEAST)}
+    assert any(w in beyond for w in own) and any(w not in own for w in count)
+    bucket_class = lambda w: int(model.classes[len(words) + lm_classes.bucket_of(w)])
+    cls = lambda w: (beyond[w] if w in beyond else int(model.classes[words.index(w)])) if w in own else bucket_class(w)
+    floor, k = lm_classes.FLOOR, lm_classes.CLASSES
+    in_bucket, kinds = Counter(), Counter()
+    for w, c in count.items():
+        if w not in own:
+            in_bucket[lm_classes.bucket_of(w)] += c
+            kinds[lm_classes.bucket_of(w)] += 1
+    weight = Counter({0: len(train) + floor})
+    for w in own:
+        weight[cls(w)] += count[w] + floor
+    for b in range(lm_classes.BUCKETS):
+        weight[int(model.classes[len(words) + b])] += in_bucket[b] + floor
+    m = np.zeros((k, k))
+    for w in train:
+        path = [0, *map(cls, w), 0]
+        for a, b in zip(path, path[1:]):
+            m[a, b] += 1
+    share = (m.sum(0) + 1) / (m.sum() + k)
+    move = (m + lm_classes.PULL * share) / (m.sum(1, keepdims=True) + lm_classes.PULL)
+    for i, w in enumerate(split):
+        path = [0, *map(cls, w), 0]
+        want = sum(np.log10(move[a, b]) for a, b in zip(path, path[1:]))
+        for x in w:
+            if x in own:
+                want += np.log10((count[x] + floor) / weight[cls(x)])
+            else:
+                b = lm_classes.bucket_of(x)
+                want += np.log10((in_bucket[b] + floor) / weight[cls(x)] * (count[x] + 1) / (in_bucket[b] + kinds[b] + 1))
+        assert rows[i].score == pytest.approx(want, rel=1e-9), texts[i]
+
+
+def test_neighbour_counts(spark):
+    texts = ["a b a a c", "c", "", "z z q a z", "b a"]
+    words, first = [b"a", b"b", b"c"], np.array([1, 2, 3] + [4] * lm_classes.BUCKETS)
+    rows = lm_classes.neighbours(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), words, first, 1).collect()
+    got = Counter()
+    for r in rows:
+        for s, n in zip(np.frombuffer(r.sides, np.uint8).tolist(), np.frombuffer(r.times, np.uint32).tolist(), strict=True):
+            got[words[r.id].decode() if r.word is None else r.word, s] += n
+    want, of = Counter(), {"a": 1, "b": 2, "c": 3}
+    for t in texts:
+        t = t.split()
+        for i, w in enumerate(t):
+            if w != "a":
+                want[w, of.get(t[i - 1], 4) if i else 0] += 1
+                want[w, lm_classes.CLASSES + (of.get(t[i + 1], 4) if i + 1 < len(t) else 0)] += 1
+    assert got == want
+
+
 def test_lm_odd_rows(docs):
     assert len(lm_classes.report(docs).collect()) == len(ODD)
     assert lm_classes.report(empty(docs)).count() == 0
 
 
 # ---------------------------------------------------------------- op9
+def plain_feature(data):
+    n, counts = len(data), Counter(data)
+    entropy = -sum(c / n * np.log2(c / n) for c in counts.values())
+    bands = ",".join(f"{sum(c for v, c in counts.items() if v // 32 == k) / n:.4f}" for k in range(8))
+    return f"mean={sum(data) / n:.4f};entropy={abs(entropy):.4f};bands={bands}"
+
+
 def test_media_round_trip(docs):
     rows = media_tar.report(docs).collect()
     texts = {d[0]: (d[1] or "").encode() for d in ODD}
@@ -345,18 +543,36 @@ def test_media_round_trip(docs):
     for r in rows:
         p = media_tar.padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert len(p) % 64 == 0 and len(p) > 0
+        assert len(p) % 64 == 0 and len(p) > 0 and r.feature == plain_feature(p)
+        with open(r.shard.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            image = f.read(r.media_bytes)
+        assert hashlib.sha256(image).hexdigest() == r.media_sha256 and image[:8] == media_tar.SIGNATURE and struct.unpack(">II", image[16:24]) == (r.width, r.height)
+    places = {(r.payload_sha256, r.media_sha256, r.shard, r.offset) for r in rows}
+    assert len(places) == len({p[0] for p in places})
     assert media_tar.report(empty(docs)).count() == 0
 
 
-def test_tar_and_headers(docs, tmp_path):
+def test_media_shards_hold_images_once_and_headers_read_nothing_else(docs, tmp_path, monkeypatch):
     import tarfile
 
-    index = media_tar.store(docs.coalesce(1), f"file://{tmp_path}/t")
-    found = media_tar.headers(index).collect()
-    assert all(r.width == 64 and r.bits == 8 and r.height * 64 >= r.n_bytes for r in found)
+    folder = f"file://{tmp_path}/t"
+    index = media_tar.store(docs.coalesce(1), folder)
     names = [m.name for f in (tmp_path / "t").glob("*.tar") for m in tarfile.open(f).getmembers()]
-    assert sorted(names) == sorted({f"{r.digest}.png" for r in found})
+    assert sorted(names) == sorted({f"{r.digest}.png" for r in index.collect()})
+    again = media_tar.store(docs.coalesce(1), folder)
+    assert sorted(map(str, again.collect())) == sorted(map(str, index.collect())) and not list((tmp_path / "t").glob(".part-*"))
+    for f in (tmp_path / "t").glob("*.tar"):  # all but the first 33 bytes of each image is lost
+        data, kept = f.read_bytes(), bytearray(f.stat().st_size)
+        for r in index.filter(F.col("shard").endswith(f.name)).collect():
+            kept[r.offset : r.offset + 33] = data[r.offset : r.offset + 33]
+        f.write_bytes(kept)
+    found = media_tar.headers(media_tar.objects(index)).collect()
+    assert all(r.width == 64 and r.bits == 8 for r in found)
+    height = {r.digest: r.height for r in found}
+    assert all(height[r.digest] * 64 >= r.n_bytes > (height[r.digest] - 1) * 64 - 1 for r in index.collect())
+    with pytest.raises(Exception, match="reads otherwise|invalid|Error"):
+        media_tar.read_back(media_tar.headers(media_tar.objects(index))).collect()
 
 
 # ---------------------------------------------------------------- op10
