@@ -270,6 +270,42 @@ def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int
     return train.select("text").mapInArrow(run, "word string, id long, sides binary, times binary")
 
 
+def best_classes(m: np.ndarray, own_class: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each word (row of n, by side) by `_gains`, for many words at once; m counts all words where they are.
+
+    Entries of the class table that a word doesn't touch gain nothing, so only the sides it has are looked at.
+    """
+    rows = np.arange(len(n))
+    c, r, own = n[:, :CLASSES], n[:, CLASSES:-1], n[:, -1]
+    gain = np.zeros((len(n), CLASSES))
+    for mine, other, table in ((r, c, m.T), (c, r, m)):  # what follows the word, then what precedes it
+        w, side = np.nonzero(mine)
+        if not len(w):
+            continue
+        x, e = mine[w, side], np.arange(len(w))
+        without = table[side]
+        without[e, own_class[w]] -= x
+        at_own = np.flatnonzero(side == own_class[w])
+        without[at_own] -= other[w[at_own]]
+        without[at_own, side[at_own]] -= own[w[at_own]]
+        np.maximum(without, 0, out=without)
+        more = _xlogx(without + x[:, None]) - _xlogx(without)
+        more[e, side] = 0
+        begin = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[begin]] += np.add.reduceat(more, begin)
+    d, before, after = np.tile(np.diag(m), (len(n), 1)), m.sum(1) - c, m.sum(0) - r
+    d[rows, own_class] -= r[rows, own_class] + c[rows, own_class] + own
+    before[rows, own_class] -= r.sum(1) + own
+    after[rows, own_class] -= c.sum(1) + own
+    for x in (d, before, after):
+        np.maximum(x, 0, out=x)
+    gain += _xlogx(d + r + c + own[:, None]) - _xlogx(d)
+    gain -= _xlogx(before + (r.sum(1) + own)[:, None]) - _xlogx(before) + _xlogx(after + (c.sum(1) + own)[:, None]) - _xlogx(after)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(1)
+    return np.where(gain[rows, best] > gain[rows, own_class] + 1e-9, best, own_class)
+
+
 def assigned(near: DataFrame, m: np.ndarray, words: list[bytes], cls: np.ndarray) -> DataFrame:
     """(word, id, class): the best class of each word seen `LEAST` times, as exchange would move it from its bucket's.
 
@@ -277,36 +313,41 @@ def assigned(near: DataFrame, m: np.ndarray, words: list[bytes], cls: np.ndarray
     and summed as they stream by.
     """
 
-    def best(word: str | None, i: int | None, n: np.ndarray) -> int:
-        c, r, own = n[:CLASSES], n[CLASSES:-1], n[-1]
-        a = cls[FREQUENT + bucket_of(words[i] if word is None else word.encode())]
-        rest = m.copy()
-        rest[a] -= r
-        rest[:, a] -= c
-        rest[a, a] -= own
-        gain = _gains(np.maximum(rest, 0), r, c, own)
-        b = int(gain.argmax())
-        return b if gain[b] > gain[a] + 1e-9 else int(a)
+    def judged(word: list[str | None], i: list[int | None], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        seen = np.flatnonzero(n[:, :CLASSES].sum(1) + n[:, -1] >= LEAST)
+        for at in range(0, len(seen), 500):
+            some = seen[at : at + 500].tolist()
+            a = np.array([cls[FREQUENT + bucket_of(words[i[k]] if word[k] is None else word[k].encode())] for k in some], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([word[k] for k in some], pa.string()), pa.array([i[k] for k in some], pa.int64()), pa.array(best_classes(m, a, n[some]), pa.int64())], ["word", "id", "class"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, out = None, np.zeros(SIDES), []
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in out], pa.string()), pa.array([k[1] for k, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["word", "id", "class"])
+    def flat(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(values, number in each row) of a column of packed numbers."""
+        _, offsets, data = col.buffers()
+        at = np.frombuffer(offsets, np.int32)[col.offset : col.offset + len(col) + 1]
+        return np.frombuffer(data, kind, (at[-1] - at[0]) // kind().itemsize, at[0]), np.diff(at) // kind().itemsize
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sums = None, np.zeros((0, SIDES))  # the last word so far, whose rows may go on
         for b in batches:
-            for word, i, sides, times in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
-                if (word, i) != key:
-                    if n[:CLASSES].sum() + n[-1] >= LEAST:
-                        out.append((key, best(*key, n)))
-                    key, n = (word, i), np.zeros(SIDES)
-                n[np.frombuffer(sides, np.uint8)] += np.frombuffer(times, np.uint32)
-            if len(out) > 10_000:
-                yield batch()
-                out = []
-        if n[:CLASSES].sum() + n[-1] >= LEAST:
-            out.append((key, best(*key, n)))
-        yield batch()
+            if not len(b):
+                continue
+            ids = b.column(1).fill_null(-1).to_numpy()
+            names = b.column(0).dictionary_encode()
+            code = names.indices.fill_null(-1).to_numpy()
+            begin = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (ids[1:] != ids[:-1]))))
+            word, i = b.column(0).take(pa.array(begin)).to_pylist(), b.column(1).take(pa.array(begin)).to_pylist()
+            side, each = flat(b.column(2), np.uint8)
+            times, _ = flat(b.column(3), np.uint32)
+            place = np.repeat(np.searchsorted(begin, np.arange(len(b)), "right") - 1, each)
+            n = np.bincount(place * SIDES + side, times, len(begin) * SIDES).reshape(-1, SIDES)
+            if key == (word[0], i[0]):
+                n[0] += sums[0]
+            elif key is not None:
+                yield from judged([key[0]], [key[1]], sums)
+            yield from judged(word[:-1], i[:-1], n[:-1])
+            key, sums = (word[-1], i[-1]), n[-1:]
+        if key is not None:
+            yield from judged([key[0]], [key[1]], sums)
 
     dealt = near.repartition("word", "id").sortWithinPartitions("word", "id")
     return dealt.mapInArrow(run, "word string, id long, class long")

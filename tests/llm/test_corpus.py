@@ -505,6 +505,47 @@ def test_lm_score_is_the_class_bigram_of_brute_force(spark, monkeypatch):
         assert rows[i].score == pytest.approx(want, rel=1e-9), texts[i]
 
 
+def test_best_classes_are_those_of_single_gains():
+    rng, k = np.random.default_rng(2), lm_classes.CLASSES
+    n = rng.integers(0, 4, (300, 2 * k + 1)) * (rng.random((300, 2 * k + 1)) < 0.2)
+    n[5] = 0
+    m = rng.integers(0, 40, (k, k)).astype(float) + 300
+    own_class = rng.integers(1, k, 300)
+    got = lm_classes.best_classes(m, own_class, n.astype(float))
+    for x, a, b in zip(n, own_class, got):
+        c, r, own = x[:k], x[k:-1], x[-1]
+        rest = m.copy()
+        rest[a] -= r
+        rest[:, a] -= c
+        rest[a, a] -= own
+        gain = lm_classes._gains(rest, r, c, own)
+        best = int(gain.argmax())
+        assert b == (best if gain[best] > gain[a] + 1e-9 else a)
+
+
+def test_words_are_summed_over_rows_and_batches(spark):
+    rng, k = np.random.default_rng(6), lm_classes.CLASSES
+    words, cls = [b"x", b"y"], rng.integers(1, k, lm_classes.SYMBOLS)
+    m = rng.integers(1, 40, (k, k)) + 3000.0
+    rows, sums = [], defaultdict(lambda: np.zeros(2 * k + 1))
+    for i in range(3000):
+        key = (None, int(i % 2)) if i % 10 == 0 else (f"w{i % 130}", None)
+        side = np.unique(rng.integers(0, 2 * k, 5))
+        times = rng.integers(1, 3, len(side))
+        sums[key][side] += times
+        rows.append((*key, bytearray(side.astype(np.uint8).tobytes()), bytearray(times.astype(np.uint32).tobytes())))
+    rows.append(("rare", None, bytearray([1]), bytearray(np.array([2], np.uint32).tobytes())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        frame = spark.createDataFrame(rows, "word string, id long, sides binary, times binary").repartition(7)
+        got = {(r.word, r.id): r["class"] for r in lm_classes.assigned(frame, m, words, cls).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = list(sums)
+    a = np.array([cls[lm_classes.FREQUENT + lm_classes.bucket_of(words[i] if w is None else w.encode())] for w, i in keys])
+    assert got == dict(zip(keys, lm_classes.best_classes(m, a, np.array([sums[x] for x in keys])).tolist(), strict=True))
+
+
 def test_neighbour_counts(spark):
     texts = ["a b a a c", "c", "", "z z q a z", "b a"]
     words, first = [b"a", b"b", b"c"], np.array([1, 2, 3] + [4] * lm_classes.BUCKETS)
