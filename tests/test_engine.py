@@ -121,7 +121,7 @@ def test_engulfing_bars(spark):
     k = Kernels(frame(spark, rows))
     made = candles.engulfing(k)
     got = k.df.select("ts", made["bullish"].alias("b"), made["bearish"].alias("s")).orderBy("ts").collect()
-    assert [r.b for r in got] == [False, True, False, False, False] and [r.s for r in got] == [False, False, True, False, False]
+    assert [r.b for r in got] == [False, True, False, False, True] and [r.s for r in got] == [False, False, True, False, False]
 
 
 def test_inside_bar_breakout_fires_once(spark):
@@ -260,6 +260,39 @@ def test_staged_trades_average(spark):
     assert t.exit_price == 12 and t.exit_date == DAY + dt.timedelta(days=2)
 
 
+def test_staged_positions_against_rules_bar_by_bar(spark):
+    """What holds after each bar follows from what held before: checked on random signals, for weights and events."""
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        n = 150
+        close = 10 + np.cumsum(rng.normal(0, 0.3, n))
+        on = lambda p: [int(i) for i in np.flatnonzero(rng.random(n) < p)]
+        entries, exits, emergency = [(on(0.2), 0.25), (on(0.2), 0.25), (on(0.1), 0.5)], [on(0.1), on(0.1), on(0.05)], on(0.02)
+        weights, _, k, events = staged_case(spark, close, entries, exits, emergency, 9.0)
+        log = [r[0] for r in k.df.orderBy("ts").select(events).collect()]
+        held, opened = {}, {}
+        for i, now in enumerate(log):
+            first = not held
+            for e in (e for e in now if e.kind == "entry"):
+                assert i in entries[e.stage - 1][0] and e.stage not in opened
+                assert e.stage == 3 and 3 not in opened or e.stage - 1 == max(opened, default=0)
+                held[e.stage] = opened[e.stage] = entries[e.stage - 1][1]
+            could = [s for s, (at, _) in enumerate(entries, 1) if i in at and s not in opened and (s == 3 or s - 1 == max(opened, default=0))]
+            assert not could
+            stop = 9.0
+            kinds = {e.kind for e in now} - {"entry"}
+            due = "emergency_exit" if i in emergency else "stop_loss" if close[i] < stop else "exit" if i in exits[2] else None
+            if held and due:
+                assert kinds == {due} and {e.stage for e in now if e.kind == due} == set(held), (i, first)
+                held = {}
+            else:
+                gone = {s for s in held if s < 3 and i in exits[s - 1]}
+                assert {e.stage for e in now if e.kind == "exit"} == gone and kinds <= {"exit"}
+                held = {s: w for s, w in held.items() if s not in gone}
+            opened = opened if held else {}
+            assert weights[i] == pytest.approx(sum(held.values()))
+
+
 # ------------------------------------------------------------ bars, regimes, ranks
 def test_merge_resample_clamp(spark):
     a = frame(spark, [(i, i + 5, i - 5, i + 2, 10) for i in range(1, 11)])
