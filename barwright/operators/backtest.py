@@ -132,13 +132,13 @@ def compared(bars: DataFrame, config: str | dict, benchmark: DataFrame, start=No
 
 
 def by_regime(curve: DataFrame, regimes: DataFrame) -> DataFrame:
-    """Per ticker and regime: days, and the return compounded over them. regimes: (ts, regime) of a benchmark.
+    """Per ticker and regime: days, and the return compounded over them (in %, and as a logarithm). regimes: (ts, regime) of a benchmark.
 
     A bar takes the regime of its own day, else that of the closest earlier bar that had one.
     """
     rows = curve.join(regimes.select("ts", "regime"), "ts", "left")
     rows = rows.withColumn("regime", F.last("regime", ignorenulls=True).over(to_now())).withColumn("_day", F.coalesce(F.try_divide(F.col("equity"), F.lag("equity").over(by_time())) - 1, F.lit(0.0)))
-    return rows.filter("regime is not null").groupBy("ticker", "regime").agg(F.count("*").alias("days"), ((F.product(1 + F.col("_day")) - 1) * 100).alias("cumulative_return"))
+    return rows.filter("regime is not null").groupBy("ticker", "regime").agg(F.count("*").alias("days"), ((F.product(1 + F.col("_day")) - 1) * 100).alias("cumulative_return"), F.sum(F.log1p("_day")).alias("log_return"))
 
 
 def health(trades: DataFrame) -> DataFrame:

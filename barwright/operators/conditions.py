@@ -79,7 +79,7 @@ def _macd_level(k: Kernels, c: Condition) -> Column:
 
 
 def _ichimoku(k: Kernels, c: Condition) -> dict[str, Column]:
-    made = k.ichimoku(*(int(c.get(p, d)) for p, d in (("tenkan", 9), ("kijun", 26), ("span_b", 52), ("displacement", 26))))
+    made = k.ichimoku(*(int(c.get(p, d)) for p, d in (("tenkan_len", 9), ("kijun_len", 26), ("span_b_len", 52), ("displacement", 26))))
     return {n: F.col(x) for n, x in made.items()}
 
 

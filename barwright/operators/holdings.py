@@ -87,14 +87,17 @@ def constituents(table: DataFrame) -> DataFrame:
 def members_as_of(table: DataFrame, days: DataFrame) -> DataFrame:
     """(day, tickers): the last list at or before each day, else the earliest list there is.
 
-    The lists of all dates meet the days in one ordered pass: their union, with the last list carried forward.
+    A list holds until the next one's date; lists are few (one a change of an index), days may be many. Both meet by
+    year, in each of which a list that holds then has a row.
     """
-    lists = table.select(F.col("date").alias("day"), F.lit(0).alias("_ask"), "tickers")
-    asks = days.select("day", F.lit(1).alias("_ask"), F.lit(None).cast("array<string>").alias("tickers"))
-    w = Window.partitionBy(F.lit(1)).orderBy("day", "_ask")
-    filled = lists.unionByName(asks).withColumn("tickers", F.last("tickers", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_ask = 1")
-    first = table.agg(F.min_by("tickers", "date").alias("_first"))
-    return filled.crossJoin(F.broadcast(first)).select("day", F.coalesce("tickers", "_first").alias("tickers"))
+    until = F.lead("date").over(Window.partitionBy(F.lit(1)).orderBy("date"))
+    ends = days.agg(F.year(F.max("day")).alias("_last")).crossJoin(table.agg(F.min_by("tickers", "date").alias("_first")))
+    lists = table.select("date", "tickers").withColumn("_until", until).crossJoin(F.broadcast(ends.select("_last")))
+    through = F.greatest(F.year("date"), F.least(F.coalesce(F.year("_until"), "_last"), "_last"))
+    lists = lists.withColumn("_year", F.explode(F.sequence(F.year("date"), through))).drop("_last")
+    found = days.withColumn("_year", F.year("day")).join(lists, "_year", "left").filter("date is null or (day >= date and (_until is null or day < _until))")
+    asked = days.join(found.select("day", "tickers").filter("tickers is not null").dropDuplicates(["day"]), "day", "left")
+    return asked.crossJoin(F.broadcast(ends.select("_first"))).select("day", F.coalesce("tickers", "_first").alias("tickers"))
 
 
 def tickers_in(text: Column) -> Column:
@@ -104,8 +107,9 @@ def tickers_in(text: Column) -> Column:
 
 
 def summaries(posts: DataFrame, snippet: int = 200) -> DataFrame:
-    """posts with the tickers in their text and its first characters."""
-    return posts.withColumn("tickers", tickers_in(F.col("text"))).withColumn("snippet", F.substring("text", 1, snippet))
+    """posts with the tickers in their text and its first characters, white space being single spaces; dots mark a cut."""
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return posts.withColumn("tickers", tickers_in(F.col("text"))).withColumn("snippet", F.when(F.length(line) > snippet, F.concat(F.substring(line, 1, snippet), F.lit("..."))).otherwise(line))
 
 
 def recent_with(summaries: DataFrame, ticker: str | None = None, limit: int = 200) -> DataFrame:

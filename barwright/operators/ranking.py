@@ -25,7 +25,10 @@ DEFENSIVE = tuple(FAVOURED["contraction"])
 
 
 def rank_score(x: str | Column, missing: str = "keep", if_none: float | None = None, partition: Sequence[str] = ()) -> Column:
-    """100 times the average rank's share. missing: lowest, highest (in rank), or keep (null). if_none: where all miss."""
+    """100 times the average rank's share. missing: lowest, highest (in rank), or keep (null). if_none: where all miss.
+
+    Without a partition all rows meet in one task, so it is for cross-sections: a row for each ticker of a universe.
+    """
     x = F.col(x) if isinstance(x, str) else x
     base = Window.partitionBy(*(partition or [F.lit(1)]))
     known = F.count(x).over(base)

@@ -24,7 +24,7 @@ from . import backtest, expression
 BUDGET = {"fast": 20, "normal": 60, "fine": 150}
 STYLE_FACTORS = {"leader": (0.3, 0.8), "growth": (0.8, 2.0), "value": (0.8, 1.5), "cyclical": (0.7, 1.3), "defensive": (1.0, 2.0), "quality": (1.0, 2.5)}
 ANY_STYLE = (0.7, 1.5)
-PERIODS = frozenset("short long period fast slow signal tenkan kijun span_b displacement lookback band_period pivot_lookback pattern_window rsi_period".split())
+PERIODS = frozenset("short long period fast slow signal tenkan_len kijun_len span_b_len displacement lookback hold_bars band_period pivot_lookback pattern_window rsi_period".split())
 BANDS, THRESHOLDS, RATIOS = frozenset(("std_dev", "band_std")), frozenset(("value", "level")), frozenset(("threshold", "volume_mult"))
 LEAST_TRADES, PENALTY = 5, 0.5
 #: Market eras that a strategy is tried on.
@@ -208,10 +208,9 @@ def tune_group(bars: DataFrame, config: dict, start: dt.date, end: dt.date, styl
     train, test = split(start, end)
     windows = regime_segments or folds(*train, n_folds)
     candidates = grid(config, style, intensity)
-    scores = evaluated(bars, candidates, windows)
-    ranking = walk_forward(scores, bars.select("ticker").distinct().count(), len(windows))
-    top = ranking.filter("place = 1").first()
-    best = candidates[top.candidate] if top else config
+    ranked = walk_forward(evaluated(bars, candidates, windows), bars.select("ticker").distinct().count(), len(windows))
+    rows = ranked.orderBy("place").collect()  # a row for each candidate at most, evaluated once
+    ranking, best = bars.sparkSession.createDataFrame(rows, ranked.schema), candidates[rows[0].candidate] if rows else config
     return best, ranking, evaluated(bars, [best], [test])
 
 
@@ -243,10 +242,9 @@ def leaderboard(known: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("tick
 def two_phase_best(results: DataFrame, group: str = "strategy", least: int = 2, most: int = 10) -> DataFrame:
     """At least `least` results of each group, then the best of all up to `most`, with their place."""
     own = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("excess_return"), "ticker"))
-    rows = results.filter("excess_return is not null").withColumn("_own", own)
-    everything = Window.partitionBy(F.lit(1)).orderBy((F.col("_own") > least).cast("int"), F.desc("excess_return"), group, "ticker")
-    picked = rows.withColumn("_n", F.row_number().over(everything)).filter(F.col("_n") <= most)
-    return picked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("excess_return"), group, "ticker"))).drop("_own", "_n")
+    rows = results.filter("excess_return is not null").withColumn("_own", own).filter(F.col("_own") <= max(least, most))
+    picked = rows.orderBy((F.col("_own") > least).cast("int"), F.desc("excess_return"), group, "ticker").limit(most)
+    return picked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("excess_return"), group, "ticker"))).drop("_own")
 
 
 def diff(base: dict, tuned: dict, path: str = "") -> list[tuple[str, object, object]]:

@@ -47,8 +47,8 @@ def _r(x, n: int = 6):
 
 
 # ------------------------------------------------------------ SQL pieces
-BARS = """bars AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS ts, arg_min(l_extendedprice, l_orderkey*10+l_linenumber) AS o,
- max(l_extendedprice) AS h, min(l_extendedprice) AS l, arg_max(l_extendedprice, l_orderkey*10+l_linenumber) AS c, CAST(sum(l_quantity) AS DOUBLE) AS v
+BARS = """bars AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS ts, arg_min(l_extendedprice, (l_orderkey*10+l_linenumber, l_extendedprice)) AS o,
+ max(l_extendedprice) AS h, min(l_extendedprice) AS l, arg_max(l_extendedprice, (l_orderkey*10+l_linenumber, l_extendedprice)) AS c, CAST(sum(l_quantity) AS DOUBLE) AS v
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 W = "PARTITION BY ticker ORDER BY ts"
 
@@ -209,7 +209,20 @@ def indicator_levels(spark, sf):
     return k.df.select("ticker", "ts", _r(a).alias("volume_ratio"), _r(b).alias("dryup"), *[F.col(c).alias(n) for n, c in cols.items()])
 
 
-@query()
+def _begun(x: str, first: int) -> str:
+    """x from bar `first` on, there the mean of 14 values."""
+    return f"CASE WHEN i = {first} THEN avg({x}) {over(-13)} WHEN i > {first} THEN {x} END"
+
+
+_SHARE = lambda x: f"coalesce({x} / nullif(st, 0), 0)"
+ADX = f"""a0 AS (SELECT *, row_number() OVER ({W}) - 1 AS i, h - {lagged('h')} AS up_, {lagged('l')} - l AS dn_, {lagged('c')} AS pc, count(*) OVER (PARTITION BY ticker) AS n_ FROM bars),
+ a1 AS (SELECT *, CASE WHEN i > 0 THEN greatest(h, pc) - least(l, pc) END AS tr, CASE WHEN i > 0 THEN CASE WHEN up_ > dn_ AND up_ > 0 THEN up_ ELSE 0 END END AS pl, CASE WHEN i > 0 THEN CASE WHEN dn_ > up_ AND dn_ > 0 THEN dn_ ELSE 0 END END AS mi FROM a0),
+ a2 AS (SELECT *, {_begun('tr', 14)} AS bt, {_begun('pl', 14)} AS bp, {_begun('mi', 14)} AS bm_ FROM a1), a3 AS ({ewm('a2', 'bt', 1 / 14, 1, 'st')}), a4 AS ({ewm('a3', 'bp', 1 / 14, 1, 'sp')}), a5 AS ({ewm('a4', 'bm_', 1 / 14, 1, 'sm')}),
+ a6 AS (SELECT *, CASE WHEN i >= 14 THEN coalesce(100 * abs({_SHARE('sp')} - {_SHARE('sm')}) / nullif({_SHARE('sp')} + {_SHARE('sm')}, 0), 0) END AS dx FROM a5), a7 AS (SELECT *, {_begun('dx', 27)} AS bd FROM a6), a8 AS ({ewm('a7', 'bd', 1 / 14, 1, 'sd')}),
+ ax AS (SELECT *, CASE WHEN i >= 27 AND n_ > 28 THEN coalesce(sd, 0) ELSE 0 END AS adx FROM a8)"""
+
+
+@query(f"WITH {BARS}, {ADX} SELECT ticker, ts, round(adx, 6) AS adx14 FROM ax")
 def indicator_adx(spark, sf):
     k = Kernels(_bars(spark, sf), LONGEST)
     name = sequential.adx(k)
@@ -333,6 +346,19 @@ def conditions_ichimoku(spark, sf):
     )
 
 
+ICHI2 = f"""i1 AS (SELECT *, {_mid(5)} AS tk, {_mid(13)} AS kj, {_mid(20)} AS sb FROM bars), i2 AS (SELECT *, {lagged('(tk + kj) / 2', 10)} AS sa26, {lagged('sb', 10)} AS sb26, {lagged('c', 10)} AS chi FROM i1),
+ ic AS (SELECT *, greatest(sa26, sb26) AS ct, least(sa26, sb26) AS cb FROM i2)"""
+
+
+@query(f"WITH {BARS}, {ICHI2} SELECT ticker, ts, {true('tk > kj')} AS golden, {crossed('c', 'ct')} AS broke_up, {true('c < cb')} AS below, {true('c > chi')} AS over_past FROM ic")
+def conditions_ichimoku_set(spark, sf):
+    """Ichimoku conditions by bar, with lengths of their own."""
+    k, own = Kernels(_bars(spark, sf), LONGEST), {"tenkan_len": 5, "kijun_len": 13, "span_b_len": 20, "displacement": 10}
+    names = {"golden": {"indicator": "ichimoku_tk_state"}, "broke_up": {"indicator": "ichimoku_cloud_break"}, "below": {"indicator": "ichimoku_cloud_state", "direction": "below"}, "over_past": {"indicator": "ichimoku_chikou_state"}}
+    made = {n: conditions.evaluate(k, c | own) for n, c in names.items()}
+    return k.df.select("ticker", "ts", *[F.col(c).alias(n) for n, c in made.items()])
+
+
 SQUEEZE = f"""q1 AS (SELECT *, 4 * {roll('stddev_pop', 'c', 20)} / {roll('avg', 'c', 20)} AS w FROM bars), q2 AS (SELECT *, {true('w < 1.8')} AS tight, lag(w) OVER ({W}) AS w1 FROM q1),
  q3 AS (SELECT *, max(CASE WHEN tight THEN 1 ELSE 0 END) {over(-20, -1)} AS was FROM q2), q4 AS (SELECT *, CASE WHEN {true('w >= 1.8 AND w1 < 1.8 AND was = 1')} THEN 1 ELSE 0 END AS ev FROM q3), q5 AS (SELECT *, max(ev) {over(-2)} AS held FROM q4)"""
 
@@ -440,13 +466,6 @@ def benchmark_comparison(spark, sf):
     return backtest.compared(d, CROSS, d.filter("ticker = 'Brand#1'"), dt.date(1995, 6, 1), dt.date(1998, 6, 1))
 
 
-@query()
-def regime_breakdown(spark, sf):
-    d = _bars(spark, sf)
-    labels = regime.daily(d.filter("ticker = 'Brand#1'"))
-    return backtest.by_regime(backtest.run(d, CROSS).curve, labels)
-
-
 @query(f"""WITH {BARS}, {CURVE}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS b FROM (SELECT *, lag(pos) OVER ({W}) AS before FROM g1)) SELECT ticker, ts AS as_of, (pos > coalesce(before, 0)) AS triggered, pos > 0 AS in_position FROM r WHERE b = 1""")
 def latest_signal(spark, sf):
     return backtest.latest(_bars(spark, sf), CROSS)
@@ -458,7 +477,22 @@ def strategy_health(spark, sf):
 
 
 # ------------------------------------------------------------ regimes and cycles
-@query()
+DAILY = f"""dr AS (SELECT *, (c / max(c) {over(-251)} - 1) * 100 AS dd, {roll('avg', 'c', 200)} AS m200 FROM ax), dl AS (SELECT *, CASE WHEN m200 IS NULL THEN 'sideways' WHEN dd <= -20 THEN 'bear' WHEN adx < 20 THEN 'sideways' WHEN c > m200 THEN 'bull' ELSE 'bear' END AS regime FROM dr)"""
+
+
+@query(
+    f"""WITH {BARS}, {CURVE}, {ADX}, {DAILY}, lb AS (SELECT ts, regime FROM dl WHERE ticker = 'Brand#1'), j AS (SELECT g4.ticker, g4.ts, coalesce(day, 0) AS day, lb.regime AS own FROM g4 LEFT JOIN lb ON g4.ts = lb.ts), k AS (SELECT *, last_value(own IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS regime FROM j)
+ SELECT ticker, regime, count(*) AS days, round(sum(ln(1 + day)), 4) AS log_growth FROM k WHERE regime IS NOT NULL GROUP BY 1, 2"""
+)
+def regime_breakdown(spark, sf):
+    """The strategy of every ticker in each regime of a benchmark."""
+    d = _bars(spark, sf)
+    labels = regime.daily(d.filter("ticker = 'Brand#1'"))
+    found = backtest.by_regime(backtest.run(d, CROSS).curve, labels)
+    return found.select("ticker", "regime", "days", _r("log_return", 4).alias("log_growth"))
+
+
+@query(f"WITH {BARS}, {ADX}, {DAILY} SELECT ticker, ts, round(dd, 6) AS drawdown, round(adx, 6) AS adx, regime FROM dl")
 def daily_regime(spark, sf):
     return regime.daily(_bars(spark, sf)).select("ticker", "ts", _r("drawdown").alias("drawdown"), _r("adx").alias("adx"), "regime")
 
@@ -489,10 +523,16 @@ def market_breadth(spark, sf):
     return regime.breadth(_bars(spark, sf)).select("n_total", "n_data_ok", "n_above", _r("pct_above").alias("pct_above"), _r("score").alias("score"), "overheated")
 
 
-@query()
+@query(
+    f"""WITH {BARS}, {LASTROW}, b AS (SELECT greatest(-25, least(25, (100.0 * avg(CASE WHEN m200 IS NULL THEN NULL WHEN c > m200 THEN 1 ELSE 0 END) - 50) * 1.25)) AS breadth FROM lr WHERE back = 1),
+ s AS (SELECT ticker, ts, CASE WHEN m200 IS NOT NULL THEN CASE WHEN c > m200 THEN 25 ELSE -25 END END AS tp, CASE WHEN m200 IS NOT NULL THEN CASE WHEN m50 > m200 THEN 25 ELSE -25 END END AS mc, greatest(-25, least(0, dd / 20 * 25)) AS d, breadth FROM lr, b WHERE back = 1 AND ticker = 'Brand#1'),
+ t AS (SELECT *, coalesce(tp, 0) + coalesce(mc, 0) + coalesce(d, 0) + coalesce(breadth, 0) AS total FROM s), r AS (SELECT *, CASE WHEN total >= 35 THEN 'bull' WHEN total <= -35 THEN 'bear' ELSE 'neutral' END AS regime FROM t)
+ SELECT ticker, ts, round(breadth, 6) AS breadth, round(total, 6) AS total_score, regime, CASE WHEN regime <> 'neutral' THEN regime WHEN total >= 0 THEN 'bull' ELSE 'bear' END AS trade_regime, regime = 'neutral' AS ambiguous FROM r"""
+)
 def regime_snapshot(spark, sf):
     d = _bars(spark, sf)
-    return regime.for_trading(regime.snapshot(d, d.filter("ticker = 'Brand#1'")))
+    found = regime.for_trading(regime.snapshot(d, d.filter("ticker = 'Brand#1'")))
+    return found.select("ticker", "ts", _r("breadth").alias("breadth"), _r("total_score").alias("total_score"), "regime", "trade_regime", "ambiguous")
 
 
 @query(
@@ -635,7 +675,10 @@ def screener(spark, sf):
     return ranking.screen(_stocks(spark, sf), {"min_per": 24, "max_per": 26, "min_market_cap": 1000}).select("ticker", "sector", _r("per").alias("per"))
 
 
-@query()
+@query(
+    f"""WITH {BARS}, {STOCKS}, {rsi_ctes()}, la AS (SELECT ticker, rsi, (c / {roll('avg', 'c', 20)} - 1) * 100 AS pct, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM rs)
+ SELECT st.ticker, round(rsi, 6) AS rsi, round(pct, 6) AS pct_from_sma FROM st JOIN la ON st.ticker = la.ticker AND back = 1 WHERE rsi >= 40 AND rsi <= 60"""
+)
 def screener_technical(spark, sf):
     return ranking.screen(_stocks(spark, sf), {"min_rsi": 40, "max_rsi": 60}, _bars(spark, sf)).select("ticker", _r("rsi").alias("rsi"), _r("pct_from_sma").alias("pct_from_sma"))
 
@@ -680,12 +723,12 @@ def valuation_methods(spark, sf):
 
 
 def _holdings(spark, sf):
-    line = _t(spark, sf, "lineitem").filter("l_suppkey <= 20")
+    line = _t(spark, sf, "lineitem")
     part = _t(spark, sf, "part")
     return line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_suppkey").alias("portfolio"), F.col("p_brand").alias("ticker")).agg(F.sum("l_quantity").alias("quantity"), F.avg("l_extendedprice").alias("purchase_price"))
 
 
-HOLD = "ho AS (SELECT l_suppkey AS portfolio, p_brand AS ticker, sum(l_quantity) AS quantity, avg(l_extendedprice) AS purchase_price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey <= 20 GROUP BY 1, 2), lp AS (SELECT ticker, arg_max(c, ts) AS price FROM bars GROUP BY 1), va AS (SELECT *, quantity * price AS value, quantity * purchase_price AS cost FROM ho LEFT JOIN lp USING (ticker))"
+HOLD = "ho AS (SELECT l_suppkey AS portfolio, p_brand AS ticker, sum(l_quantity) AS quantity, avg(l_extendedprice) AS purchase_price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), lp AS (SELECT ticker, arg_max(c, ts) AS price FROM bars GROUP BY 1), va AS (SELECT *, quantity * price AS value, quantity * purchase_price AS cost FROM ho LEFT JOIN lp USING (ticker))"
 
 
 @query(f"WITH {BARS}, {HOLD} SELECT portfolio, ticker, round(value, 4) AS value, round((value - cost) / cost * 100, 6) AS pnl_pct, round(value / sum(value) OVER (PARTITION BY portfolio) * 100, 6) AS weight FROM va")
@@ -700,22 +743,25 @@ def sector_concentration(spark, sf):
     return portfolio.concentration(valued, _stocks(spark, sf)).select("portfolio", "sector", _r("share").alias("share"))
 
 
-RET = f"rt AS (SELECT ticker, ts, c / lag(c) OVER ({W}) - 1 AS r FROM bars WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')), dy AS (SELECT ts FROM rt WHERE r IS NOT NULL GROUP BY ts HAVING count(*) = 4), rr AS (SELECT * FROM rt JOIN dy USING (ts))"
+RET = f"rt AS (SELECT ticker, ts, c / lag(c) OVER ({W}) - 1 AS r FROM bars), dy AS (SELECT ts FROM rt WHERE r IS NOT NULL GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT ticker) FROM bars)), rr AS (SELECT * FROM rt JOIN dy USING (ts))"
+KINDS = BARS.replace("p_brand AS ticker", "p_type AS ticker")
 
 
-def _four(spark, sf):
-    return _bars(spark, sf).filter(F.col("ticker").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4"))
+def _kinds(spark, sf):
+    """Bars by part type: few tickers, so that on most days all of them have a return."""
+    return B.daily_bars(spark, sf, "p_type")
 
 
-@query(f"WITH {BARS}, {RET} SELECT x.ticker AS a, y.ticker AS b, round(corr(x.r, y.r), 6) AS corr FROM rr x JOIN rr y ON x.ts = y.ts AND x.ticker <= y.ticker GROUP BY 1, 2")
+@query(f"WITH {KINDS}, {RET} SELECT x.ticker AS a, y.ticker AS b, round(corr(x.r, y.r), 6) AS corr FROM rr x JOIN rr y ON x.ts = y.ts AND x.ticker <= y.ticker GROUP BY 1, 2")
 def correlation_matrix(spark, sf):
-    return portfolio.correlations(portfolio.daily_returns(_four(spark, sf))).withColumn("corr", _r("corr"))
+    return portfolio.correlations(portfolio.daily_returns(_kinds(spark, sf))).withColumn("corr", _r("corr"))
 
 
-@query(f"WITH {BARS}, {RET}, d AS (SELECT ts, sum(r * 0.25) AS r FROM rr GROUP BY ts) SELECT round(stddev_samp(r) * sqrt(252) * 100, 5) AS volatility FROM d")
+@query(f"WITH {KINDS}, {RET}, d AS (SELECT ts, sum(r * 0.25) AS r FROM rr GROUP BY ts) SELECT round(stddev_samp(r) * sqrt(252) * 100, 5) AS volatility FROM d")
 def portfolio_volatility(spark, sf):
-    weights = spark.createDataFrame([(f"Brand#{i}", 0.25) for i in range(1, 5)], "ticker string, weight double")
-    return portfolio.volatility(portfolio.daily_returns(_four(spark, sf)), weights).withColumn("volatility", _r("volatility", 5))
+    bars = _kinds(spark, sf)
+    weights = bars.select("ticker", F.lit(0.25).alias("weight")).distinct()
+    return portfolio.volatility(portfolio.daily_returns(bars), weights).withColumn("volatility", _r("volatility", 5))
 
 
 @query(
@@ -744,9 +790,13 @@ def filing_holdings(spark, sf):
     return holdings.from_filing(rows)
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\p{P}\\p{S}\\p{Z}]', 'a', 'g'), '\\$?\\b[A-Z]{1,5}\\b'), lambda t: replace(t, '$', '')), lambda t: NOT list_contains(['"""
-       + "','".join(holdings.NOT_TICKERS)
-       + """'], t)))) AS tickers, substring(text, 1, 200) AS snippet FROM documents WHERE text IS NOT NULL""")
+#: Tickers and first characters of a text, as in holdings.summaries.
+TICKERS = """list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\p{P}\\p{S}\\p{Z}]', 'a', 'g'), '\\$?\\b[A-Z]{1,5}\\b'), lambda t: replace(t, '$', '')), lambda t: NOT list_contains(['""" + "','".join(holdings.NOT_TICKERS) + "'], t))))"
+LINE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+SNIPPET = f"CASE WHEN length({LINE}) > 200 THEN substring({LINE}, 1, 200) || '...' ELSE {LINE} END"
+
+
+@query(f"SELECT doc_id, {TICKERS} AS tickers, {SNIPPET} AS snippet FROM documents WHERE text IS NOT NULL")
 def tickers_in_text(spark, sf):
     rows = _t(spark, sf, "documents").filter("text is not null").select("doc_id", "text")
     return holdings.summaries(rows).select("doc_id", "tickers", "snippet")
@@ -758,7 +808,9 @@ def _posts(spark, sf):
     return holdings.summaries(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", at.alias("created_at")))
 
 
-@query()
+@query(f"""WITH p AS (SELECT conv_id * 1000 + turn AS id, make_timestamp((conv_id * 3600 + turn * 60) * 1000000) AS t_, {TICKERS} AS tickers, {SNIPPET} AS snippet FROM conversations WHERE text IS NOT NULL), e AS (SELECT max(t_) AS e FROM p),
+ r AS (SELECT unnest(tickers) AS ticker, t_, id, snippet, e FROM p, e WHERE t_ > e - INTERVAL 7 DAY)
+ SELECT ticker, min(t_) AS period_start, max(e) AS period_end, count(*) AS post_count, string_agg('- ' || strftime(t_, '%Y-%m-%d') || ': ' || snippet, chr(10) ORDER BY t_, id) AS report_text FROM r GROUP BY ticker""")
 def weekly_digest(spark, sf):
     return holdings.weekly_digest(_posts(spark, sf)).withColumn("period_start", F.col("period_start").cast("timestamp_ntz")).withColumn("period_end", F.col("period_end").cast("timestamp_ntz"))
 
@@ -772,18 +824,18 @@ def members_as_of(spark, sf):
     return holdings.members_as_of(lists, days).select("day", F.size("tickers").cast("long").alias("members"))
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_custkey < 50), w AS (SELECT o_orderkey AS id, o_orderpriority AS ticker, o_custkey % 100 AS strategy_id FROM orders WHERE o_orderkey < 2000) SELECT ticker, name AS strategy_name, count(*) AS items FROM w LEFT JOIN s ON strategy_id = s.id GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT c_custkey AS id, c_mktsegment AS name FROM customer), w AS (SELECT o_orderkey AS id, o_orderpriority AS ticker, o_custkey % 100 AS strategy_id FROM orders) SELECT ticker, name AS strategy_name, count(*) AS items FROM w LEFT JOIN s ON strategy_id = s.id GROUP BY 1, 2""")
 def watchlist_strategies(spark, sf):
-    strategies = _t(spark, sf, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
-    items = _t(spark, sf, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("ticker"), (F.col("o_custkey") % 100).alias("strategy_id"), F.col("o_orderdate").alias("added_at"))
+    strategies = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
+    items = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("ticker"), (F.col("o_custkey") % 100).alias("strategy_id"), F.col("o_orderdate").alias("added_at"))
     return records.watched(items, strategies).groupBy("ticker", "strategy_name").agg(F.count("*").alias("items"))
 
 
-@query("""WITH k AS (SELECT o_orderkey AS id, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey AS id, -o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0) SELECT id, v FROM k WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, v FROM n""")
+@query("""WITH k AS (SELECT o_orderkey AS id, o_totalprice AS v FROM orders), n AS (SELECT o_orderkey AS id, -o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') SELECT id, v FROM k WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, v FROM n""")
 def records_upsert(spark, sf):
     o = _t(spark, sf, "orders")
-    known = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    new = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), (-F.col("o_totalprice")).alias("v"))
+    known = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
+    new = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), (-F.col("o_totalprice")).alias("v"))
     return records.upsert(known, new, ["id"])
 
 
@@ -814,7 +866,7 @@ RESULTS = "re AS (SELECT 'T' || (o_custkey % 40) AS ticker, o_orderstatus AS str
 @query(f"WITH {RESULTS} SELECT ticker, run_id, excess_return FROM re WHERE excess_return IS NOT NULL ORDER BY excess_return DESC, run_id LIMIT 50")
 def leaderboard(spark, sf):
     rows = _results(spark, sf)
-    return tuning.leaderboard(rows.filter("run_id % 2 = 0"), rows.filter("run_id % 3 = 0 or run_id % 2 = 1")).select("ticker", "run_id", "excess_return")
+    return tuning.leaderboard(rows.filter("strategy = 'F'"), rows.filter("strategy <> 'F' or excess_return > 100")).select("ticker", "run_id", "excess_return")
 
 
 @query(f"""WITH {RESULTS}, o AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY excess_return DESC, ticker) AS own FROM re WHERE excess_return IS NOT NULL), p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN own > 2 THEN 1 ELSE 0 END, excess_return DESC, strategy, ticker) AS n FROM o)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..operators.holdings import from_filing, member_ticker
 
 FUNDAMENTALS = "ticker string, name string, sector string, per double, pbr double, market_cap double, earnings_growth double, fcf double, total_cash double, total_debt double"
-#: Column aliases of holdings files, exact or contained, lower case, in order of assignment.
+#: Column names of holdings files, exact or contained, lower case, in order of assignment.
 ALIASES = {
-    "ticker": ("ticker", "symbol", "종목코드", "티커"), "weight": ("weight", "weight (%)", "비중", "% of fund"), "shares": ("shares", "shares held", "quantity", "보유수량", "수량"),
-    "sector": ("sector", "gics sector", "업종", "섹터"), "name": ("name", "company", "issuer", "종목명", "security"),
+    "ticker": ("ticker", "symbol", "종목코드", "티커", "코드"), "weight": ("weight_pct", "weight", "비중(%)", "비중", "구성비중", "구성비율"), "shares": ("shares held", "shares", "보유수량", "수량"),
+    "sector": ("sector", "섹터", "업종"), "name": ("name", "종목명", "구성종목", "company", "종목"),
 }
 
 
@@ -61,7 +61,7 @@ def fund_csv(spark: SparkSession, path: str, fund: str) -> DataFrame:
     """A fund's daily holdings CSV: date (m/d/Y), fund, company, ticker, shares, market value, weight; heaviest first."""
     rows = spark.read.schema("date string, fund string, company string, ticker string, cusip string, shares string, value string, weight string").option("header", True).option("enforceSchema", True).csv(path)
     out = rows.filter(F.upper("fund") == fund.upper()).select(
-        F.try_to_date("date", F.lit("M/d/yyyy")).alias("filing_date"), F.col("company").alias("issuer_name"), F.nullif(F.trim("ticker"), F.lit("")).alias("ticker"), number(F.col("shares")).alias("shares"), number(F.col("value")).alias("value"), number(F.col("weight")).alias("weight_pct")
+        F.try_to_date("date", "M/d/yyyy").alias("filing_date"), F.col("company").alias("issuer_name"), F.nullif(F.trim("ticker"), F.lit("")).alias("ticker"), number(F.col("shares")).alias("shares"), number(F.col("value")).alias("value"), number(F.col("weight")).alias("weight_pct")
     )
     return out.orderBy(F.desc_nulls_last("weight_pct"), "issuer_name")
 

@@ -16,9 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def stream_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours", value: str = "value") -> DataFrame:
     """Bars of a stream of ticks (event_id, ticker, ts, value): each tick once, final once the watermark has passed.
 
-    ticker, ts (the bar's start), open, high, low, close and volume (ticks).
+    ticker, ts (the bar's start), open, high, low, close and volume (ticks). Times without a zone are taken in the session's.
     """
-    once = ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    once = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     key = F.struct("ts", "event_id")
     bars = once.groupBy("ticker", F.window("ts", width)).agg(F.min_by(value, key).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, key).alias("close"), F.count("*").cast("double").alias("volume"))
     return bars.select("ticker", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
