@@ -161,7 +161,11 @@ def guess(batch: list[str | None], net: Network) -> tuple[list[str], list[float]
 
 
 def predictions(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
+    """(doc_id, lang_pred, score) of every row, from its whole text, however long.
+
+    Null, empty and letterless texts are undecided at 0; of equal probabilities the first language in order is taken.
+    Repeated rows and rows without an id give a row each; an empty table gives none; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -175,7 +179,10 @@ def predictions(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
-    """The rows whose language is decided with at least probability `least`, all columns as they are."""
+    """The rows whose language is decided with at least probability `least`, all columns as they are, repeated rows too.
+
+    Rows with null, empty or letterless text go; an empty table gives none.
+    """
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,7 +103,11 @@ def hexed(names: np.ndarray) -> str:
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, most: int = NAMES) -> DataFrame:
-    """(doc_id, fingerprint): hex of each row's names; null text counts as empty, whose fingerprint is empty."""
+    """(doc_id, fingerprint): hex of each row's names; null text counts as empty, whose fingerprint is empty.
+
+    Equal texts have equal fingerprints, whatever their rows; repeated rows and rows without an id give a row each; an
+    empty table gives none; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
