@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: filter by toxicity and language, drop near-duplicates, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the
-columns of documents.
+columns of documents. Null ids are ids that no row shares; a null text counts as empty, passes the toxicity stage and goes
+in the language stage, as texts without letters do. Repeated rows stay until near-duplicates are dropped; an empty table
+gives an empty result. Texts of any length are read whole.
 """
 
 from __future__ import annotations
