@@ -77,6 +77,25 @@ def recent_alerts(alerts: DataFrame, limit: int = 100, unread_only: bool = False
     return (alerts.filter("not is_read") if unread_only else alerts).orderBy(F.desc("detected_at"), "ticker").limit(limit)
 
 
+def unread_count(alerts: DataFrame) -> DataFrame:
+    """One row, n: alerts that aren't read."""
+    return alerts.filter("not is_read").agg(F.count("*").alias("n"))
+
+
+def all_read(alerts: DataFrame) -> DataFrame:
+    return alerts.withColumn("is_read", F.lit(True))
+
+
+def watched_count(watchlist: DataFrame) -> DataFrame:
+    """One row, n: items on the watchlist."""
+    return watchlist.agg(F.count("*").alias("n"))
+
+
+def sectors(stocks: DataFrame) -> DataFrame:
+    """The sectors there are, in order."""
+    return stocks.select("sector").filter("sector is not null").distinct().orderBy("sector")
+
+
 def newest(*snapshots: DataFrame) -> DataFrame:
     """The row with the latest computed_at of all snapshot tables."""
     rows = snapshots[0]

@@ -27,6 +27,8 @@ ANY_STYLE = (0.7, 1.5)
 PERIODS = frozenset("short long period fast slow signal tenkan_len kijun_len span_b_len displacement lookback hold_bars band_period pivot_lookback pattern_window rsi_period".split())
 BANDS, THRESHOLDS, RATIOS = frozenset(("std_dev", "band_std")), frozenset(("value", "level")), frozenset(("threshold", "volume_mult"))
 LEAST_TRADES, PENALTY = 5, 0.5
+#: Fixed values of the regime switch: bars of the mean that tells an uptrend, bars of the high that is broken in one.
+TREND_BARS, BREAKOUT_BARS = 200, 60
 #: Market eras that a strategy is tried on.
 ERAS = (
     ("dotcom bust", "2000-03-01", "2002-10-01"), ("financial crisis", "2007-10-01", "2009-03-01"), ("pandemic", "2020-02-01", "2020-12-31"),
@@ -232,6 +234,36 @@ def era_validation(bars: DataFrame, config: dict, eras=ERAS, members: DataFrame
     return out.withColumn("robustness", won / len(eras))
 
 
+def regime_switched(entry: str, mean: int = TREND_BARS, high: int = BREAKOUT_BARS) -> str | None:
+    """An expression that follows breakouts above the mean and `entry` below it; None if `entry` doesn't parse."""
+    rising, falling = f"close > sma(close, {mean})", f"close <= sma(close, {mean})"
+    text = f"({rising} and close >= highest(close, {high})) or ({falling} and ({entry}))"
+    try:
+        expression.literals(text)
+    except SyntaxError:
+        return None
+    return text
+
+
+def beats_both(comparison: DataFrame) -> DataFrame:
+    """(ticker, beats_ticker, beats_benchmark, beats_both) by growth rate, of backtest.compared's table with one benchmark."""
+    rate = lambda leg, name: comparison.filter(F.col("leg") == leg).select("ticker", F.coalesce("cagr", F.lit(0.0)).alias(name))
+    bench = rate("benchmark", "bench").agg(F.coalesce(F.max("bench"), F.lit(0.0)).alias("bench"))
+    rows = rate("strategy", "own").join(rate("ticker", "held"), "ticker", "left").crossJoin(F.broadcast(bench))
+    one, two = F.col("own") > F.coalesce("held", F.lit(0.0)), F.col("own") > F.col("bench")
+    return rows.select("ticker", one.alias("beats_ticker"), two.alias("beats_benchmark"), (one & two).alias("beats_both"))
+
+
+def live_strategy(daily: DataFrame, chosen: dict[str, int]) -> DataFrame:
+    """(ticker, ts, regime, strategy_id): the strategy that `chosen` names for the regime of each benchmark's last bar.
+
+    daily: regime.daily of the benchmark; a regime without a choice has a null id, no bars give no row.
+    """
+    last = daily.groupBy("ticker").agg(F.max("ts").alias("ts"), F.max_by("regime", "ts").alias("regime"))
+    pairs = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair]) if chosen else F.create_map().cast("map<string,int>")
+    return last.withColumn("strategy_id", F.try_element_at(pairs, "regime"))
+
+
 def leaderboard(known: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("ticker", "run_created_at", "run_id"), most: int = 50) -> DataFrame:
     """The best `most` results by excess_return of both tables, known ones first on ties; one row a key."""
     rows = known.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).filter("excess_return is not null")

@@ -855,6 +855,26 @@ def era_validation(spark, sf):
     return tuning.era_validation(_bars(spark, sf), CROSS, eras)
 
 
+@query(f"WITH {BARS}, {ADX}, {DAILY}, l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM dl) SELECT ticker, ts, regime, CASE regime WHEN 'bull' THEN 1 WHEN 'bear' THEN 2 END AS strategy_id FROM l WHERE back = 1")
+def live_strategy(spark, sf):
+    """The strategy for each ticker's present regime; none for a sideways market."""
+    return tuning.live_strategy(regime.daily(_bars(spark, sf)), {"bull": 1, "bear": 2})
+
+
+SWITCH = {"expression": tuning.regime_switched("close < lowest(low, 5) * 1.5", 30, 10)}
+
+
+@query(
+    f"""WITH {BARS}, s AS (SELECT ticker, {true('c > ' + roll('avg', 'c', 30))} AND {true('c >= ' + roll('max', 'c', 10))} OR {true('c <= ' + roll('avg', 'c', 30))} AND {true('c < ' + roll('min', 'l', 5) + ' * 1.5')} AS held FROM bars)
+ SELECT ticker, CAST(sum(CASE WHEN held THEN 1 ELSE 0 END) AS BIGINT) AS bars_in FROM s GROUP BY ticker"""
+)
+def regime_switch(spark, sf):
+    """An expression that follows breakouts in uptrends and another rule else."""
+    k = Kernels(_bars(spark, sf), LONGEST)
+    held = expression.evaluate(k, SWITCH["expression"])
+    return _count(k.df, bars_in=held)
+
+
 def _results(spark, sf):
     o = _t(spark, sf, "orders")
     return o.select(F.concat(F.lit("T"), F.col("o_custkey") % 40).alias("ticker"), F.col("o_orderstatus").alias("strategy"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("date").alias("run_created_at"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 1000).alias("excess_return"))

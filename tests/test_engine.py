@@ -438,6 +438,17 @@ def test_search_equals_single_backtests(spark):
             assert many[r.ticker, i] == (pytest.approx(r.sharpe), r.trade_count)
 
 
+def test_variants_choice_and_counts(spark):
+    assert tuning.regime_switched("close > ") is None and "highest(close, " in tuning.regime_switched("rsi(close, 14) < 30")
+    rows = [("A", "strategy", 5.0), ("B", "strategy", 1.0), ("A", "ticker", 4.0), ("B", "ticker", 0.5), ("X", "benchmark", 3.0)]
+    got = {r.ticker: (r.beats_ticker, r.beats_benchmark, r.beats_both) for r in tuning.beats_both(spark.createDataFrame(rows, "ticker string, leg string, cagr double")).collect()}
+    assert got == {"A": (True, True, True), "B": (True, False, False)}
+    alerts = spark.createDataFrame([(1, False), (2, True)], "id long, is_read boolean")
+    assert records.unread_count(alerts).first().n == 1 and records.unread_count(records.all_read(alerts)).first().n == 0
+    stocks = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "sector string")
+    assert [r.sector for r in records.sectors(stocks).collect()] == ["a", "b"] and records.watched_count(alerts).first().n == 2
+
+
 def test_config_kinds_and_problems():
     assert [strategy.kind_of(c) for c in (engine.CROSS, engine.STAGED, {"expression": "close > 1"}, {"combine": "AND", "strategies": []}, "not json")] == ["regime", "staged", "expression", "combined", "regime"]
     assert strategy.problems(engine.STAGED) == [] and strategy.problems({"conditions": []}) and strategy.problems({"combine": "XOR", "strategies": [engine.CROSS]}) and strategy.problems("{")
