@@ -26,7 +26,7 @@ STYLE_FACTORS = {"leader": (0.3, 0.8), "growth": (0.8, 2.0), "value": (0.8, 1.5)
 ANY_STYLE = (0.7, 1.5)
 PERIODS = frozenset("short long period fast slow signal tenkan_len kijun_len span_b_len displacement lookback hold_bars band_period pivot_lookback pattern_window rsi_period".split())
 BANDS, THRESHOLDS, RATIOS = frozenset(("std_dev", "band_std")), frozenset(("value", "level")), frozenset(("threshold", "volume_mult"))
-LEAST_TRADES, PENALTY = 5, 0.5
+LEAST_TRADES, LEAST_SANE_TRADES, PENALTY = 5, 3, 0.5
 #: Fixed values of the regime switch: bars of the mean that tells an uptrend, bars of the high that is broken in one.
 TREND_BARS, BREAKOUT_BARS = 200, 60
 #: Market eras that a strategy is tried on.
@@ -104,6 +104,27 @@ def axes(config: dict, style: str | None = None) -> list[tuple[tuple, str, list]
     return out
 
 
+def path_text(path: tuple) -> str:
+    """A path as it is written: entry_stages[0].conditions[1]."""
+    return "".join(f"[{key}]" if isinstance(key, int) else f".{key}" for key in path).lstrip(".")
+
+
+def tunables(config: dict) -> list[tuple[str, str, str, float, str, str, float, float]]:
+    """(path, indicator, key, original, category, style, low, high): what the search would vary, and how far by each style.
+
+    An expression's numbers have its place in it as path; weights are scaled again once they are chosen.
+    """
+    if "expression" in config:
+        found = [(f"expression[{i}]", "", "", v, "period" if v == int(v) and v > 1 else "ratio") for i, (v, _, _) in enumerate(expression.literals(config["expression"]))]
+    else:
+        found = []
+        for path, key, _ in axes(config):
+            part = at(config, path)
+            kind = "weight" if key == "weight" else category(key)
+            found.append((path_text(path), part.get("indicator", ""), key, own_value(kind, part[key]), kind))
+    return [(*place, float(v), kind, style, *map(float, value_range(kind, v, style))) for *place, v, kind in found for style in STYLE_FACTORS]
+
+
 def chosen(values: list[list], budget: int, seed: int = 42) -> list[tuple]:
     """All combinations if they fit the budget, else distinct ones drawn with a fixed seed."""
     total = 1
@@ -254,6 +275,22 @@ def beats_both(comparison: DataFrame) -> DataFrame:
     return rows.select("ticker", one.alias("beats_ticker"), two.alias("beats_benchmark"), (one & two).alias("beats_both"))
 
 
+def cross_validated(comparison: DataFrame) -> DataFrame:
+    """(ticker, trade_count, excess_return): the strategy as it is on each ticker of backtest.compared's table, less the benchmark's growth rate."""
+    bench = comparison.filter("leg = 'benchmark'").agg(F.max("cagr").alias("bench"))
+    rows = comparison.filter("leg = 'strategy'").crossJoin(F.broadcast(bench))
+    return rows.select("ticker", F.col("trade_count").cast("long").alias("trade_count"), F.round(F.col("cagr") - F.col("bench"), 2).alias("excess_return"))
+
+
+def sanity(validated: DataFrame, least: int = LEAST_SANE_TRADES) -> DataFrame:
+    """One row: whether a strategy lives, with its trades and mean excess over the tickers of cross_validated's table.
+
+    It lives if it traded `least` times in all and some ticker has an excess; without tickers it has no trades and no mean.
+    """
+    out = validated.agg(F.coalesce(F.sum("trade_count"), F.lit(0)).alias("total_trades"), F.avg("excess_return").alias("avg_excess_return"))
+    return out.withColumn("passed", (F.col("total_trades") >= least) & F.col("avg_excess_return").isNotNull())
+
+
 def live_strategy(daily: DataFrame, chosen: dict[str, int]) -> DataFrame:
     """(ticker, ts, regime, strategy_id): the strategy that `chosen` names for the regime of each benchmark's last bar.
 

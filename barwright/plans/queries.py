@@ -7,6 +7,7 @@ day; sectors are part types, holders customers, prices retail prices, posts conv
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from ..functions import windows as win
 from ..functions.indicators import Kernels
 from ..operators import backtest, conditions, cycles, expression, holdings, portfolio, ranking, records, regime, sequential, tuning
 from ..sources import bars as B
-from . import strategy
+from . import intake, strategy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -901,3 +902,76 @@ def strategy_texts(spark, sf):
     configs = [CROSS, STAGED, {"expression": "close > sma(close, 20)"}, {"combine": "AND", "strategies": [CROSS, {"expression": "volume > 0"}]}, {"conditions": []}]
     rows = [(i, strategy.kind_of(c), "; ".join(strategy.problems(c)), strategy.explain(c) if not strategy.problems(c) else "") for i, c in enumerate(configs)]
     return spark.createDataFrame(rows, "id int, kind string, problems string, explanation string")
+
+
+# ------------------------------------------------------------ strategy texts
+INTAKE_TEXT = """CASE p_type WHEN 'ECONOMY' THEN 'RSI 과매수 ' WHEN 'LARGE' THEN 'RSI, Macd and Ichimoku ' WHEN 'MEDIUM' THEN 'GOLDEN or Dead Cross ' WHEN 'PROMO' THEN '볼린저 Upper, 과매도 과매수 '
+ ELSE p_name END || CASE p_size % 4 WHEN 0 THEN '골든크로스' WHEN 1 THEN 'Bollinger' WHEN 2 THEN '' END"""
+
+
+def _intake_sql() -> str:
+    has = lambda words: f"regexp_matches(x, '{'|'.join(words)}')"
+    tests = {
+        "golden": has(intake.GOLDEN_WORDS), "dead": has(intake.DEAD_WORDS), "overbought": "x LIKE '%과매수%' AND x NOT LIKE '%과매도%'",
+        "oversold": "(x LIKE '%과매도%' OR x LIKE '%rsi%' AND x NOT LIKE '%과매수%')", "upper": f"{has(intake.BAND_WORDS)} AND {has(intake.UPPER_WORDS)}", "lower": f"{has(intake.BAND_WORDS)} AND NOT {has(intake.UPPER_WORDS)}",
+    }
+    bodies = ", ".join(f"CASE WHEN {t} THEN '{json.dumps(intake.PLAIN[k])}' END" for k, t in tests.items())
+    names = ", ".join(f"CASE WHEN {t} THEN '{intake.NAMES[k]}' END" for k, t in tests.items())
+    return f"""WITH t AS (SELECT p_partkey, lower(coalesce({INTAKE_TEXT}, '')) AS x FROM part), f AS (SELECT p_partkey, {has(intake.STAGED_WORDS)} OR (x LIKE '%rsi%' AND x LIKE '%macd%' AND x LIKE '%ichimoku%') AS st,
+ concat_ws(', ', {bodies}) AS body, concat_ws('+', {names}) AS name FROM t)
+ SELECT p_partkey, CASE WHEN st THEN 'staged' ELSE 'regime' END AS kind, CASE WHEN st THEN '{intake.STAGED_NAME}' WHEN name = '' THEN '후보' ELSE name END AS name,
+ CASE WHEN st THEN '{json.dumps(intake.staged_template())}' ELSE '{{"logic": "AND", "conditions": [' || CASE WHEN body = '' THEN '{json.dumps(intake.PLAIN["golden"])}' ELSE body END || ']}}' END AS config FROM f"""
+
+
+@query(_intake_sql())
+def strategy_intake(spark, sf):
+    """Texts with words of strategies, some of them null, read as configs."""
+    rows = _t(spark, sf, "part").select("p_partkey", F.expr(INTAKE_TEXT).alias("text"))
+    return intake.interpreted(rows).drop("text")
+
+
+TRIM = r"regexp_replace({}, '^[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+|[\s\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+$', '', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex({TRIM.format("replace(text, '. ', chr(10) || ' ----' || chr(10))")}, '(?m)^[ \t]*-{{3,}}[ \t]*$'), lambda x: {TRIM.format("x")}), lambda x: x <> '') AS parts FROM documents)
+ SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS place, unnest(parts) AS script FROM p""")
+def strategy_scripts(spark, sf):
+    """Whole texts whose sentences lie between lines of dashes, as scripts."""
+    rows = _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\. ", "\n ----\n").alias("text"))
+    return rows.select("doc_id", F.posexplode(intake.scripts("text")).alias("place", "script"))
+
+
+TUNED = {
+    "entry_stages": [{"weight": 0.4, "conditions": [{"indicator": "rsi_cross", "period": 14, "level": 30}]}, {"weight": 0.6, "conditions": [{"indicator": "bollinger", "period": 20, "std_dev": 2.0}]}],
+    "exit_stages": [{"conditions": [{"indicator": "bbw_squeeze_release", "threshold": 0.1}]}],
+}
+
+
+@query("""WITH p(path, indicator, key, original, category) AS (VALUES ('entry_stages[0].conditions[0]', 'rsi_cross', 'period', 14.0, 'period'), ('entry_stages[0].conditions[0]', 'rsi_cross', 'level', 30.0, 'threshold'),
+ ('entry_stages[1].conditions[0]', 'bollinger', 'period', 20.0, 'period'), ('entry_stages[1].conditions[0]', 'bollinger', 'std_dev', 2.0, 'band'), ('exit_stages[0].conditions[0]', 'bbw_squeeze_release', 'threshold', 0.1, 'ratio'),
+ ('entry_stages[0]', '', 'weight', 0.4, 'weight'), ('entry_stages[1]', '', 'weight', 0.6, 'weight')),
+ s(style, lo, hi) AS (VALUES ('leader', 0.3, 0.8), ('growth', 0.8, 2.0), ('value', 0.8, 1.5), ('cyclical', 0.7, 1.3), ('defensive', 1.0, 2.0), ('quality', 1.0, 2.5)), w AS (SELECT *, greatest(round(original * 0.3, 3), 0.02) AS width FROM p, s)
+ SELECT path, indicator, key, CAST(original AS DOUBLE) AS original, category, style, CAST(CASE category WHEN 'period' THEN greatest(2, round(original * lo)) WHEN 'band' THEN original - 0.5 WHEN 'threshold' THEN original - 10 ELSE original - width END AS DOUBLE) AS low,
+ CAST(CASE category WHEN 'period' THEN greatest(greatest(2, round(original * lo)) + 1, round(original * hi)) WHEN 'band' THEN original + 0.5 WHEN 'threshold' THEN original + 10 ELSE original + width END AS DOUBLE) AS high FROM w""")
+def tunable_parameters(spark, sf):
+    """What the search would vary in a staged strategy, and how far."""
+    return spark.createDataFrame(tuning.tunables(TUNED), "path string, indicator string, key string, original double, category string, style string, low double, high double")
+
+
+@query("""WITH n AS (SELECT DISTINCT o_custkey AS n FROM orders), a AS (SELECT 1 AS n UNION SELECT n + 1 FROM n) SELECT '후보' || min(n) AS name FROM a WHERE n NOT IN (SELECT n FROM n)""")
+def candidate_name(spark, sf):
+    """The first candidate name that no customer with orders has taken."""
+    return intake.free_name(_t(spark, sf, "orders").select(F.concat(F.lit(intake.CANDIDATE), F.col("o_custkey")).alias("name")))
+
+
+@query(
+    f"""WITH {BARS}, {CURVE}, {TRADES}, n AS (SELECT ticker, count(*) AS trades FROM t2 GROUP BY ticker),
+ y AS (SELECT ticker, arg_max(le, ts) AS le, (max(ts) - min(ts)) / 365.25 AS years, arg_max(c, ts) / arg_min(c, ts) AS held FROM g3 GROUP BY ticker),
+ x AS (SELECT ticker, (exp(le / years) - 1) * 100 - (SELECT (pow(held, 1 / years) - 1) * 100 FROM y WHERE ticker = 'Brand#1') AS excess FROM y)
+ SELECT CAST(sum(trades) AS BIGINT) AS total_trades, round(log10(avg(round(excess, 2))), 5) AS log_excess, sum(trades) >= 3 AND avg(excess) IS NOT NULL AS passed FROM x LEFT JOIN n USING (ticker)"""
+)
+def strategy_sanity(spark, sf):
+    """Whether the golden cross trades at all, and its mean excess over holding one brand, as a logarithm."""
+    d = _bars(spark, sf)
+    found = tuning.sanity(tuning.cross_validated(backtest.compared(d, CROSS, d.filter("ticker = 'Brand#1'"))))
+    return found.select("total_trades", _r(F.log10("avg_excess_return"), 5).alias("log_excess"), "passed")

@@ -13,8 +13,8 @@ import __spark_entry__ as entry
 from barwright.functions import candles
 from barwright.functions.indicators import Kernels
 from barwright.operators import backtest, conditions, cycles, expression, holdings, portfolio, ranking, records, regime, sequential, tuning
+from barwright.plans import intake, strategy
 from barwright.plans import queries as engine
-from barwright.plans import strategy
 from barwright.sources import bars as B
 from barwright.sources import readers
 from barwright.streaming import live
@@ -483,3 +483,39 @@ def test_edge_alerts_across_batches(spark, tmp_path):
         q.awaitTermination(120)
     got = sorted((r.ticker, r.ts.hour) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("A", 1), ("A", 4), ("B", 4)]
+
+
+def test_strategy_texts_become_configs(spark):
+    texts = {
+        "볼린저 밴드 스퀴즈 매매": "staged", "밴드폭 지표가 하단 기준선 아래로 하락": "staged", "상승 다이버전스가 발생": "staged", "쌍봉형 패턴이 나오면": "staged", "RSI with MACD and Ichimoku": "staged",
+        "이동평균 골든크로스가 뜨면 매수합니다": "골든크로스", "RSI and MACD": "RSI 눌림목", "과매수": "RSI 과매수", "과매수 or 과매도": "RSI 눌림목", "Golden, then dead cross at upper Bollinger": "골든크로스+데드크로스+볼린저 상단 돌파",
+        "nothing known": "후보", "": "후보", None: "후보", "x " * 200_000 + "bollinger": "볼린저 하단 이탈",
+    }
+    rows = intake.interpreted(spark.createDataFrame([(t, 7) for t in texts] * 2, "text string, kind int"), out=("kind_read", "name", "config")).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        assert texts[r.text] in (r.kind_read, r["name"]) and r.kind == 7 and strategy.problems(r.config) == []
+        assert strategy.kind_of(r.config) == r.kind_read
+    assert intake.is_sane(intake.staged_template()) and intake.interpreted(spark.createDataFrame([], "text string")).count() == 0
+    one = {"conditions": [{"indicator": "rsi"}]}
+    for wrong in ({}, {"entry_stages": [one]}, {"entry_stages": [one] * 7, "exit_stages": [one]}, {"entry_stages": [{"conditions": []}], "exit_stages": [one]}, {"entry_stages": [one], "exit_stages": [one], "emergency_exit": {"conditions": [{}] * 7}}):
+        assert not intake.is_sane(wrong)
+
+
+def test_scripts_and_candidate_names(spark):
+    texts = {"one\n---\ntwo\n----\nthree\n": ["one", "two", "three"], "no line": ["no line"], "one\n---\n\n---\ntwo": ["one", "two"], "a --- b\r\n \t--- \n\u3000c\u3000": ["a --- b", "c"], "--\nx": ["--\nx"], "": [], None: [], "---": []}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", intake.scripts("text").alias("found")).collect()
+    assert {r.text: r.found for r in rows} == texts
+    name = lambda taken: intake.free_name(spark.createDataFrame([(t,) for t in taken], "name string")).first()["name"]
+    assert name([]) == "후보1" and name(["후보2", None, "후보01", "후보99999999999999999999"]) == "후보1" and name(["후보1", "후보1", "후보2", "후보4"]) == "후보3"
+
+
+def test_tunables_and_sanity(spark):
+    found = tuning.tunables({"logic": "AND", "conditions": [{"indicator": "rsi", "period": 14, "op": "<", "value": 30, "flag": True}]})
+    assert ("conditions[0]", "rsi", "value", 30.0, "threshold", "leader", 20.0, 40.0) in found and len(found) == 12
+    assert {r[0] for r in tuning.tunables({"expression": "close > sma(close, 20) * 1.5"})} == {"expression[0]", "expression[1]"} and tuning.tunables({"conditions": []}) == []
+    rows = [("A", "strategy", 12.0, 2), ("B", "strategy", 6.0, 1), ("A", "ticker", 1.0, 1), ("X", "benchmark", 8.0, 1)]
+    validated = tuning.cross_validated(spark.createDataFrame(rows, "ticker string, leg string, cagr double, trade_count int"))
+    assert {r.ticker: (r.trade_count, r.excess_return) for r in validated.collect()} == {"A": (2, 4.0), "B": (1, -2.0)}
+    assert tuple(tuning.sanity(validated).first()) == (3, 1.0, True) and not tuning.sanity(validated, 4).first().passed
+    assert tuple(tuning.sanity(validated.filter("false")).first()) == (0, None, False)
