@@ -38,6 +38,8 @@ END = FREQUENT + BUCKETS
 SYMBOLS = END + 1
 #: Weight of class shares in a transition, and of each symbol in a class; words counted before a task lets go of them.
 PULL, FLOOR, HELD = 20.0, 0.5, 250_000
+#: Bits of the table that tells words seen `LEAST` times from most of the rarer ones.
+SLOTS = 1 << 24
 
 
 class Symbols(dict):
@@ -64,14 +66,21 @@ def bucket_of(word: bytes) -> int:
 
 
 class Codes(dict):
-    """word -> its place among `words`, or len(words) plus its bucket; remembers a bounded number of other words."""
+    """word -> its place among `words`, or len(words) plus its bucket; remembers a bounded number of other words.
 
-    def __init__(self, words: list[bytes]):
+    With `marks` (see `often_marks`), other words that have a mark get their bucket's code plus BUCKETS.
+    """
+
+    def __init__(self, words: list[bytes], marks: np.ndarray | None = None):
         super().__init__((w, i) for i, w in enumerate(words))
-        self.n = len(words)
+        self.n, self.marks = len(words), marks
 
     def __missing__(self, word: bytes) -> int:
         code = self.n + bucket_of(word)
+        if self.marks is not None:
+            slot = zlib.crc32(word) % SLOTS
+            if self.marks[slot >> 3] >> (slot & 7) & 1:
+                code += BUCKETS
         if len(self) < self.n + HELD:
             self[word] = code
         return code
@@ -214,27 +223,40 @@ def most_counted(counts: DataFrame, most: int = COUNTED) -> tuple[dict[bytes, in
     return {r.word.encode(): int(r.c) for r in sorted(rows, key=lambda r: (-r.c, r.word))}, chosen
 
 
-def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int) -> DataFrame:
+def often_marks(tail: DataFrame) -> np.ndarray:
+    """Bytes of SLOTS bits, set at the hashes of tail's words that are seen `LEAST` times; the table's size is fixed.
+
+    A rarer word may share a bit; it only costs its way to `assigned`, which counts it and leaves it out.
+    """
+    slot = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(SLOTS))
+    rows = tail.filter(F.col("c") >= LEAST).select(F.shiftright(slot, 3).alias("at"), F.call_function("shiftleft", F.lit(1), F.pmod(slot, F.lit(8)).cast("int")).alias("bit"))
+    found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    marks = np.zeros(SLOTS >> 3, np.uint8)
+    marks[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    return marks
+
+
+def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int, often: int, marks: np.ndarray) -> DataFrame:
     """(word, id, sides, times): which classes stand beside a word and how often, one row for each task and word or more.
 
     Side c is class c before the word, CLASSES + c class c after it, 2 * CLASSES that it follows itself. Words with
-    codes from `low` on come by their code as id, words that are not among `words` by themselves. `first`: code -> class.
-    sides are unsigned bytes, times unsigned 32-bit numbers.
+    codes from `low` up to `often` come by their code as id, words with a mark that are not among `words` by themselves;
+    all others are seen too seldom for a class of their own. `first`: code -> class. sides are unsigned bytes, times unsigned 32-bit numbers.
     """
     n = len(words)
+    first = np.concatenate((first, first[n:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total, held, size, local = Codes(words), np.zeros((n - low) * SIDES, np.int32), [], 0, {}
+        codes, total, held, size, local = Codes(words, marks), np.zeros((often - low) * SIDES, np.int32), [], 0, {}
 
         def rows(keys: np.ndarray, times: np.ndarray, by: pa.Array, by_id: bool) -> pa.RecordBatch:
             """One row for each word among keys (ascending; place in `by` times SIDES plus side)."""
             word, side = keys // SIDES, (keys % SIDES).astype(np.uint8)
             begin = np.flatnonzero(np.diff(word, prepend=-1))
-            edges = np.append(begin, len(word))
-            cut = lambda x, width: pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(x.tobytes())])
+            each = np.diff(np.append(begin, len(word)))
             named = by.take(pa.array(word[begin]))
             none = pa.nulls(len(begin), pa.string() if by_id else pa.int64())
-            return pa.RecordBatch.from_arrays([none if by_id else named, named if by_id else none, cut(side, 1), cut(times.astype(np.uint32), 4)], ["word", "id", "sides", "times"])
+            return pa.RecordBatch.from_arrays([none if by_id else named, named if by_id else none, packed(side, each), packed(times.astype(np.uint32), each)], ["word", "id", "sides", "times"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size, local
@@ -250,9 +272,9 @@ def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int
                 tokens = t.lower().split()
                 code = codes.of(tokens)
                 around = np.concatenate(([0], first[code], [0]))
-                own = code - low
-                for i in np.flatnonzero(code >= n).tolist():
-                    own[i] = n - low + local.setdefault(tokens[i], len(local))
+                own = np.where(code < often, code - low, -1)
+                for i in np.flatnonzero(code >= n + BUCKETS).tolist():
+                    own[i] = often - low + local.setdefault(tokens[i], len(local))
                 same = (code[1:] == code[:-1]) & (code[1:] < n)
                 alone = np.concatenate(([False], same))[: len(code)], np.concatenate((same, [False]))[: len(code)]
                 wanted = own >= 0
@@ -265,7 +287,7 @@ def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int
         yield from flush()
         found = np.flatnonzero(total)
         for part in np.array_split(found, max(1, len(found) >> 18)) if len(found) else ():
-            yield rows(part, total[part], pa.array(np.arange(low, n)), True)
+            yield rows(part, total[part], pa.array(np.arange(low, often)), True)
 
     return train.select("text").mapInArrow(run, "word string, id long, sides binary, times binary")
 
@@ -306,6 +328,20 @@ def best_classes(m: np.ndarray, own_class: np.ndarray, n: np.ndarray) -> np.ndar
     return np.where(gain[rows, best] > gain[rows, own_class] + 1e-9, best, own_class)
 
 
+def flat(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, number in each row) of a column of packed numbers."""
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int32)[col.offset : col.offset + len(col) + 1]
+    many = int(at[-1] - at[0]) // kind().itemsize
+    return np.frombuffer(data, kind, many, at[0]) if many else np.zeros(0, kind), np.diff(at) // kind().itemsize
+
+
+def packed(values: np.ndarray, each: np.ndarray) -> pa.Array:
+    """A column of packed numbers, `each` of them in a row."""
+    edges = np.concatenate(([0], np.cumsum(each))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 def assigned(near: DataFrame, m: np.ndarray, words: list[bytes], cls: np.ndarray) -> DataFrame:
     """(word, id, class): the best class of each word seen `LEAST` times, as exchange would move it from its bucket's.
 
@@ -320,12 +356,6 @@ def assigned(near: DataFrame, m: np.ndarray, words: list[bytes], cls: np.ndarray
             a = np.array([cls[FREQUENT + bucket_of(words[i[k]] if word[k] is None else word[k].encode())] for k in some], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([word[k] for k in some], pa.string()), pa.array([i[k] for k in some], pa.int64()), pa.array(best_classes(m, a, n[some]), pa.int64())], ["word", "id", "class"])
 
-    def flat(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        """(values, number in each row) of a column of packed numbers."""
-        _, offsets, data = col.buffers()
-        at = np.frombuffer(offsets, np.int32)[col.offset : col.offset + len(col) + 1]
-        return np.frombuffer(data, kind, (at[-1] - at[0]) // kind().itemsize, at[0]), np.diff(at) // kind().itemsize
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sums = None, np.zeros((0, SIDES))  # the last word so far, whose rows may go on
         for b in batches:
@@ -367,7 +397,7 @@ def fit(train: DataFrame, counts: DataFrame, words: int, distinct: int, ends: in
     often = sum(c >= LEAST for c in counted.values())
     own = max(len(frequent), often)
     tail = counts.filter(~chosen)
-    near = neighbours(train, known, first, len(frequent))
+    near = neighbours(train, known, first, len(frequent), own, often_marks(tail))
     found = written(assigned(near, m, known, cls), "lm-classes")
     classes = first.copy()
     for r in found.filter("word is null").collect():
@@ -430,34 +460,31 @@ def _joined(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(model.counted)
-        for b in batches:
-            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            known, base, score, classes = [], [], [], []
-            names = ("n_known", "base_score", "score", "classes", "refs", "words", "times", "k", "c", "class")
-            for known_, base_, score_, raw, refs, words, times, ks, cs, own in zip(*[col[x].to_pylist() for x in names], strict=True):
-                seq = np.frombuffer(raw, np.uint8).copy()
-                is_open = seq >= OPEN
-                seq[is_open] -= OPEN
-                if ks:
-                    ks, own, c = np.array(ks), np.array(own), np.array(cs, np.float64)
-                    t = np.array(times)[ks]
-                    known_ += int(t.sum())
-                    base_ += float(t @ np.log10(c + 1))
-                    rare = own < 0
-                    score_ += float(t[rare] @ np.log10(c[rare] + 1))
-                    if not rare.all():
-                        was = model.emit[[n + bucket_of(words[k].encode()) for k in ks[~rare]]]
-                        score_ += float(t[~rare] @ (np.log10(c[~rare] + FLOOR) - model.total[own[~rare]] - was))
-                        new = np.full(len(words), -1)
-                        new[ks] = own
-                        new = new[np.frombuffer(refs, np.int32)]
-                        seq[is_open] = np.where(new >= 0, new, seq[is_open])
-                known.append(known_)
-                base.append(base_)
-                score.append(score_)
-                classes.append(seq.tobytes())
-            arrays = [*[col[x] for x in ("row", "doc_id", "held_out", "n_tokens")], pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(classes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "classes"])
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                b = whole.slice(at, 500)
+                col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+                lengths = {x: col[x].value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in ("words", "k")}
+                begin = np.cumsum(lengths["words"]) - lengths["words"]  # a text's first word among all texts' other words
+                k, c, own, times = (col[x].flatten().to_numpy() for x in ("k", "c", "class", "times"))
+                words, row = col["words"].flatten(), np.repeat(np.arange(len(b)), lengths["k"])
+                word, rare = begin[row] + k, own < 0
+                t, kept = times[word], np.flatnonzero(own >= 0)
+                was = model.emit[np.array([n + bucket_of(w) for w in words.take(pa.array(word[kept])).cast(pa.binary()).to_pylist()], np.int64)]
+                more = t * np.log10(c + 1.0)
+                by_row = lambda x, where: np.bincount(row[where], x, len(b))
+                score = by_row(more[rare], rare) + by_row(t[kept] * (np.log10(c[kept] + FLOOR) - model.total[own[kept]] - was), kept)
+                new = np.full(len(words), -1)
+                new[word] = own
+                seq, each = flat(col["classes"], np.uint8)
+                refs, of_row = flat(col["refs"], np.int32)
+                seq, is_open = seq & (OPEN - 1), seq >= OPEN
+                new = new[np.repeat(begin, of_row) + refs]
+                seq[is_open] = np.where(new >= 0, new, seq[is_open])
+                added = by_row(t, slice(None)).astype(np.int64), by_row(more, slice(None)), score
+                sums = [pa.array(col[x].to_numpy(zero_copy_only=False) + y) for x, y in zip(("n_known", "base_score", "score"), added, strict=True)]
+                arrays = [*[col[x] for x in ("row", "doc_id", "held_out", "n_tokens")], *sums, packed(seq, each)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "classes"])
 
     return run
 
