@@ -236,14 +236,16 @@ def often_marks(tail: DataFrame) -> np.ndarray:
     return marks
 
 
-def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int, often: int, marks: np.ndarray) -> DataFrame:
+def neighbours(train: DataFrame, words: list[bytes], first: np.ndarray, low: int, often: int | None = None, marks: np.ndarray | None = None) -> DataFrame:
     """(word, id, sides, times): which classes stand beside a word and how often, one row for each task and word or more.
 
     Side c is class c before the word, CLASSES + c class c after it, 2 * CLASSES that it follows itself. Words with
     codes from `low` up to `often` come by their code as id, words with a mark that are not among `words` by themselves;
-    all others are seen too seldom for a class of their own. `first`: code -> class. sides are unsigned bytes, times unsigned 32-bit numbers.
+    all others are seen too seldom for a class of their own. Without `often` and `marks` no word is. `first`: code -> class. sides are unsigned bytes, times unsigned 32-bit numbers.
     """
     n = len(words)
+    often = n if often is None else often
+    marks = np.full(SLOTS >> 3, 255, np.uint8) if marks is None else marks
     first = np.concatenate((first, first[n:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

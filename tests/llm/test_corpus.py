@@ -656,3 +656,33 @@ def test_successors_across_ranges(corpus):
         spans.sort()
         after |= {a[1]: b[1] for a, b in zip(spans, spans[1:], strict=False)}
     assert after == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
+def test_often_marks_hold_every_word_that_gets_a_class(spark):
+    counts = [(f"w{i}", i % 25) for i in range(500)] + [("é", 10), ("", 9)]
+    frame = spark.createDataFrame(counts, "word string, c long")
+    marks = lm_classes.often_marks(frame)
+    want = {zlib.crc32(w.encode()) % lm_classes.SLOTS for w, c in counts if c >= lm_classes.LEAST}
+    assert set(np.flatnonzero(np.unpackbits(marks, bitorder="little")).tolist()) == want
+    assert not lm_classes.often_marks(empty(frame)).any()
+
+
+def test_neighbours_leave_out_words_without_a_mark(spark):
+    words, first = [b"a", b"b", b"c"], np.array([1, 2, 3] + [4] * lm_classes.BUCKETS)
+    marks = np.zeros(lm_classes.SLOTS >> 3, np.uint8)
+    slot = zlib.crc32(b"often") % lm_classes.SLOTS
+    marks[slot >> 3] |= 1 << (slot & 7)
+    docs = spark.createDataFrame([("a b often rare c often",), (None,), ("",)], "text string")
+    rows = lm_classes.neighbours(docs, words, first, 1, 2, marks).collect()
+    assert sorted((r.word or "", -1 if r.id is None else r.id) for r in rows) == [("", 1), ("often", -1)]
+    (found,) = [r for r in rows if r.word == "often"]
+    k = lm_classes.CLASSES
+    got = dict(zip(found.sides, np.frombuffer(found.times, np.uint32).tolist(), strict=True))
+    assert got == {2: 1, 3: 1, k: 1, k + 4: 1}
+
+
+def test_packed_numbers_come_back():
+    for values, each in (([1, 2, 3], [0, 2, 0, 1]), ([], [0, 0]), ([], [])):
+        column = lm_classes.packed(np.array(values, np.int32), np.array(each, np.int64))
+        got, many = lm_classes.flat(column, np.int32)
+        assert got.tolist() == values and many.tolist() == each
