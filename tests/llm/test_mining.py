@@ -1,11 +1,14 @@
 """Collocations, spelling variants and URL rules against brute force."""
 
+import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.llm import url_rules
+from barwright.llm import url_rules, variants
 
 URLS = [
     "http://a.net/x", "https://net/", "http://a.net", "http://anet/x", "HTTP://A.NET/x?q#f", "http://blog.example.net/en/1", "http://example.net/english", "http://example.net/en/",
@@ -64,3 +67,90 @@ def test_url_rules_index_and_odd_tables(spark, sf_dir):
     assert url_rules.judged(pages, table.filter("false")).filter("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
     long = spark.createDataFrame([("http://a.net/" + "x/" * 200_000,)], "url string")
     assert [r.verdict for r in url_rules.judged(long).collect()] == ["block"]
+
+
+# ---------------------------------------------------------------- op12
+def near_words(words):
+    """word -> near words, by letting go of one code point at each place."""
+    gaps, found = defaultdict(set), defaultdict(set)
+    for w in words:
+        gaps[w].add((w, None))
+        for i in range(len(w)):
+            gaps[w[:i] + w[i + 1 :]].add((w, i))
+    for some in gaps.values():
+        for a, i in some:
+            found[a] |= {b for b, j in some if b != a and (i is None) + (j is None) == 1 or b != a and i is not None and i == j}
+    return found
+
+
+def grouped(n):
+    near, form = near_words(n), {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), n[form[w]] if form[w] is not None else None)
+    return out
+
+
+def word_counts(docs):
+    out = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            word = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if h % 97 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            out[word] += 1
+    return {w: n for w, n in out.items() if n >= 3 and len(w) >= 5}
+
+
+def of_rows(found):
+    rows = found.collect()
+    out = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_automaton_numbers_and_is_minimal():
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 7))) for _ in range(700)})
+    a = variants.Automaton(words)
+    assert len(a) == len(words) and [a.spelt(i) for i in range(len(words))] == words
+    assert [a.follow(a.root, 0, w)[1] for w in words] == list(range(len(words)))
+    with pytest.raises(IndexError):
+        a.spelt(len(words))
+    ways = {""}
+    for _ in range(3):
+        ways |= {w + c for w in ways for c in "ab"}
+    assert len(variants.Automaton(sorted(w for w in ways if len(w) == 3)).nodes) == 4  # one node a length
+    assert len(variants.Automaton([])) == 0 and variants.Automaton([]).near("word", 2) == set()
+
+
+@pytest.mark.parametrize("cell", [variants.CELL, 40])
+def test_variants_of_dense_words(spark, cell):
+    rnd = random.Random(5)
+    n = {"".join(rnd.choice("abé") for _ in range(rnd.randint(4, 8))): rnd.randint(3, 40) for _ in range(700)}
+    n |= {"aaaa" + "".join(rnd.choice("abcdef") for _ in range(4)): rnd.randint(3, 9) for _ in range(300)} | {"a": 3, "ab": 9, "": 4, "b": 5}
+    found = of_rows(variants.grouped(spark.createDataFrame(list(n.items()), "word string, n long"), cell))
+    want = grouped(n)
+    short = {w for w in n if len(w) < 3}  # words too short for a half
+    assert {w: r for w, r in found.items() if w not in short} == {w: r for w, r in want.items() if w not in short}
+
+
+def test_variants_of_whole_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = word_counts((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert of_rows(variants.report(docs)) == grouped(n) and any(r[0] for r in grouped(n).values())
+
+
+def test_variants_of_odd_rows(spark):
+    rows = [(None, "Größe größe GRÖSSE Größe"), (1, None), (2, ""), (3, "größe grösse grösse " * 3 + "×÷×÷×÷ " * 4), (3, "größe"), (4, "abcde " * 60_000 + "abcdf " * 3), (5, "abcd " * 9 + "naïve1naïve_naïve")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = docs.withColumns({c: F.lit(1) for c in ("word", "n", "cell", "form", "key", "root")})
+    assert of_rows(variants.report(clash)) == grouped(word_counts(rows))
+    assert variants.report(docs.filter("false")).count() == 0
