@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, lm_classes, media_tar, mixing, packing, phrases, quality, simhash, toxicity, url_rules, variants
+from . import collocations, html_extract, langid, lm_classes, media_tar, mixing, packing, phrases, quality, simhash, toxicity, url_rules, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.report(_table(spark, sf_dir, "documents"))
 
@@ -62,8 +66,8 @@ def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_mixing, op3_packing, op4_langid, op5_toxicity, op6_simhash, op7_lm, op8_quality, op9_media, op10_phrases, op12_variants, op13_urls)}
+    return {f.__name__: f for f in (op1_html, op2_mixing, op3_packing, op4_langid, op5_toxicity, op6_simhash, op7_lm, op8_quality, op9_media, op10_phrases, op11_collocations, op12_variants, op13_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_urls": url_rules.SQL}
+    return {"op11_collocations": collocations.SQL, "op13_urls": url_rules.SQL}

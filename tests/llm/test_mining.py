@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.llm import url_rules, variants
+from barwright.llm import collocations, url_rules, variants
 
 URLS = [
     "http://a.net/x", "https://net/", "http://a.net", "http://anet/x", "HTTP://A.NET/x?q#f", "http://blog.example.net/en/1", "http://example.net/english", "http://example.net/en/",
@@ -154,3 +154,86 @@ def test_variants_of_odd_rows(spark):
     clash = docs.withColumns({c: F.lit(1) for c in ("word", "n", "cell", "form", "key", "root")})
     assert of_rows(variants.report(clash)) == grouped(word_counts(rows))
     assert variants.report(docs.filter("false")).count() == 0
+
+
+# ---------------------------------------------------------------- op11
+def phrase_counts(rows, longest):
+    counts, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", "".join(c.lower() if c.isascii() else c for c in text or "")):
+            words = re.findall("[^ \t]+", piece)
+            n[lang] += len(words)
+            for size in range(1, longest + 1):
+                counts[lang].update(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    return counts, n
+
+
+def best_phrases(rows, longest=3, least=10, share=50, top=2000):
+    counts, n = phrase_counts(rows, longest)
+    out = []
+    for lang, f in counts.items():
+        some = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        scored = []
+        for p, a in some.items():
+            inside = lambda q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))  # noqa: E731, B023
+            if any(len(q) > len(p) and 100 * b >= share * a and inside(q) for q, b in some.items()):
+                continue
+            score, k = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, l, r, n[lang], -score) for i, (score, a, p, l, r) in enumerate(sorted(scored)[:top])]
+    return sorted(out)
+
+
+def phrases_of(df):
+    return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
+
+
+def texts_of_few_words(seed=7):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice(["en", "de", None, ""]), "".join(rnd.choice(["a", "bb", "Ccc", "\u00dcx", "x\u00a0y", "\u2028", "z\x00", "A"]) + rnd.choice([" ", " ", "  ", "\t", ", ", "\n", " . ", ""]) for _ in range(rnd.randint(0, 60)))) for _ in range(400)]
+    return rows + [("en", None), (None, None), ("xx", ""), ("yy", "one two"), ("en", "the whole phrase stays " * 40_000), ("en", "a." * 50), ("de", "new york city, " * 30)]
+
+
+@pytest.mark.parametrize(("longest", "least", "share", "top", "bits"), [(3, 10, 50, 2000, None), (3, 10, 50, 2000, 5), (2, 3, 50, 7, 18), (4, 5, 80, 40, 12)])
+def test_collocations_are_those_of_counting_all(spark, longest, least, share, top, bits, monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK", 3000)
+    rows = texts_of_few_words()
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    found = collocations.collocations(docs, longest=longest, least=least, share=share, top=top, bits=bits)
+    want = best_phrases(rows, longest, least, share, top)
+    assert phrases_of(found) == want and len(want) > 20
+
+
+def test_sketch_never_misses_and_is_small(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 2000)
+    rows = texts_of_few_words(11)
+    docs = spark.createDataFrame([(a or "und", b) for a, b in rows], "lang string, text string").repartition(7)
+    bits = 17
+    often = collocations.sketched(docs, bits=bits)
+    assert often.nbytes == collocations.ROWS * 2**bits // 8
+    counts, _ = phrase_counts([(a or "und", b) for a, b in rows], 3)
+    passed = missed = rare = 0
+    for lang, f in counts.items():
+        chunk = collocations.Chunk(lang.encode(), [" ".join(p).encode() for p in f if len(p) == 3])
+        for n, places, hashes in chunk.grams(3):
+            ok = [all(often[row][c >> 3] >> (7 - (c & 7)) & 1 for row in range(collocations.ROWS) for c in [int(collocations.cell(hashes[i : i + 1], row, bits)[0])]) for i in range(len(places))]
+            for i, place in enumerate(places):
+                real = f[tuple(chunk.words[x].decode() for x in chunk.ids[place : place + n])] >= 10
+                missed += real and not ok[i]
+                passed += ok[i] and not real
+                rare += not real
+    assert missed == 0 and passed < 0.05 * rare
+
+
+def test_collocations_of_odd_tables(spark):
+    docs = spark.createDataFrame(texts_of_few_words()[:200], "lang string, text string")
+    clash = docs.withColumns({c: F.lit(1) for c in ("words", "phrase", "f", "rank", "n", "first", "row", "block")})
+    assert phrases_of(collocations.report(clash)) == phrases_of(collocations.report(docs)) == best_phrases(texts_of_few_words()[:200])
+    assert collocations.report(docs.filter("false")).count() == 0
+
+
+def test_collocation_scores_are_exact_beyond_64_bits(spark):
+    big = 3_000_000_019
+    grams = spark.createDataFrame([("en", 1, "a", big + 5), ("en", 1, "b", big + 77), ("en", 2, "a b", big), ("en", 0, "", 4 * big)], "lang string, words int, phrase string, f long")
+    assert [r.score for r in collocations.scored(grams).collect()] == [10**6 * big * big // ((big + 5) * (big + 77))]
