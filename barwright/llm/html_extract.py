@@ -1,9 +1,10 @@
 """Main text from HTML by text-to-tag ratios.
 
 The standard library's parser streams a page's events; block-level tags end lines. A line keeps its text, the number
-of tags met since the line before, how much of its text is in links, and the container it lies in. What HTML's own
-elements say is no main text (menus, footers, forms, scripts and so on) is set aside as it streams by. The ratio of
-text to tags is smoothed with a Gaussian over the lines and clustered by a threshold halfway between two means; class
+of tags met since the line before, how much of its text is in links, and the container it lies in. Lines in elements
+that HTML itself sets apart from main text (menus, footers, controls, scripts and so on) go first, but no element takes
+more than it can mean: one that stays open gives its lines back, a form that wraps prose only loses its controls, and a
+header without links counts like other lines. The ratio of text to tags is smoothed with a Gaussian over the lines and clustered by a threshold halfway between two means; class
 names that hint at other parts lower a line's score, no more. The lines of the high cluster are the core. The content
 region is the smallest container that holds nearly all of it, or the articles where a page has some; in it, hinted
 containers go whose score is low, and so do containers without core that are lists of links or of short lines.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,12 +28,16 @@ from .common import texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and roles whose content is never main text.
 ASIDE = frozenset("script style noscript template head title svg canvas iframe object audio video nav footer aside menu dialog form button select textarea datalist option".split())
+#: Those that hold no text that shows, those that a block ends, and those that the parser may see no end of.
+UNSEEN = frozenset("script style noscript template head title svg canvas iframe object audio video".split())
+INLINE = frozenset("head title select datalist option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul footer aside".split()
 )
 SECTIONS = frozenset("article main section div body td blockquote details figure".split())
 ARTICLES = frozenset(("article", "main"))
+STARTS = ARTICLES | {"section"}
 #: Words of class, id and label that hint at other parts than main text, and words of wrappers that may hold them beside it.
 STRONG = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social sidebar sidenav menu nav navbar navigation topnav breadcrumb breadcrumbs footer comment comments commentlist discussion disqus reply replies respond related recommended recommendations pagination pager".split()
@@ -42,6 +48,8 @@ WRAPPERS = frozenset("content main article post page wrapper wrap container layo
 STRONG_COST, WEAK_COST, GAP = 3.0, 1.0, 1.4
 #: The share of the core that a region holds, and the lines that make a list.
 REGION, LIST = 0.85, 3
+#: Characters of prose that make a form or an outer article content, and those of a line of prose.
+PROSE, SENTENCE = 200, 60
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -62,18 +70,31 @@ def _cost(attrs: list[tuple[str, str | None]]) -> float:
     return cost
 
 
+@dataclass
+class Aside:
+    """An element set aside: the one around it, its tag, whether it was closed, and what was seen in it."""
+
+    around: int
+    tag: str
+    closed: bool = False
+    links: int = 0
+    article: bool = False
+    section_at: int | None = None  # the line at which an article, main part or section first begins in it
+
+
 class Lines(HTMLParser):
-    """Collects a page's lines: (text, tags, characters in links, container's number).
+    """Collects a page's lines: (text, tags, characters in links, container's number, aside's number or 0).
 
-    containers[i]: (parent's number, what its names take off, whether it is an article, whether it lies in one).
+    containers[i]: (parent's number, what its names take off, whether it is an article, whether it lies in one, its tag).
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.containers: list[tuple[int, float, bool, bool]] = [(-1, 0.0, False, False)]
-        self.open: list[tuple[str, int]] = []  # tag, container around its content
-        self.skip_at, self.links = 0, 0  # skip_at: the stack's height with the element set aside, or 0
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.containers: list[tuple[int, float, bool, bool, str]] = [(-1, 0.0, False, False, "")]
+        self.asides = [Aside(0, "", True)]
+        self.open: list[tuple[str, int, int, tuple[int, int] | None]] = []  # tag, container and aside around its content, counts to go on from
+        self.links = 0
         self.parts: list[str] = []
         self.tags, self.linked = 0, 0
 
@@ -85,15 +106,41 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.lines.append((text, self.tags, self.linked, self.open[-1][1] if self.open else 0))
+                self.lines.append((text, self.tags, self.linked, *(self.open[-1][1:3] if self.open else (0, 0))))
                 self.tags = self.linked = 0
             self.parts = []
 
+    def chain(self, aside: int) -> Iterator[Aside]:
+        """An aside and those around it."""
+        while aside:
+            yield self.asides[aside]
+            aside = self.asides[aside].around
+
+    def leave(self, tags: frozenset[str] | None) -> None:
+        """Ends the asides of these tags (None: all but forms) here, wherever their end tags are."""
+        out = {i for i, a in enumerate(self.asides) if i and (a.tag != "form" if tags is None else a.tag in tags)}
+        if any(aside in out for *_, aside, _ in self.open):
+            self.flush()
+            for i, (tag, at, aside, counts) in enumerate(self.open):
+                while aside in out:
+                    self.asides[aside].closed = True
+                    aside = self.asides[aside].around
+                self.open[i] = (tag, at, aside, counts)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skip_at:
-            if tag not in VOID:
-                self.open.append((tag, 0))
-            return
+        if self.open and self.open[-1][2]:
+            if tag in BLOCKS or tag == "body":
+                self.leave(INLINE)
+            if tag == "main":
+                self.leave(None)
+            if tag in STARTS:
+                self.flush()
+                for a in self.chain(self.open[-1][2]):
+                    a.article |= tag in ARTICLES
+                    a.section_at = len(self.lines) if a.section_at is None else a.section_at
+            elif tag == "a":
+                for a in self.chain(self.open[-1][2]):
+                    a.links += 1
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
@@ -101,21 +148,25 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        at = self.open[-1][1] if self.open else 0
+        at, inner = self.open[-1][1:3] if self.open else (0, 0)
         inside = self.containers[at][3]
         whole = tag in ("html", "body")
         aside = tag in ASIDE or tag == "header" and not inside or not whole and tag not in ARTICLES and attrs and _hidden(attrs)
+        aside = aside or tag in ("label", "legend") and any(a.tag == "form" for a in self.chain(inner))
         cost = _cost(attrs) if attrs and not whole else 0.0
-        if not aside and (tag in SECTIONS or cost):
-            self.containers.append((at, cost, tag in ARTICLES, inside or tag in ARTICLES))
+        if (not aside or tag in ("form", "header")) and (tag in SECTIONS or cost or aside):
+            self.containers.append((at, cost, tag in ARTICLES, inside or tag in ARTICLES, tag))
             at = len(self.containers) - 1
             if cost:
                 self.flush()
-        self.open.append((tag, at))
-        self.links += tag == "a"
+        counts = None
         if aside:
             self.flush()
-            self.skip_at = len(self.open)
+            counts = self.tags, self.linked
+            self.asides.append(Aside(inner, tag))
+            inner = len(self.asides) - 1
+        self.open.append((tag, at, inner, counts))
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -126,23 +177,61 @@ class Lines(HTMLParser):
                 break
         else:
             return
-        if self.skip_at:
-            if i + 1 > self.skip_at:
-                del self.open[i:]
-                return
-            self.skip_at = 0
+        around = self.open[i - 1][1:3] if i else (0, 0)
+        first = self.open[i]
         self.tags += 1
-        around = self.open[i - 1][1] if i else 0
-        if any(t in BLOCKS or at != around for t, at in self.open[i:]):
+        if any(t in BLOCKS or (at, aside) != around for t, at, aside, _ in self.open[i:]):
             self.flush()
-        self.links = max(0, self.links - sum(t == "a" for t, _ in self.open[i:]))
+        if first[3]:
+            if first[2] != around[1]:
+                self.asides[first[2]].closed = True
+            self.tags, self.linked = first[3][0] + 1, first[3][1]
+        self.links = max(0, self.links - sum(t == "a" for t, *_ in self.open[i:]))
         del self.open[i:]
 
     def handle_data(self, data: str) -> None:
-        if not self.skip_at:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+        self.parts.append(data)
+        if self.links:
+            self.linked += len(data)
+
+    def shown(self) -> list[tuple[str, int, int, int]]:
+        """The lines (text, tags, characters in links, container's number) that no element sets aside."""
+        self.flush()
+        for lenient in (False, True):
+            kept = [line[:4] for i, line in enumerate(self.lines) if not any(self._takes(a, i, lenient) for a in self.chain(line[4]))]
+            if kept:
+                break
+        return kept
+
+    def _takes(self, aside: Aside, line: int, lenient: bool) -> bool:
+        """Whether a line goes with the aside it lies in; `lenient`: one that holds an article keeps its lines."""
+        if aside.tag == "form":
+            return not self._content(aside)
+        if aside.tag in ("option", "label", "legend", "textarea", "button") or aside.tag in UNSEEN and aside.closed:
+            return True
+        if lenient and aside.article:
+            return False
+        if not aside.closed:
+            return aside.section_at is not None and line < aside.section_at
+        return aside.tag != "header" or aside.links > 0
+
+    def _content(self, form: Aside) -> bool:
+        """Whether a form wraps content: an article, prose, or most of what the page shows."""
+        if form.article:
+            return True
+        if not hasattr(self, "forms"):
+            self.forms: dict[int, tuple[int, int]] = {}
+            self.shown_chars = 0
+            for i, (text, _, linked, _, at) in enumerate(self.lines):
+                around = list(self.chain(at))
+                if not any(a.tag != "form" and self._takes(a, i, False) for a in around):
+                    own = len(text) - linked
+                    self.shown_chars += len(text)
+                    for a in around:
+                        prose, chars = self.forms.get(id(a), (0, 0))
+                        self.forms[id(a)] = (prose + own * (own >= SENTENCE), chars + len(text))
+        prose, chars = self.forms.get(id(form), (0, 0))
+        return prose >= PROSE or 2 * chars > self.shown_chars
 
 
 def ratios(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
@@ -174,15 +263,32 @@ def halfway(x: np.ndarray) -> float:
     return t if apart >= GAP else -np.inf
 
 
+def _without_replies(lines: list[tuple[str, int, int, int]], boxes: list[tuple[int, float, bool, bool, str]]) -> list[tuple[str, int, int, int]]:
+    """The lines without those of articles inside of an article that has prose of its own, which HTML means for replies."""
+    nested = [(0, 0)] * len(boxes)  # the outermost article around a container, and the one next inside it
+    for i, (parent, *_, tag) in enumerate(boxes):
+        if i:
+            outer, inner = nested[parent]
+            nested[i] = (outer, inner or i) if tag == "article" and outer else (i, 0) if tag == "article" else (outer, inner)
+    if not any(inner for _, inner in nested):
+        return lines
+    own: dict[int, int] = {}
+    for text, _, linked, at in lines:
+        outer, inner = nested[at]
+        key = inner or outer
+        own[key] = own.get(key, 0) + len(text) - linked
+    replies = {inner for outer, inner in nested if inner and (own.get(outer, 0) >= PROSE or own.get(outer, 0) >= own.get(inner, 0))}
+    return [x for x in lines if nested[x[3]][1] not in replies]
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The page's main text: blocks trimmed, white space inside them single spaces, two newlines between them."""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    parser.skip_at or parser.flush()
-    lines, boxes = parser.lines, parser.containers
+    lines, boxes = parser.shown(), parser.containers
     if any(boxes[at][3] for *_, at in lines):
-        lines = [x for x in lines if boxes[x[3]][3]]
+        lines = _without_replies([x for x in lines if boxes[x[3]][3]], boxes)
     if not lines:
         return ""
     total_cost = [0.0] * len(boxes)
@@ -207,13 +313,13 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     for i, (parent, *_) in enumerate(boxes):
         if parent >= 0:
             children[parent].append(i)
-    while best := [c for c in children[region] if size[c] and size[c] >= REGION * size[0]]:
+    while not boxes[region][3] and (best := [c for c in children[region] if size[c] and size[c] >= REGION * size[0]]):
         region = best[0]
 
     kept = [False] * len(boxes)
     kept[region] = True
     for i in range(region + 1, len(boxes)):  # parents come before their children
-        parent, cost, article, inside = boxes[i]
+        parent, cost, article, inside, _ = boxes[i]
         if kept[parent] and held[i]:
             if cost:
                 kept[i] = points[i] / held[i] >= limit
@@ -229,8 +335,9 @@ def main_text(html: str, sigma: float = 1.0) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sigma: float = 1.0) -> DataFrame:
     """`pages` without the HTML column, plus text and n_chars: the whole page's main text, and its code points.
 
-    Null or empty HTML, and pages without main text, give an empty text. Broken markup is read as the parser reads
-    it. Repeated rows stay; an empty table gives none; columns named text or n_chars are replaced.
+    Null or empty HTML, and pages without text that shows, give an empty text. An element that is never closed sets
+    nothing aside but what comes before an article, main part or section in it; a page whose text would all be set
+    aside keeps it. Repeated rows stay; an empty table gives none; columns named text or n_chars are replaced.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 

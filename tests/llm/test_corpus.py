@@ -54,6 +54,36 @@ def test_html_article():
     assert html_extract.main_text(PAGE) == "A title\n\nFirst paragraph & bold text that is fairly long, with a break.\n\nSecond, short."
 
 
+LONG_TEXT = "some words of a long text, " * 12
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<form id=f><div><h1>Title here</h1><p>{LONG_TEXT}</p><label>Name</label><input><select><option>One<option>Two</select><button>Go</button></div></form>", ["Title here", LONG_TEXT]),
+        ("<form><p>Short article.</p></form>", ["Short article."]),
+        (f"<form><p>Subscribe</p><input></form><div><p>{LONG_TEXT}</p></div>", [LONG_TEXT]),
+        (f"<form><article><p>{LONG_TEXT}</p></article><label>Find</label><input></form>", [LONG_TEXT]),
+        (f"<nav><a href=x>Home</a><a href=y>News</a><div><p>{LONG_TEXT}</p></div>", [LONG_TEXT]),
+        (f"<nav><a href=x>Home</a><main><p>{LONG_TEXT}</p></main>", [LONG_TEXT]),
+        (f"<nav><a href=x>Home</a><section><p>{LONG_TEXT}</p></section>", [LONG_TEXT]),
+        (f"<aside><div><p>{LONG_TEXT}</p></div><footer>All rights</footer>", [LONG_TEXT]),
+        (f"<select><option>a<option>b<p>{LONG_TEXT}</p>", [LONG_TEXT]),
+        (f"<head><title>T</title><p>{LONG_TEXT}", [LONG_TEXT]),
+        (f"<body><dialog><p>{LONG_TEXT}</body>", [LONG_TEXT]),
+        (f"<aside>More<article><p>{LONG_TEXT}</p></article></aside>", [LONG_TEXT]),
+        (f"<body><header><h1>The title</h1></header><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></body>", ["The title", LONG_TEXT, LONG_TEXT]),
+        (f"<body><header><h1>Site</h1><a href=x>Home</a></header><p>{LONG_TEXT}</p></body>", [LONG_TEXT]),
+        (f"<article><h1>T</h1><p>{LONG_TEXT}</p><article><p>I do not agree with this at all, dear author, not at all.</p></article></article>", ["T", LONG_TEXT]),
+        (f"<article><h1>T</h1><article><p>{LONG_TEXT}</p></article></article>", ["T", LONG_TEXT]),
+        ("<nav><a href=x>Home</a></nav><script>var a</script>", []),
+        ("<nav>Home", ["Home"]),
+    ],
+)
+def test_html_loses_no_page_to_an_element(html, want):
+    assert html_extract.main_text(html) == "\n\n".join(x.strip() for x in want)
+
+
 def test_html_without_article_and_broken():
     body = "<div class='menu'><a>x</a></div><div><p>" + "long text here. " * 20 + "</p><p>end.</p></div><div><a href=x>link</a> <a href=y>link</a></div>"
     assert html_extract.main_text(body) == ("long text here. " * 20).strip() + "\n\nend."
