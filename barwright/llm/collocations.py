@@ -24,7 +24,7 @@ from .common import texts, written
 #: Longest phrase in words, least count, share (in per cent) of a phrase that a longer one takes over, phrases a language.
 WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Rows of the sketch; its cells a row are a power of two in these bounds; cells in a block; bytes of text for each cell.
-ROWS, CELL_BITS, BLOCK, BYTES_A_CELL = 2, (16, 28), 1 << 16, 16
+ROWS, CELL_BITS, BLOCK, BYTES_A_CELL = 2, (16, 28), 1 << 16, 32
 #: Bytes of text that are cut into words together, and cells that a task holds before it lets go of their counts.
 CHUNK, HELD = 8 << 20, 12 << 20
 _MARK = b"."
@@ -101,8 +101,23 @@ def cell(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((mixed * _SPREAD[row]) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
+def packed(cells: np.ndarray, codec: pa.Codec) -> bytes:
+    """Sorted cells below 65,536 as (number of bytes, then compressed:) steps' low bytes, their high bytes, counts up to 255."""
+    places, counts = np.unique(cells, return_counts=True)
+    steps = np.diff(places.astype(np.int64), prepend=-1) - 1
+    raw = np.concatenate([steps & 255, steps >> 8, np.minimum(counts, 255)]).astype(np.uint8).tobytes()
+    return len(raw).to_bytes(4, "little") + codec.compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes, codec: pa.Codec) -> tuple[np.ndarray, np.ndarray]:
+    """The places and counts of `packed`."""
+    size = int.from_bytes(data[:4], "little")
+    low, high, counts = np.frombuffer(codec.decompress(data[4:], size), np.uint8).reshape(3, -1)
+    return np.cumsum(low.astype(np.int64) + (high.astype(np.int64) << 8) + 1) - 1, counts
+
+
 def _parts(batches: Iterator[pa.RecordBatch], longest: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """A task's sketch in blocks: (row, block, cells), the cells' counts up to 255 as compressed bytes."""
+    """A task's sketch in blocks: (row, block, cells), the cells that count and their counts as `packed`."""
     held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
     block, codec = min(BLOCK, 1 << bits), pa.Codec("zstd", 1)
 
@@ -114,9 +129,8 @@ def _parts(batches: Iterator[pa.RecordBatch], longest: int, bits: int) -> Iterat
             edges = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, block, dtype=np.uint64))
             blocks, found = [], []
             for i in np.flatnonzero(np.diff(edges)):
-                counts = np.bincount(cells[edges[i] : edges[i + 1]] - np.uint32(i * block), minlength=block)
                 blocks.append(int(i))
-                found.append(codec.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), asbytes=True))
+                found.append(packed(cells[edges[i] : edges[i + 1]] - np.uint32(i * block), codec))
             for at in range(0, len(blocks), 500):
                 own = blocks[at : at + 500]
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array(found[at : at + 500], pa.binary())], ["row", "block", "cells"])
@@ -147,7 +161,8 @@ def _sums(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator[
                 if at is not None:
                     yield told()
                 at, total = (row, number), np.zeros(block, np.int64)
-            total += np.frombuffer(codec.decompress(cells.as_buffer(), block), np.uint8)
+            places, counts = unpacked(cells.as_py(), codec)
+            total[places] += counts
     if at is not None:
         yield told()
 
