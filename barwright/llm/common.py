@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +47,22 @@ def texts(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def placed(n: int) -> list[str]:
+    """Names for n columns by their places, for functions over Arrow batches, which take no names with dots."""
+    return [f"c{i}" for i in range(n)]
+
+
+def filtered(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows of `df` that `run` leaves in its batches, whose columns are in the order of `df`."""
+    plain = df.toDF(*placed(len(df.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's columns; maps and variants, which have no hash, count as their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; a null id falls in fold -1."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import placed, texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and roles whose content is never main text.
@@ -345,11 +345,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", s
         for b in batches:
             found = [main_text(h) if h else "" for h in (x.as_py() for x in b.column(len(keep)))]
             sizes = pa.array([len(t) for t in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, pa.string()), sizes], [*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, pa.string()), sizes], placed(len(keep) + 2))
 
-    rows = texts(pages, *keep, html_col)
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{schema}, text string, n_chars long")
+    rows = texts(pages, *keep, html_col).toDF(*placed(len(keep) + 1))
+    schema = rows.drop(rows.columns[-1]).schema.add(f"c{len(keep)}", "string").add(f"c{len(keep) + 1}", "long")
+    return rows.mapInArrow(run, schema).toDF(*keep, "text", "n_chars")
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, texts
+from .common import bounded_sample, filtered, fold, texts
 
 #: Labelled documents learned from at most, windows of each; window, filter widths and filters of each width.
 SAMPLE, PER_DOCUMENT = 3_000, 2
@@ -181,7 +181,8 @@ def predictions(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col:
 def keep_known(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
     """The rows whose language is decided with at least probability `least`, all columns as they are, repeated rows too.
 
-    Rows with null, empty or letterless text go; an empty table gives none.
+    Rows with null, empty or letterless text go, and a probability equal to `least` stays; of equal probabilities the
+    first language counts; an empty table gives none; columns may have any names.
     """
     at_text = docs.columns.index("text")
 
@@ -192,7 +193,7 @@ def keep_known(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
                 langs, scores = guess(b.column(at_text).to_pylist(), net)
                 yield b.filter(pa.array([g != UNDECIDED and s >= least for g, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def report(docs: DataFrame) -> DataFrame:

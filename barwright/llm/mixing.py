@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import placed, row_hash, texts, written
 
 #: Weights of sources in their order, repeating; the mix's size as a share of all; the passes at most.
 WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2
+#: Ranges of shards that the driver plans at most; shards inside a range are dealt where it is laid out.
+RANGES = 4096
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -126,13 +128,14 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 class Mix:
     """A mix of `docs` (doc_id, text, source), planned: `documents`, `slots` and `spans` are DataFrames.
 
-    Sources are ordered by code point, null last, and have `weights` in turn. The plan is computed on the driver from
-    one row a source (the number of sources is taken to be small) and holds a row for each shard and source. The
-    same input gives the same mix. Words are tokens; a row with null or wordless text takes no part in blocks. Rows
+    Sources are ordered by code point, null last, and have `weights` in turn. The plan is drawn on the driver from one
+    row a source (the number of sources is taken to be small) for `ranges` ranges of shards at most, however many shards
+    there are; a range of several shards deals its own counts to them by the same draw, in the task that lays it out.
+    The same input gives the same mix. Words are tokens; a row with null or wordless text takes no part in blocks. Rows
     that share an id are documents of their own, ordered by their texts' hashes.
     """
 
-    def __init__(self, docs: DataFrame, block_words: int = 128, shard_slots: int = 1 << 16, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = 1):
+    def __init__(self, docs: DataFrame, block_words: int = 128, shard_slots: int = 1 << 16, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = 1, ranges: int = RANGES):
         spark = docs.sparkSession
         self.block_words = block_words
         sized = written(sizes(texts(docs, "doc_id", "text", "source")), "mix-sizes")
@@ -143,7 +146,7 @@ class Mix:
         self.taken_slots = [min(PASSES * b, round(t * b / s)) if s else 0 for (_, s), b, t in zip(by_source, self.blocks, target, strict=True)]
         named = spark.createDataFrame([(i, s, z, t) for i, ((s, z), t) in enumerate(zip(by_source, target, strict=True))], "source_id int, source string, source_size long, target double")
         self.documents = written(self._placed(sized.join(F.broadcast(named), sized["source"].eqNullSafe(named["source"])).drop(named["source"]), n, seed), "mix-documents")
-        self.slots = self._slots(spark, deal(self.taken_slots, shard_slots, seed), seed)
+        self.slots = self._slots(spark, shard_slots, -(-sum(self.taken_slots) // (shard_slots * ranges)) or 1, seed)
 
     @staticmethod
     def _placed(rows: DataFrame, n: int, seed: int) -> DataFrame:
@@ -160,22 +163,34 @@ class Mix:
         placed = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["source_id", "range"])
         return placed.withColumn("start", F.col("start") + F.col("base")).drop("base", "h", "range")
 
-    def _slots(self, spark, plan: list[tuple[int, int, int, int]], seed: int) -> DataFrame:
-        """(shard, slot, source_id, block): what every slot of the mix holds."""
+    def _slots(self, spark, shard_slots: int, shards: int, seed: int) -> DataFrame:
+        """(shard, slot, source_id, block): what every slot of the mix holds, planned in ranges of `shards` shards."""
         blocks = self.blocks
+        plan: dict[int, list[tuple[int, int, int]]] = {}
+        for number, source, first, count in deal(self.taken_slots, shard_slots * shards, seed):
+            plan.setdefault(number, []).append((source, first, count))
+
+        def dealt(number: int, own: list) -> Iterator[tuple[int, int, int, int]]:
+            """A range's shards; one shard takes the range as it is."""
+            if shards == 1:
+                yield from ((number, source, first, count) for source, first, count in own)
+            else:
+                for shard, i, first, count in deal([count for *_, count in own], shard_slots, seed * 1_000_033 + number + 1):
+                    yield number * shards + shard, own[i][0], own[i][1] + first, count
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for shard, source, first, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    k, n = np.arange(first, first + count, dtype=np.int64), blocks[source]
-                    block = np.empty(count, np.int64)
-                    for e in np.unique(k // n):
-                        own = k // n == e
-                        block[own] = permuted(k[own] % n, n, (seed * 1_000_003 + source) * 1_009 + int(e))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(count, shard), pa.int64()), pa.array(k), pa.array(np.full(count, source), pa.int32()), pa.array(block)], ["shard", "slot", "source_id", "block"])
-
-        frame = spark.createDataFrame(plan, "shard long, source_id int, first long, count long")
-        frame = frame.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism)), "shard", "source_id")
+                for number, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for shard, source, first, count in dealt(number, [tuple(x.values()) for x in own]):
+                        k, n = np.arange(first, first + count, dtype=np.int64), blocks[source]
+                        block = np.empty(count, np.int64)
+                        for e in np.unique(k // n):
+                            turn = k // n == e
+                            block[turn] = permuted(k[turn] % n, n, (seed * 1_000_003 + source) * 1_009 + int(e))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(count, shard), pa.int64()), pa.array(k), pa.array(np.full(count, source), pa.int32()), pa.array(block)], ["shard", "slot", "source_id", "block"])
+
+        frame = spark.createDataFrame(list(plan.items()), "number long, own array<struct<source: int, first: long, count: long>>")
+        frame = frame.repartition(max(1, min(len(plan), 4 * spark.sparkContext.defaultParallelism)), "number")
         return frame.mapInArrow(run, "shard long, slot long, source_id int, block long")
 
     @property
@@ -212,18 +227,17 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(data[starts[a] : ends[b - 1]].decode() for a, b in joined)
 
 
-def _cut_out(names: list[str]):
-    """Replaces the text of (*names, _spans, _pass) by the words of the spans that are taken more than _pass times."""
-    place = names.index("text")
+def _cut_out(place: int, n: int):
+    """Replaces the text, in column `place` of `n` before (spans, pass), by the words of the spans that are taken more than `pass` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)
-                spans = ([(s["first_word"], s["words"]) for s in own if s["times"] > n] for own, n in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True))
-                columns = list(b.columns[: len(names)])
+                spans = ([(s["first_word"], s["words"]) for s in own if s["times"] > turn] for own, turn in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True))
+                columns = list(b.columns[:n])
                 columns[place] = pa.array([_cut(t.as_py(), own) for t, own in zip(columns[place], spans, strict=True)], columns[place].type)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, placed(n))
 
     return run
 
@@ -233,21 +247,23 @@ def mixed_documents(docs: DataFrame, **plan) -> DataFrame:
 
     Pass p's text holds the document's blocks that the mix takes more than p times; n_chars, if there, follows it. A row
     with null or wordless text is in no block and so in no result; repeated rows and rows that share an id, or have
-    none, are documents of their own; an empty table gives none. Other columns stay as they are.
+    none, are documents of their own, ordered by their content; an empty table gives none. Other columns stay as they
+    are, whatever their names.
     """
     names = docs.columns
     spans = Mix(docs, **plan).spans
-    nth = Window.partitionBy("_id", "_content").orderBy("_start")
-    packed = spans.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("source_id").alias("_source"), F.col("start").alias("_start")).agg(F.sort_array(F.collect_list(F.struct("first_word", "words", "times"))).alias("_spans"))
-    packed = packed.withColumn("_nth", F.row_number().over(nth)).drop("_source", "_start")
-    same = Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    rows = docs.withColumn("_n", F.row_number().over(same))
-    found = rows.join(packed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content")) & (F.col("_n") == F.col("_nth")))
-    taken = found.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.array_max("_spans.times").cast("int") - 1)))
-    cut = taken.select(*[F.col(f"`{c}`") for c in names], "_spans", "_pass").mapInArrow(_cut_out(names), docs.schema)
+    packed = spans.groupBy("doc_id", "content", "source_id", "start").agg(F.sort_array(F.collect_list(F.struct("first_word", "words", "times"))).alias("spans"))
+    packed = packed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("start"))).select("doc_id", "content", "nth", "spans")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_content"), row_hash(docs).alias("row_hash"))
+    rows = rows.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_content").orderBy("row_hash"))).drop("row_hash")
+    found = rows.join(packed, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_content") == F.col("content")) & (F.col("own_nth") == F.col("nth")))
+    taken = found.withColumn("pass", F.explode(F.sequence(F.lit(0), F.array_max("spans.times").cast("int") - 1)))
+    own = taken.select(*[F.col("row").getField(c).alias(p) for c, p in zip(names, placed(len(names)), strict=True)], "spans", "pass")
+    cut = own.mapInArrow(_cut_out(names.index("text"), len(names)), own.drop("spans", "pass").schema).toDF(*names)
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return cut.select(*[F.col(f"`{c}`") for c in names])
+    return cut
 
 
 def report(docs: DataFrame) -> DataFrame:

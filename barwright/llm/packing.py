@@ -25,8 +25,8 @@ from .common import rows_of, texts, written
 
 BUCKETS, DIMENSIONS, CELL_BITS, TIE_BITS = 256, 4, 12, 15
 END_ID, SEQUENCE = 2, 4096
-#: Chunks whose ids a worker keeps at most.
-CACHED = 300_000
+#: Chunks whose ids a worker keeps at most; ranges of the curve at most, of which the driver holds a row each.
+CACHED, RANGES = 300_000, 1 << 14
 _MARKS = frozenset(".,;:!?")
 #: Lowered letters of ASCII and Latin-1: alone in a chunk they are one word, whatever the normalizer does.
 _WORD = re.compile("[a-zß-öø-ÿ]+")
@@ -141,8 +141,12 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, place long, ids binary")
 
 
-def ordered(docs: DataFrame, path: str | None = None, range_tokens: int = 8 << 20) -> tuple[DataFrame, int]:
-    """(doc_id, n, ids, part, at) in ranges of the curve, `at` the tokens before a row in its range; and the sum of n."""
+def ordered(docs: DataFrame, path: str | None = None, range_tokens: int = 8 << 20, most: int = RANGES) -> tuple[DataFrame, int]:
+    """(doc_id, n, ids, part, at) in ranges of the curve, `at` the tokens before a row in its range; and the sum of n.
+
+    Ranges hold about `range_tokens` tokens, or more where there would be more than `most` of them: what the driver
+    samples and holds is bounded, and larger ranges are sorted with spilling.
+    """
     spark = docs.sparkSession
     rows = written(encoded(texts(docs, "doc_id", "text"), path), "pack-ids")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -155,7 +159,7 @@ def ordered(docs: DataFrame, path: str | None = None, range_tokens: int = 8 << 2
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.full(len(b), part), pa.int32()), pa.array(at, pa.int64())], ["doc_id", "n", "ids", "part", "at"])
 
-    parts = int(max(spark.sparkContext.defaultParallelism, total // range_tokens + 1))
+    parts = int(min(most, max(spark.sparkContext.defaultParallelism, total // range_tokens + 1)))
     ranged = rows.repartitionByRange(parts, "place").sortWithinPartitions("place", "doc_id", "n", F.xxhash64("ids"))
     return written(ranged.mapInArrow(run, "doc_id long, n long, ids binary, part int, at long"), "pack-ranges"), int(total)
 
@@ -170,16 +174,17 @@ def tail_cuts(total: int, length: int = SEQUENCE) -> list[tuple[int, int]]:
     return cuts
 
 
-def pieces(docs: DataFrame, path: str | None = None, length: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, length: int = SEQUENCE, **ranges: int) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids) of every piece, ids as 16-bit bytes.
 
-    All rows are packed, whole; rows that share an id are packed as documents of their own. An empty table gives no
-    pieces. Sequences are numbered along the curve and filled without gaps.
+    All rows are packed, whole; rows that share an id, or have none, are packed as documents of their own, equal places
+    on the curve by a hash of the id, the id and the ids' hash. An empty table gives no pieces; other columns, whatever
+    their names, are not read. Sequences are numbered along the curve and filled without gaps.
     """
     spark = docs.sparkSession
-    rows, total = ordered(docs, path)
+    rows, total = ordered(docs, path, **ranges)
     full, tail = total // length, tail_cuts(total, length)
-    sums, bases, base = rows.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect(), [], 0  # a row for each range
+    sums, bases, base = rows.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect(), [], 0  # at most RANGES rows
     for part, n in sums:
         bases.append((part, base))
         base += n

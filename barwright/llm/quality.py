@@ -140,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, modulus: int =
 def scores(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row, from its whole text; null text is scored as an empty one.
 
-    Repeated rows and rows without an id give a row each; an empty table gives none; other columns are not read.
+    Repeated rows and rows without an id give a row each, equal texts the same score; an empty table gives none; other
+    columns, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, texts, written
+from .common import row_hash, rows_of, texts, written
 from .components import connected_components
 
 #: Byte positions (0 is the lowest byte) in four pairs.
@@ -164,15 +164,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     A row without an id stays only where no row of its group has one; of rows of a group that share the id, or have
     none, one stays, by its content's hash. Rows of different groups all stay, whatever their ids. All columns stay as
-    they are.
+    they are, whatever their names.
     """
-    hashes = {"_near_text": F.xxhash64(F.col(f"`{text_col}`")), "_near_row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
-    rows, key = docs.withColumns({"_near_id": F.col(f"`{id_col}`").cast("long"), **hashes}), ["_near_id", *hashes]
-    fps = written(fingerprints(rows, id_col, text_col, shingle, carried=tuple(hashes)).withColumnRenamed("doc_id", "_near_id"), "simhash")
-    first = F.struct(F.col("_near_id").isNull().alias("_none"), *key)
-    rooted = _rooted(fps.groupBy("fp").agg(F.min(first).alias("_first")), max_bits)
-    kept = rooted.groupBy("root").agg(F.min("_first").alias("_first")).select(*[F.col(f"_first.{k}").alias(f"_kept{k}") for k in key])
-    return rows.join(kept, [F.col(k).eqNullSafe(F.col(f"_kept{k}")) for k in key], "left_semi").dropDuplicates(key).drop(*key)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(whole, F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), row_hash(docs).alias("row_hash"))
+    key = ["id", "text_hash", "row_hash"]
+    fps = written(fingerprints(rows, "id", "text", shingle, carried=("text_hash", "row_hash")).withColumnRenamed("doc_id", "id"), "simhash")
+    first = F.struct(F.col("id").isNull().alias("none"), *key)
+    rooted = _rooted(fps.groupBy("fp").agg(F.min(first).alias("first")), max_bits)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{k}").alias(f"kept_{k}") for k in key])
+    one = rows.join(kept, [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in key], "left_semi").dropDuplicates(key)
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

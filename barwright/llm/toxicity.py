@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, shared_root, texts
+from .common import bounded_sample, filtered, fold, shared_root, texts
 
 #: Labelled documents learned from at most; terms of each kind at most; words in a context window; chunks remembered.
 SAMPLE, TERMS, WINDOW, REMEMBERED = 12_000, 300, 25, 150_000
@@ -301,8 +301,8 @@ def _scored(model: Model, raw: bool = False):
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score): the toxicity of each row's whole text; null and empty texts are scored as texts without matches.
 
-    Every row gives one, repeated ones and rows without an id too; an empty table gives none. Other columns, whatever
-    their names, are not read.
+    Every row gives one, repeated ones and rows without an id too, equal texts the same score; an empty table gives none.
+    Other columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_scored(model), "doc_id long, score double")
@@ -311,7 +311,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows whose score is below `limit`, all columns as they are, repeated rows too.
 
-    Null and empty texts are scored as texts without matches; an empty table gives no rows.
+    Null and empty texts are scored as texts without matches; a score equal to `limit` goes; an empty table gives no
+    rows; columns may have any names.
     """
     names = docs.columns
 
@@ -322,7 +323,7 @@ def keep_civil(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
                 x = [model.features(t.as_py() or "") for t in b.column(names.index("text"))]
                 yield b.filter(pa.array(model.score(np.array(x).reshape(-1, 6)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -141,6 +141,8 @@ def test_html_rows(spark):
     n = len(html_extract.main_text(PAGE))
     assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, 0), (1, n), (1, n), (2, 0)]
     assert html_extract.report(empty(pages)).count() == 0
+    odd = html_extract.extract(pages.withColumn("a.b", F.lit("x")).withColumn("c0", F.lit(3)))
+    assert odd.columns == ["page_id", "url", "a.b", "c0", "text", "n_chars"] and {(r["a.b"], r.c0) for r in odd.collect()} == {("x", 3)}
 
 
 # ---------------------------------------------------------------- op2
@@ -175,6 +177,34 @@ def test_mixing(docs):
     assert mixing.report(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize(("shard_slots", "ranges"), [(1 << 16, 4096), (16, 4096), (16, 3), (5, 1)])
+def test_mixing_takes_what_its_slots_hold(docs, shard_slots, ranges):
+    mix = mixing.Mix(docs, block_words=8, shard_slots=shard_slots, ranges=ranges)
+    slots, rows = mix.slots.collect(), mix.documents.collect()
+    by_source, shards = defaultdict(list), Counter(r.shard for r in slots)
+    for r in slots:
+        by_source[r.source_id].append((r.slot, r.block))
+    total = sum(shards.values())
+    assert sorted(shards) == list(range(len(shards))) and sorted(shards.values())[1:] == [shard_slots] * (len(shards) - 1)
+    assert total == sum(mix.taken_slots) and (ranges > 1 or len(shards) == -(-total // shard_slots))
+    held = defaultdict(Counter)
+    for source, own in by_source.items():
+        n = mix.blocks[source]
+        assert sorted(k for k, _ in own) == list(range(mix.taken_slots[source]))
+        for turn in range(2):  # a pass takes no block twice
+            some = [b for k, b in own if k // n == turn]
+            assert len(set(some)) == len(some) and set(some) <= set(range(n))
+        held[source] = Counter(b for _, b in own)
+    want, ends = Counter(), defaultdict(list)
+    for r in rows:
+        taken = sum(held[r.source_id][word // 8] for word in range(r.start, r.start + r.size))
+        want[(r.doc_id, r.size, taken)] += 1
+        ends[r.source_id] += [(r.start, r.start + r.size)] if r.size else []
+    assert Counter((r.doc_id, r.size, r.taken) for r in mix.taken().collect()) == want
+    for own in ends.values():
+        assert [a for a, _ in sorted(own)] == [0, *(b for _, b in sorted(own)[:-1])]
+
+
 def test_mixing_near_target(corpus):
     rows = mixing.report(corpus).join(corpus.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r.t - r.g) < 0.08 * r.g for r in rows)
@@ -224,6 +254,12 @@ def test_packing(docs):
     assert packing.report(empty(docs)).count() == 0
 
 
+def test_packing_in_few_and_small_ranges(docs):
+    whole = [packing.pieces(docs, range_tokens=n, most=m).drop("sequence_id").collect() for n, m in ((8 << 20, 64), (500, 64), (500, 3))]
+    assert all(Counter(r.doc_id for r in some if r.start == 0) == Counter(d[0] for d in ODD) for some in whole)
+    assert len({sum(r.length for r in some) for some in whole}) == 1
+
+
 def test_sequences_hold_all_ids(docs):
     total = sum(len(r.ids) for r in packing.sequences(docs).collect())
     assert total // 2 == sum(r.length for r in packing.report(docs).collect())

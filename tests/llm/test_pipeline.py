@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barwright.llm import langid, mixing, simhash, toxicity
@@ -84,6 +85,28 @@ def test_stages(spark, folder):
     assert sum(r.start == 0 for r in packed) == mixed.count()
 
 
+HELPERS = "_id _n _spans _pass _near_id _near_text _near_row row spans pass content size start block h range fp u v times first kept_id id text_hash row_hash own_id own_nth nth shard slot source_id batch n place ids part at begin tie score lang_pred Row SPANS".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names, seen = [], set()
+    for name in HELPERS:  # Spark's names don't tell case
+        if name.lower() not in seen:
+            names.append(name)
+            seen.add(name.lower())
+    more = docs.select("*", *[F.concat_ws("-", F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(name) for name in names], F.create_map(F.lit("k"), F.col("doc_id")).alias("some.map"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, more, folder), stage(spark, docs, folder)
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        for r in rows:
+            own = "none" if r.doc_id is None else r.doc_id
+            assert all(r[n] == f"{n}-{own}" for n in names) and r["some.map"] == {"k": r.doc_id}, (name, r)
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in plain.collect()), name
+    assert Counter(map(tuple, corpus_pipeline.packing_stage(spark, more, folder).collect())) == Counter(map(tuple, corpus_pipeline.packing_stage(spark, docs, folder).collect()))
+
+
 def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("false")
     for name, stage in corpus_pipeline.STAGES:
