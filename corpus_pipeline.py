@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the
 columns of documents. Null ids are ids that no row shares; a null text counts as empty, passes the toxicity stage and goes
 in the language stage, as texts without letters do. Repeated rows stay until near-duplicates are dropped; an empty table
-gives an empty result. Texts of any length are read whole.
+gives an empty result. Texts of any length are read whole. Ties: a score equal to a limit goes as toxic and stays as a
+language; of near-duplicates that share the smallest id, or have none, one stays by its content's hash; equal ids and
+places in mixing and packing are ordered by content. Columns beside those of documents, whatever their names, stay as
+they are up to packing, which gives pieces.
 """
 
 from __future__ import annotations
