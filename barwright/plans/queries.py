@@ -909,21 +909,20 @@ INTAKE_TEXT = """CASE p_type WHEN 'ECONOMY' THEN 'RSI 과매수 ' WHEN 'LARGE' T
  ELSE p_name END || CASE p_size % 4 WHEN 0 THEN '골든크로스' WHEN 1 THEN 'Bollinger' WHEN 2 THEN '' END"""
 
 
-def _intake_sql() -> str:
-    has = lambda words: f"regexp_matches(x, '{'|'.join(words)}')"
-    tests = {
-        "golden": has(intake.GOLDEN_WORDS), "dead": has(intake.DEAD_WORDS), "overbought": "x LIKE '%과매수%' AND x NOT LIKE '%과매도%'",
-        "oversold": "(x LIKE '%과매도%' OR x LIKE '%rsi%' AND x NOT LIKE '%과매수%')", "upper": f"{has(intake.BAND_WORDS)} AND {has(intake.UPPER_WORDS)}", "lower": f"{has(intake.BAND_WORDS)} AND NOT {has(intake.UPPER_WORDS)}",
-    }
-    bodies = ", ".join(f"CASE WHEN {t} THEN '{json.dumps(intake.PLAIN[k])}' END" for k, t in tests.items())
-    names = ", ".join(f"CASE WHEN {t} THEN '{intake.NAMES[k]}' END" for k, t in tests.items())
-    return f"""WITH t AS (SELECT p_partkey, lower(coalesce({INTAKE_TEXT}, '')) AS x FROM part), f AS (SELECT p_partkey, {has(intake.STAGED_WORDS)} OR (x LIKE '%rsi%' AND x LIKE '%macd%' AND x LIKE '%ichimoku%') AS st,
- concat_ws(', ', {bodies}) AS body, concat_ws('+', {names}) AS name FROM t)
- SELECT p_partkey, CASE WHEN st THEN 'staged' ELSE 'regime' END AS kind, CASE WHEN st THEN '{intake.STAGED_NAME}' WHEN name = '' THEN '후보' ELSE name END AS name,
- CASE WHEN st THEN '{json.dumps(intake.staged_template())}' ELSE '{{"logic": "AND", "conditions": [' || CASE WHEN body = '' THEN '{json.dumps(intake.PLAIN["golden"])}' ELSE body END || ']}}' END AS config FROM f"""
-
-
-@query(_intake_sql())
+INTAKE_SQL = f"""WITH t AS (SELECT p_partkey, lower(coalesce({INTAKE_TEXT}, '')) AS x FROM part), f AS (SELECT p_partkey,
+ regexp_matches(x, '1:2:6|1대2대6|1대 2대 6|일목균형표|이치모쿠|단계별|분할매매|분할 매매|스퀴즈|밴드폭|밴드 너비|퍼센트비|%b|다이버전스|쌍바닥|쌍봉|마루보즈|핀바|도지|인사이드바|관통형|흑운형|모닝스타|이브닝스타|적삼병|흑삼병|삼법형') OR (x LIKE '%rsi%' AND x LIKE '%macd%' AND x LIKE '%ichimoku%') AS st,
+ regexp_matches(x, '골든크로스|golden|이동평균|ma cross') AS g, regexp_matches(x, '데드크로스|dead cross') AS d, x LIKE '%과매수%' AND x NOT LIKE '%과매도%' AS ob, x LIKE '%과매도%' OR x LIKE '%rsi%' AND x NOT LIKE '%과매수%' AS os,
+ regexp_matches(x, '볼린저|bollinger') AND regexp_matches(x, '상단|upper') AS up, regexp_matches(x, '볼린저|bollinger') AND NOT regexp_matches(x, '상단|upper') AS lo FROM t),
+ n AS (SELECT *, concat_ws('+', CASE WHEN g THEN '골든크로스' END, CASE WHEN d THEN '데드크로스' END, CASE WHEN ob THEN 'RSI 과매수' END, CASE WHEN os THEN 'RSI 눌림목' END, CASE WHEN up THEN '볼린저 상단 돌파' END, CASE WHEN lo THEN '볼린저 하단 이탈' END) AS name,
+ concat_ws(', ', CASE WHEN g THEN '{{"indicator": "ma_cross", "short": 20, "long": 60, "ma_type": "sma", "type": "golden"}}' END, CASE WHEN d THEN '{{"indicator": "ma_cross", "short": 20, "long": 60, "ma_type": "sma", "type": "dead"}}' END,
+  CASE WHEN ob THEN '{{"indicator": "rsi", "period": 14, "op": ">", "value": 70}}' END, CASE WHEN os THEN '{{"indicator": "rsi", "period": 14, "op": "<", "value": 30}}' END,
+  CASE WHEN up THEN '{{"indicator": "bollinger", "period": 20, "std_dev": 2.0, "band": "upper", "op": "break_above"}}' END, CASE WHEN lo THEN '{{"indicator": "bollinger", "period": 20, "std_dev": 2.0, "band": "lower", "op": "break_below"}}' END) AS body FROM f)
+ SELECT p_partkey, CASE WHEN st THEN 'staged' ELSE 'regime' END AS kind, CASE WHEN st THEN '1:2:6 단계별 매매법(RSI+MACD+일목균형표)' WHEN name = '' THEN '후보' ELSE name END AS name,
+ CASE WHEN st THEN '{{"entry_stages": [{{"weight": 0.1, "logic": "AND", "conditions": [{{"indicator": "rsi_cross", "period": 14, "level": 30, "direction": "up"}}]}}, {{"weight": 0.2, "logic": "AND", "conditions": [{{"indicator": "macd_cross", "direction": "golden", "zone": "below_zero"}}, {{"indicator": "rsi", "period": 14, "op": ">", "value": 30}}]}}, {{"weight": 0.6, "logic": "AND", "conditions": [{{"indicator": "ichimoku_tk_state", "direction": "golden"}}, {{"indicator": "ichimoku_cloud_break", "direction": "up"}}, {{"indicator": "ichimoku_chikou_state", "direction": "up"}}]}}], "exit_stages": [{{"weight": 0.1, "logic": "AND", "conditions": [{{"indicator": "macd_cross", "direction": "dead", "zone": "any"}}]}}, {{"weight": 0.2, "logic": "AND", "conditions": [{{"indicator": "rsi_cross", "period": 14, "level": 50, "direction": "down"}}]}}, {{"weight": 0.6, "logic": "AND", "conditions": [{{"indicator": "ichimoku_cloud_break", "direction": "down"}}]}}], "emergency_exit": {{"logic": "AND", "conditions": [{{"indicator": "macd_cross", "direction": "dead", "zone": "any"}}, {{"indicator": "rsi_cross", "period": 14, "level": 50, "direction": "down"}}]}}}}'
+ ELSE '{{"logic": "AND", "conditions": [' || CASE WHEN body = '' THEN '{{"indicator": "ma_cross", "short": 20, "long": 60, "ma_type": "sma", "type": "golden"}}' ELSE body END || ']}}' END AS config FROM n"""
+
+
+@query(INTAKE_SQL)
 def strategy_intake(spark, sf):
     """Texts with words of strategies, some of them null, read as configs."""
     rows = _t(spark, sf, "part").select("p_partkey", F.expr(INTAKE_TEXT).alias("text"))

@@ -496,7 +496,7 @@ def test_strategy_texts_become_configs(spark):
     for r in rows:
         assert texts[r.text] in (r.kind_read, r["name"]) and r.kind == 7 and strategy.problems(r.config) == []
         assert strategy.kind_of(r.config) == r.kind_read
-    assert intake.is_sane(intake.staged_template()) and intake.interpreted(spark.createDataFrame([], "text string")).count() == 0
+    assert intake.is_sane(intake.STAGED) and intake.interpreted(spark.createDataFrame([], "text string")).count() == 0
     one = {"conditions": [{"indicator": "rsi"}]}
     for wrong in ({}, {"entry_stages": [one]}, {"entry_stages": [one] * 7, "exit_stages": [one]}, {"entry_stages": [{"conditions": []}], "exit_stages": [one]}, {"entry_stages": [one], "exit_stages": [one], "emergency_exit": {"conditions": [{}] * 7}}):
         assert not intake.is_sane(wrong)
