@@ -183,14 +183,7 @@ def evaluated(bars: DataFrame, candidates: list[dict], windows: list[tuple[dt.da
     spark = bars.sparkSession
     first = min(w[0] for w in windows) - dt.timedelta(days=backtest.WARM_UP_DAYS)
     k = Kernels(history(bars, first, max(w[1] for w in windows)))
-    weights = []
-    for i, c in enumerate(candidates):
-        kind = strategy.kind_of(c)
-        if kind == "staged":
-            weights.append(strategy.staged_columns(k, c, f"c{i}")[0])
-        else:
-            made = strategy.boolean(k, c, f"c{i}")
-            weights.append(k.put(f"candidate_{i}", lambda made=made: made.cast("double")))
+    weights = strategy.weight_columns(k, candidates)
     spans = spark.createDataFrame([(i, *w) for i, w in enumerate(windows)], "fold int, start date, end date")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("candidate"), F.col(w).alias("position")) for i, w in enumerate(weights)])).alias("c")
     rows = k.df.select("ticker", "ts", "close", each).select("ticker", "ts", "close", "c.candidate", "c.position")

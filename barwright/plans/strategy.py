@@ -120,6 +120,18 @@ def boolean(k: Kernels, config: str | dict, name: str = "s") -> Column:
     return conditions.combined(k, c)
 
 
+def weight_columns(k: Kernels, configs: list[dict]) -> list[str]:
+    """The columns of k with the weight that each config holds at a bar's close."""
+    out = []
+    for i, c in enumerate(configs):
+        if kind_of(c) == "staged":
+            out.append(staged_columns(k, c, f"c{i}")[0])
+        else:
+            made = boolean(k, c, f"c{i}")
+            out.append(k.put(f"candidate_{i}", lambda made=made: made.cast("double")))
+    return out
+
+
 def compile_signal(k: Kernels, config: str | dict) -> Signal:
     """The strategy over k's bars; its columns are made in k."""
     c = parse(config)
