@@ -45,7 +45,7 @@ def curves_sql(source: str, keys: str) -> str:
  (SELECT *, coalesce(lag(pos) {by}, 0) AS ex, coalesce(c / lag(c) {by} - 1, 0) AS ret FROM {source}))) GROUP BY {keys})"""
 
 
-RATE = "CASE WHEN n >= 2 THEN (exp({0} / years) - 1) * 100 ELSE 0 END"
+RATE = "CASE WHEN n >= 2 THEN (exp({0} / years) - 1) * 100 WHEN n IS NOT NULL THEN 0 END"
 
 # ------------------------------------------------------------ many groups at once
 NUMBERS = (3, 8, 9, 10, 15, 20, 24, 25, 30, 45, 60, 75)
@@ -62,14 +62,15 @@ BATCH_SQL = f"""WITH {BARS}, {LABELS}, d AS (SELECT DATE '1995-01-01' AS a, DATE
  ps AS (SELECT substr(b.ticker, 1, 1) AS part, g.ticker, g.style, k.nth, b.ts, b.c, CASE WHEN x.m > y.m THEN 1 ELSE 0 END AS pos FROM ma b JOIN gr g ON substr(b.ticker, 3) = g.ticker JOIN ca k ON g.style = k.style
   JOIN lo x ON x.ticker = b.ticker AND x.ts = b.ts AND x.n = 'm' || k.s JOIN lo y ON y.ticker = b.ticker AND y.ts = b.ts AND y.n = 'm' || k.l),
  tr AS (SELECT ticker, style, nth, regime, lo AS fold, ts, c, pos FROM ps JOIN fo ON ts >= lo AND ts < hi WHERE part = 'a'), sc AS {curves_sql('tr', 'ticker, style, nth, regime, fold')},
- fs AS (SELECT style, nth, regime, fold, avg(sharpe) AS s FROM sc WHERE trades >= 5 GROUP BY ALL HAVING count(*) >= (SELECT greatest(1, ceil(count(*) / 2.0)) FROM gr WHERE gr.style = sc.style)),
- rk AS (SELECT style, nth, regime, avg(s) - 0.5 * stddev_pop(s) AS score FROM fs GROUP BY ALL HAVING count(*) >= (SELECT greatest(1, ceil(count(*) / 2.0)) FROM fo WHERE fo.regime = fs.regime)),
+ gn AS (SELECT style, greatest(1, ceil(count(*) / 2.0)) AS need FROM gr GROUP BY style), fn AS (SELECT regime, greatest(1, ceil(count(*) / 2.0)) AS need FROM fo GROUP BY regime),
+ f0 AS (SELECT style, nth, regime, fold, avg(sharpe) AS s, count(*) AS m FROM sc WHERE trades >= 5 GROUP BY style, nth, regime, fold), fs AS (SELECT f0.* FROM f0 JOIN gn ON gn.style = f0.style WHERE m >= need),
+ r0 AS (SELECT style, nth, regime, avg(s) - 0.5 * stddev_pop(s) AS score, count(*) AS m FROM fs GROUP BY style, nth, regime), rk AS (SELECT r0.* FROM r0 JOIN fn ON fn.regime = r0.regime WHERE m >= need),
  be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY style, regime ORDER BY score DESC, nth) AS r FROM rk) WHERE r = 1),
  ch AS (SELECT o.style, w.regime, coalesce(b.nth, o.nth) AS nth, b.score, w.regime NOT IN (SELECT regime FROM fo) AS insufficient FROM (SELECT style, nth FROM ca WHERE s = 10 AND l = 30) o CROSS JOIN (VALUES ('bear'), ('bull')) w(regime) LEFT JOIN be b ON b.style = o.style AND b.regime = w.regime),
  tt AS (SELECT p.ticker, p.style, c.regime, p.ts, p.c, p.pos FROM ps p JOIN ch c ON p.style = c.style AND p.nth = c.nth JOIN te ON te.regime = c.regime AND p.ts >= te.lo AND p.ts < te.hi WHERE part = 'z'), ow AS {curves_sql('tt', 'ticker, style, regime')},
  bb AS (SELECT te.regime, b.ts, b.c, 1 AS pos FROM bars b JOIN te ON b.ts >= te.lo AND b.ts < te.hi WHERE b.ticker = 'Brand#1'), hb AS {curves_sql('bb', 'regime')}
  SELECT g.ticker, g.style, c.regime, CAST(c.nth AS INT) AS candidate, '{{"logic": "AND", "conditions": [{{"indicator": "ma_cross", "short": ' || k.s || ', "long": ' || k.l || '}}]}}' AS config, round(c.score, 4) AS score, c.insufficient, te.lo AS test_start, te.hi AS test_end,
- round(log10({RATE.format('ow.le').replace('n >=', 'ow.n >=').replace('years', 'ow.years')} + 101), 5) AS own, round(log10({RATE.format('hb.le').replace('n >=', 'hb.n >=').replace('years', 'hb.years')} + 101), 5) AS held,
+ round(log10({RATE.format('ow.le').replace(' n ', ' ow.n ').replace('years', 'ow.years')} + 101), 5) AS own, round(log10({RATE.format('hb.le').replace(' n ', ' hb.n ').replace('years', 'hb.years')} + 101), 5) AS held,
  CASE WHEN te.lo IS NULL THEN 'the test window has no such regime' WHEN ow.n IS NULL THEN 'no bars in the test segment' END AS reason
  FROM gr g JOIN ch c ON g.style = c.style JOIN ca k ON k.style = c.style AND k.nth = c.nth LEFT JOIN te ON te.regime = c.regime LEFT JOIN ow ON ow.ticker = g.ticker AND ow.regime = c.regime LEFT JOIN hb ON hb.regime = c.regime"""
 
@@ -88,7 +89,7 @@ def batch_tuning(spark, sf):
 @query(f"""WITH {BARS}, {LABELS}, lp AS (SELECT 'test' AS part, ts, regime FROM lb), te AS (SELECT regime, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY hi - lo DESC, lo) AS r FROM {spans_sql('lp')}) WHERE r = 1),
  ps AS (SELECT ticker, ts, c, CASE WHEN {true(roll('avg', 'c', 10) + ' > ' + roll('avg', 'c', 30))} THEN 1 ELSE 0 END AS pos FROM bars), tt AS (SELECT ticker, regime, ts, c, pos FROM ps JOIN te ON ts >= lo AND ts < hi), ow AS {curves_sql('tt', 'ticker, regime')},
  bb AS (SELECT regime, ts, c, 1 AS pos FROM bars JOIN te ON ts >= lo AND ts < hi WHERE ticker = 'Brand#1'), hb AS {curves_sql('bb', 'regime')}
- SELECT a.ticker, w.regime, te.lo AS "start", te.hi AS "end", round(log10({RATE.format('ow.le').replace('n >=', 'ow.n >=').replace('years', 'ow.years')} + 101), 5) AS own, round(log10({RATE.format('hb.le').replace('n >=', 'hb.n >=').replace('years', 'hb.years')} + 101), 5) AS held
+ SELECT a.ticker, w.regime, te.lo AS "start", te.hi AS "end", round(log10({RATE.format('ow.le').replace(' n ', ' ow.n ').replace('years', 'ow.years')} + 101), 5) AS own, round(log10({RATE.format('hb.le').replace(' n ', ' hb.n ').replace('years', 'hb.years')} + 101), 5) AS held
  FROM (SELECT DISTINCT ticker FROM bars) a CROSS JOIN (VALUES ('bear'), ('bull'), ('sideways')) w(regime) LEFT JOIN te ON te.regime = w.regime LEFT JOIN ow ON ow.ticker = a.ticker AND ow.regime = w.regime LEFT JOIN hb ON hb.regime = w.regime""")
 def regime_matched_test(spark, sf):
     """A strategy on the longest segment of each regime; no bar is ever sideways here."""
