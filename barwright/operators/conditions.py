@@ -193,10 +193,51 @@ REGISTRY: dict[str, Callable[[Kernels, Condition], Column]] = {
 }
 
 
+_SIDE = {"bullish": "bullish", "bearish": "bearish"}
+_MOVE = {"break_above": "breaks above", "break_below": "falls below"}
+#: How each indicator's condition is said: a sentence, what its keys are unless set, and the words for values of some keys.
+WORDING: dict[str, tuple[str, dict, dict[str, dict]]] = {
+    "ma_cross": ("the {short}-bar {ma_type} is {type} the {long}-bar one", {"short": 20, "long": 60, "ma_type": "sma", "type": "golden"}, {"type": {"golden": "above", "dead": "not above"}}),
+    "rsi": ("RSI({period}) {op} {value}", {"period": 14, "op": "<", "value": 30}, {}),
+    "rsi_cross": ("RSI({period}) crosses {level} {direction}", {"period": 14, "level": 30, "direction": "up"}, {"direction": {"up": "upwards", "down": "downwards"}}),
+    "bollinger": ("the close {op} the {band} Bollinger band ({period} bars)", {"period": 20, "band": "lower", "op": "break_below"}, {"op": _MOVE, "band": {"mid": "middle"}}),
+    "bbw_squeeze_release": ("a squeeze of the band width below {threshold} is released", {"threshold": 0.1}, {}),
+    "percent_b": ("%B {op} {value}", {"op": ">=", "value": 0.8}, {}),
+    "mfi": ("MFI({period}) {op} {value}", {"period": 14, "op": ">=", "value": 80}, {}),
+    "double_pattern": ("a double {direction} is confirmed", {"direction": "bullish"}, {"direction": {"bullish": "bottom", "bearish": "top"}}),
+    "rsi_divergence": ("price and RSI show a {direction} divergence", {"direction": "bullish"}, {"direction": _SIDE}),
+    "macd_cross": ("MACD crosses its signal {direction}{zone}", {"direction": "golden", "zone": "any"}, {"direction": {"golden": "upwards", "dead": "downwards"}, "zone": {"any": "", "below_zero": " below zero", "above_zero": " above zero"}}),
+    "macd_level": ("the MACD {source} {op} {value}", {"source": "macd", "op": "<", "value": 0}, {"source": {"macd": "line", "hist": "histogram"}}),
+    "ichimoku_tk_state": ("the conversion line is {direction} the base line", {"direction": "golden"}, {"direction": {"golden": "above", "dead": "not above"}}),
+    "ichimoku_tk_cross": ("the conversion line crosses the base line {direction}", {"direction": "golden"}, {"direction": {"golden": "upwards", "dead": "downwards"}}),
+    "ichimoku_cloud_break": ("the close {direction} the cloud", {"direction": "up"}, {"direction": {"up": "breaks above", "down": "falls below"}}),
+    "ichimoku_cloud_state": ("the close is {direction} the cloud", {"direction": "above"}, {}),
+    "ichimoku_chikou_state": ("the close is {direction} that of {displacement} bars before", {"direction": "up", "displacement": 26}, {"direction": {"up": "above", "down": "below"}}),
+    "engulfing": ("a {direction} engulfing bar", {"direction": "bullish"}, {"direction": _SIDE}),
+    "marubozu": ("a {direction} bar without shadows", {"direction": "bullish"}, {"direction": _SIDE}),
+    "pin_bar": ("a {direction} pin bar", {"direction": "bullish"}, {"direction": _SIDE}),
+    "doji": ("a {doji_type} doji", {"doji_type": "standard"}, {"doji_type": {"long_legged": "long-legged"}}),
+    "inside_bar": ("a bar inside the one before", {}, {}),
+    "inside_bar_breakout": ("an inside bar's mother bar is left {direction}", {"direction": "bullish"}, {"direction": {"bullish": "upwards", "bearish": "downwards"}}),
+    "piercing_dark_cloud": ("a {direction}", {"direction": "bullish"}, {"direction": {"bullish": "piercing line", "bearish": "dark cloud"}}),
+    "star_pattern": ("{direction} star", {"direction": "bullish"}, {"direction": {"bullish": "a morning", "bearish": "an evening"}}),
+    "three_soldiers_crows": ("three {direction}", {"direction": "bullish"}, {"direction": {"bullish": "white soldiers", "bearish": "black crows"}}),
+    "three_methods": ("{direction} three methods", {"direction": "bullish"}, {"direction": {"bullish": "rising", "bearish": "falling"}}),
+    "level_break": ("the close {op} the {source} of {period} bars", {"op": "break_above", "source": "highest_high", "period": 20}, {"op": _MOVE, "source": {"highest_high": "high", "lowest_low": "low"}}),
+    "ma_touch": ("the close {op} the {period}-bar {ma_type}", {"op": "break_below", "period": 20, "ma_type": "ema"}, {"op": _MOVE}),
+    "volume_spike": ("volume is at least {mult} times its {period}-bar mean", {"mult": 2.0, "period": 20}, {}),
+    "volume_dryup": ("volume is at most {ratio} of its {lookback}-bar high", {"ratio": 0.4, "lookback": 10}, {}),
+}
+
+
 def describe(c: Condition) -> str:
-    """The condition in words: its name and what it sets."""
-    rest = ", ".join(f"{k}={v:g}" if isinstance(v, float) else f"{k}={v}" for k, v in c.items() if k != "indicator")
-    return f"{str(c.get('indicator', 'condition')).replace('_', ' ')}" + (f" ({rest})" if rest else "")
+    """The condition in words; one of an unknown indicator is its name."""
+    name = str(c.get("indicator") or "condition")
+    if name not in WORDING:
+        return name
+    text, usual, words = WORDING[name]
+    said = {k: words.get(k, {}).get(v, f"{v:g}" if isinstance(v, float) else v) for k, v in (usual | {k: c[k] for k in usual if c.get(k) is not None}).items()}
+    return text.format(**said)
 
 
 def evaluate(k: Kernels, c: Condition) -> str:

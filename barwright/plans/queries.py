@@ -7,7 +7,6 @@ day; sectors are part types, holders customers, prices retail prices, posts conv
 from __future__ import annotations
 
 import datetime as dt
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -896,14 +895,6 @@ def two_phase_selection(spark, sf):
     return tuning.two_phase_best(_results(spark, sf)).select("strategy", "ticker", "excess_return", "place")
 
 
-@query()
-def strategy_texts(spark, sf):
-    """Kinds, problems and explanations of configs of all four schemas."""
-    configs = [CROSS, STAGED, {"expression": "close > sma(close, 20)"}, {"combine": "AND", "strategies": [CROSS, {"expression": "volume > 0"}]}, {"conditions": []}]
-    rows = [(i, strategy.kind_of(c), "; ".join(strategy.problems(c)), strategy.explain(c) if not strategy.problems(c) else "") for i, c in enumerate(configs)]
-    return spark.createDataFrame(rows, "id int, kind string, problems string, explanation string")
-
-
 # ------------------------------------------------------------ strategy texts
 INTAKE_TEXT = """CASE p_type WHEN 'ECONOMY' THEN 'RSI 과매수 ' WHEN 'LARGE' THEN 'RSI, Macd and Ichimoku ' WHEN 'MEDIUM' THEN 'GOLDEN or Dead Cross ' WHEN 'PROMO' THEN '볼린저 Upper, 과매도 과매수 '
  ELSE p_name END || CASE p_size % 4 WHEN 0 THEN '골든크로스' WHEN 1 THEN 'Bollinger' WHEN 2 THEN '' END"""
@@ -940,23 +931,6 @@ def strategy_scripts(spark, sf):
     return rows.select("doc_id", F.posexplode(intake.scripts("text")).alias("place", "script"))
 
 
-TUNED = {
-    "entry_stages": [{"weight": 0.4, "conditions": [{"indicator": "rsi_cross", "period": 14, "level": 30}]}, {"weight": 0.6, "conditions": [{"indicator": "bollinger", "period": 20, "std_dev": 2.0}]}],
-    "exit_stages": [{"conditions": [{"indicator": "bbw_squeeze_release", "threshold": 0.1}]}],
-}
-
-
-@query("""WITH p(path, indicator, key, original, category) AS (VALUES ('entry_stages[0].conditions[0]', 'rsi_cross', 'period', 14.0, 'period'), ('entry_stages[0].conditions[0]', 'rsi_cross', 'level', 30.0, 'threshold'),
- ('entry_stages[1].conditions[0]', 'bollinger', 'period', 20.0, 'period'), ('entry_stages[1].conditions[0]', 'bollinger', 'std_dev', 2.0, 'band'), ('exit_stages[0].conditions[0]', 'bbw_squeeze_release', 'threshold', 0.1, 'ratio'),
- ('entry_stages[0]', '', 'weight', 0.4, 'weight'), ('entry_stages[1]', '', 'weight', 0.6, 'weight')),
- s(style, lo, hi) AS (VALUES ('leader', 0.3, 0.8), ('growth', 0.8, 2.0), ('value', 0.8, 1.5), ('cyclical', 0.7, 1.3), ('defensive', 1.0, 2.0), ('quality', 1.0, 2.5)), w AS (SELECT *, greatest(round(original * 0.3, 3), 0.02) AS width FROM p, s)
- SELECT path, indicator, key, CAST(original AS DOUBLE) AS original, category, style, CAST(CASE category WHEN 'period' THEN greatest(2, round(original * lo)) WHEN 'band' THEN original - 0.5 WHEN 'threshold' THEN original - 10 ELSE original - width END AS DOUBLE) AS low,
- CAST(CASE category WHEN 'period' THEN greatest(greatest(2, round(original * lo)) + 1, round(original * hi)) WHEN 'band' THEN original + 0.5 WHEN 'threshold' THEN original + 10 ELSE original + width END AS DOUBLE) AS high FROM w""")
-def tunable_parameters(spark, sf):
-    """What the search would vary in a staged strategy, and how far."""
-    return spark.createDataFrame(tuning.tunables(TUNED), "path string, indicator string, key string, original double, category string, style string, low double, high double")
-
-
 @query("""WITH n AS (SELECT DISTINCT o_custkey AS n FROM orders), a AS (SELECT 1 AS n UNION SELECT n + 1 FROM n) SELECT '후보' || min(n) AS name FROM a WHERE n NOT IN (SELECT n FROM n)""")
 def candidate_name(spark, sf):
     """The first candidate name that no customer with orders has taken."""

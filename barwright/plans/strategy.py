@@ -148,15 +148,18 @@ def compile_signal(k: Kernels, config: str | dict) -> Signal:
 
 
 def explain(config: str | dict, most_lines: int = 5) -> str:
-    """The strategy in a few lines of text."""
+    """The strategy in at most so many lines of text: one a side of a staged one, and one for all that ends it early."""
     c = parse(config)
     kind = kind_of(c)
-    words = lambda s: f" {str(s.get('logic', 'AND')).upper()} ".join(conditions.describe(x) for x in s.get("conditions", []))
+    words = lambda s: f" {str(s.get('logic', 'AND')).lower()} ".join(conditions.describe(x) for x in s.get("conditions", [])) or "nothing"
     if kind == "combined":
-        lines = [f"{str(c['combine']).upper()} of {len(c['strategies'])} strategies:", *(f"- {explain(s, 1)}" for s in c["strategies"])]
+        which = "all" if str(c["combine"]).upper() == "AND" else "any"
+        lines = [f"In the market while {which} of {len(c['strategies'])} strategies are:", *(line for i, s in enumerate(c["strategies"], 1) for line in f"{i}. {explain(s, most_lines)}".split("\n"))]
     elif kind == "staged":
-        lines = [f"Enter {float(s.get('weight', 0)):.0%} when {words(s)}" for s in c["entry_stages"]] + [f"Exit stage {i} when {words(s)}" for i, s in enumerate(c.get("exit_stages", []), 1)]
-        lines += [f"Stop at {c['stop_loss'].get('source')}"] if c.get("stop_loss") else []
+        lines = ["Enter " + ", then ".join(f"{float(s.get('weight', 0)):.0%} when {words(s)}" for s in c["entry_stages"])]
+        lines += ["Leave in stages when " + ", then ".join(words(s) for s in c["exit_stages"]) + "; the last one leaves altogether"] if c.get("exit_stages") else []
+        lines += [f"Leave at once when {words(c['emergency_exit'])}"] if c.get("emergency_exit") else []
+        lines += [f"Stop at the {str(c['stop_loss'].get('source')).replace('_', ' ')} of {c['stop_loss'].get('period', 20)} bars" + (f", target at {float(c['take_profit'].get('multiple', 2.0)):g} times that distance" if c.get("take_profit") else "")] if c.get("stop_loss") else []
     elif kind == "expression":
         lines = [f"In the market while {c['expression']}"]
     else:
