@@ -27,45 +27,56 @@ BUCKETS, DIMENSIONS, CELL_BITS, TIE_BITS = 256, 4, 12, 15
 END_ID, SEQUENCE = 2, 4096
 #: Chunks whose ids a worker keeps at most; ranges of the curve at most, of which the driver holds a row each.
 CACHED, RANGES = 300_000, 1 << 14
-_MARKS = frozenset(".,;:!?")
 #: Lowered letters of ASCII and Latin-1: alone in a chunk they are one word, whatever the normalizer does.
 _WORD = re.compile("[a-zß-öø-ÿ]+")
+#: Letters and then ASCII marks: the tokenizer parts them, as an apostrophe is not among the marks.
+_TAILED = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class Ids(dict):
     """White-space-free chunks of lowered text -> token ids as unsigned 16-bit bytes.
 
-    The tokenizer drops white space and works inside chunks, so a text's ids are those of its chunks; a mark after
-    a letter is a token of its own, so it is looked up by itself. A chunk of plain letters is one word, which goes
-    to the tokenizer's model without the steps before it, save the spelling of bytes as characters.
+    The tokenizer drops white space and works inside chunks, so a text's ids are those of its chunks; marks behind
+    letters are parted from them, so both are looked up by themselves. A chunk of plain letters is one word, which goes
+    to the tokenizer's model without the steps before it, save the spelling of bytes as characters. Chunks are kept in
+    two generations: when the younger is full, it becomes the older, and what is used again returns from there.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CACHED):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.older: dict[bytes, bytes] = {}
+        self.half = kept // 2
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelt = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(ord("ß"), 256)}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        word = chunk.decode().lower()
-        if _WORD.fullmatch(word):
-            ids = array("H", [t.id for t in self.model.tokenize(word.translate(self.spelt))]).tobytes()
-        elif len(word) > 1 and word[-1] in _MARKS and word[-2].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
-        else:
-            ids = array("H", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._made(chunk)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
 
+    def _made(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters
+            return array("H", [t.id for t in self.model.tokenize(chunk.decode())]).tobytes()
+        word = chunk.decode().lower()
+        if _WORD.fullmatch(word):
+            return array("H", [t.id for t in self.model.tokenize(word.translate(self.spelt))]).tobytes()
+        if tailed := _TAILED.fullmatch(word):
+            return self[tailed[1].encode()] + self[tailed[2].encode()]
+        return array("H", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+
     def of(self, text: bytes) -> bytes:
-        if len(self) > CACHED:
+        if len(self) > self.half:
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.lower().split()))
 

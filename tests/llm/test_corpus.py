@@ -752,3 +752,15 @@ def test_packed_numbers_come_back():
         column = lm_classes.packed(np.array(values, np.int32), np.array(each, np.int64))
         got, many = lm_classes.flat(column, np.int32)
         assert got.tolist() == values and many.tolist() == each
+
+
+def test_chunks_have_the_tokenizers_ids():
+    import random
+
+    ids, rnd = packing.Ids(packing.tokenizer_path(), kept=40), random.Random(1)
+    odd = ["a. b.c d.. e,; É. é, ñ; ×. ÷, —, “a”. ... 1.5 x1. ß. İx. ſ. K. A.\x1c b.\x85c a.\nb.", "Hello, World! it's don't' a&&& b$$$ c.%%%", "a" * 100 + ". " + "ö" * 50 + ",", "\x00. \x0b.x", "abc<|endoftext|> a<|startoftext|>."]
+    odd += ["".join(rnd.choice("abcéßÿ×÷'.,$&-_|<>1  —ſKİ\n~`^@[]{}\\/:;!?\"#%()*+=") for _ in range(60)) for _ in range(500)]
+    for text in odd:
+        want = np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        assert ids.of(text.encode()) == want, text
+    assert len(ids) + len(ids.older) < 200
