@@ -30,7 +30,7 @@ class Backtest:
 
     @property
     def metrics(self) -> DataFrame:
-        return metrics(self.curve, self.trades)
+        return metrics(self.curve, self.trades) if "events" in self.curve.columns else summarized(self.curve)
 
 
 def capped(position: Column, most: int) -> tuple[Column, Column]:
@@ -73,6 +73,19 @@ def trades_of(curve: DataFrame) -> DataFrame:
     return out.withColumn("return_pct", (F.try_divide(F.col("exit_price"), F.col("entry_price")) - 1) * 100).drop("_trade")
 
 
+def _figures(top: Column, day: Column) -> list[Column]:
+    """The figures of a curve, from its highest equity so far and its change at each bar."""
+    span = F.greatest(F.datediff(F.max("ts"), F.min("ts")) / F.lit(YEAR_DAYS), F.lit(1e-9))
+    ratio = F.try_divide(F.max_by("equity", "ts"), F.min_by("equity", "ts"))
+    spread, enough = F.stddev_pop(day), F.count("*") >= 2
+    return [
+        F.when(enough, (ratio - 1) * 100).otherwise(0.0).alias("cumulative_return"),
+        F.when(enough & (ratio > 0), (F.pow(ratio, 1 / span) - 1) * 100).otherwise(0.0).alias("cagr"),
+        F.when(enough, F.min((F.try_divide(F.col("equity"), top) - 1) * 100)).otherwise(0.0).alias("mdd"),
+        F.when(enough & (spread > 0), F.avg(day) / spread * F.sqrt(F.lit(float(TRADING_DAYS)))).otherwise(0.0).alias("sharpe"),
+    ]
+
+
 def metrics(curve: DataFrame, trades: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Per ticker: cumulative return and CAGR in %, deepest drawdown in %, Sharpe ratio, trades and how they went.
 
@@ -82,22 +95,35 @@ def metrics(curve: DataFrame, trades: DataFrame, keys: tuple[str, ...] = ("ticke
     by = Window.partitionBy(*keys).orderBy("ts")
     rows = curve.withColumn("_top", F.max("equity").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_day", F.try_divide(F.col("equity"), F.lag("equity").over(by)) - 1)
-    span = F.greatest(F.datediff(F.max("ts"), F.min("ts")) / F.lit(YEAR_DAYS), F.lit(1e-9))
-    ratio = F.try_divide(F.max_by("equity", "ts"), F.min_by("equity", "ts"))
-    spread = F.stddev_pop("_day")
-    enough = F.count("*") >= 2
-    found = rows.groupBy(*keys).agg(
-        F.when(enough, (ratio - 1) * 100).otherwise(0.0).alias("cumulative_return"),
-        F.when(enough & (ratio > 0), (F.pow(ratio, 1 / span) - 1) * 100).otherwise(0.0).alias("cagr"),
-        F.when(enough, F.min((F.try_divide(F.col("equity"), F.col("_top")) - 1) * 100)).otherwise(0.0).alias("mdd"),
-        F.when(enough & (spread > 0), F.avg("_day") / spread * F.sqrt(F.lit(float(TRADING_DAYS)))).otherwise(0.0).alias("sharpe"),
-    )
+    found = rows.groupBy(*keys).agg(*_figures(F.col("_top"), F.col("_day")))
     done = trades.filter("return_pct is not null").groupBy(*keys).agg(
         (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("win_rate"), F.avg(F.datediff("exit_date", "entry_date")).alias("avg_holding_days"), F.count("*").alias("trade_count")
     )
     return found.join(done, list(keys), "left").fillna(0, ["win_rate", "avg_holding_days", "trade_count"])
 
 
+def summarized(curve: DataFrame, *more: Column) -> DataFrame:
+    """The metrics of a curve whose position is in or out, and aggregates `more` of it, in one pass over its bars.
+
+    A trade's return is known at the bar where it ends, which carries the close and day of its entry, so the curve need
+    not be aggregated by trade and joined back; values are those of `metrics` with `trades_of`.
+    """
+    by, held = by_time(), F.col("executed") > 0
+    before = F.coalesce(F.lag(held).over(by), F.lit(False))
+    rows = curve.withColumns({"_top": F.max("equity").over(to_now()), "_day": F.try_divide(F.col("equity"), F.lag("equity").over(by)) - 1, "_in": held & ~before, "_out": ~held & before, "_last": F.lead("ts").over(by).isNull()})
+    rows = rows.withColumn("_entry", F.last(F.when(F.col("_in"), F.struct("close", "ts")), ignorenulls=True).over(to_now()))
+    ended = F.col("_out") | (held & F.col("_last"))
+    rows = rows.withColumn("_return", F.when(ended, F.try_divide(F.col("close"), F.col("_entry.close")) - 1))
+    done = F.col("_return").isNotNull()
+    return rows.groupBy("ticker").agg(
+        *_figures(F.col("_top"), F.col("_day")),
+        F.coalesce(F.avg(F.when(done, (F.col("_return") > 0).cast("double"))) * 100, F.lit(0.0)).alias("win_rate"),
+        F.coalesce(F.avg(F.when(done, F.datediff("ts", "_entry.ts"))), F.lit(0.0)).alias("avg_holding_days"),
+        F.count(F.when(done, 1)).alias("trade_count"),
+        *more,
+    )
+
+
 def run(bars: DataFrame, config: str | dict, start=None, end=None, max_holding_days: int | None = None, longest: int | None = None) -> Backtest:
     """The strategy over all tickers of `bars` between start and before end; tickers without bars there have no rows.
 
@@ -125,10 +151,19 @@ def buy_and_hold(bars: DataFrame, start=None, end=None) -> Backtest:
 
 
 def compared(bars: DataFrame, config: str | dict, benchmark: DataFrame, start=None, end=None, max_holding_days: int | None = None) -> DataFrame:
-    """Metrics of the strategy, of holding each ticker, and of holding the benchmark, in one table by `leg`."""
-    legs = (("strategy", run(bars, config, start, end, max_holding_days)), ("ticker", buy_and_hold(bars, start, end)), ("benchmark", buy_and_hold(benchmark, start, end)))
-    out = [b.metrics.withColumn("leg", F.lit(name)) for name, b in legs]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    """Metrics of the strategy, of holding each ticker, and of holding the benchmark, in one table by `leg`.
+
+    A strategy that is in or out is measured with its tickers in one pass, each bar standing in both legs.
+    """
+    held = buy_and_hold(benchmark, start, end).metrics.withColumn("leg", F.lit("benchmark"))
+    if strategy.kind_of(config) == "staged" or max_holding_days is not None:
+        own, ticker = run(bars, config, start, end, max_holding_days), buy_and_hold(bars, start, end)
+        return own.metrics.withColumn("leg", F.lit("strategy")).unionByName(ticker.metrics.withColumn("leg", F.lit("ticker"))).unionByName(held)
+    k = Kernels(history(bars, start - dt.timedelta(days=WARM_UP_DAYS) if start is not None else None, end))
+    legs = F.array(*[F.struct(F.lit(n).alias("leg"), w.alias("position")) for n, w in (("strategy", F.col(strategy.compile_signal(k, config).weight)), ("ticker", F.lit(1.0)))])
+    rows = history(k.df, start).select("ticker", "ts", "close", F.explode(legs).alias("l"))
+    both = summarized(equity(rows.select(F.struct("ticker", "l.leg").alias("ticker"), "ts", "close", "l.position")))
+    return both.select("ticker.*", *[c for c in both.columns if c != "ticker"]).unionByName(held)
 
 
 def by_regime(curve: DataFrame, regimes: DataFrame) -> DataFrame:

@@ -40,8 +40,7 @@ def measured(rows: DataFrame, keys: list[str], max_holding_days: int | None = No
     if max_holding_days is not None:
         helper, capped = backtest.capped(F.col("position"), max_holding_days)
         rows = rows.withColumn("_run", helper).withColumn("position", capped).drop("_run")
-    curve = backtest.equity(rows)
-    out = backtest.metrics(curve, backtest.trades_of(curve))
+    out = backtest.summarized(backtest.equity(rows))
     return out.select("ticker.*", *[c for c in out.columns if c != "ticker"])
 
 
@@ -107,7 +106,8 @@ def tuned_groups(
 
     Each style has a grid of its own. A regime's segments in the training window are its folds; a candidate's score in a
     group is the mean less half the deviation, over folds, of the mean Sharpe ratio of tickers with enough trades, where
-    half of the group's tickers in a fold and half of the folds have one. The best (ties: the first in the grid) is tried on
+    half of the group's tickers in a fold and half of the folds have one. The best (of scores that agree in three decimals
+    the first in the grid) is tried on
     the regime's longest segment in the test window; a group without any keeps the original, `insufficient` where its
     regime has no fold. Columns: ticker, style, regime, candidate (in the style's grid), config (JSON), score, insufficient,
     test_start, test_end, cagr, benchmark_cagr, excess_return and reason, which says why there is no excess. Styles come
@@ -135,7 +135,7 @@ def tuned_groups(
     fold = fold.join(F.broadcast(size), "style").filter(F.col("n") >= half("members"))
     ranked = fold.groupBy("style", "regime", "candidate").agg((F.avg("s") - tuning.PENALTY * F.stddev_pop("s")).alias("score"), F.count("*").alias("n"))
     ranked = ranked.join(F.broadcast(n_folds), "regime").filter(F.col("n") >= half("n_folds"))
-    best = ranked.groupBy("style", "regime").agg(F.max_by(F.struct("candidate", "score"), F.struct("score", -F.col("candidate"))).alias("b")).select("style", "regime", "b.*")
+    best = ranked.groupBy("style", "regime").agg(F.max_by(F.struct("candidate", "score"), F.struct(F.round("score", 3), -F.col("candidate"))).alias("b")).select("style", "regime", "b.*")
 
     wanted = spark.createDataFrame([(r,) for r in regimes], "regime string").join(F.broadcast(n_folds), "regime", "left")
     plain = table.filter("original").select("style", F.col("candidate").alias("original"))

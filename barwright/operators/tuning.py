@@ -193,21 +193,21 @@ def evaluated(bars: DataFrame, candidates: list[dict], windows: list[tuple[dt.da
     if max_holding_days is not None:
         helper, capped = backtest.capped(F.col("position"), max_holding_days)
         rows = rows.withColumn("_run", helper).withColumn("position", capped).drop("_run")
-    curve = backtest.equity(rows)
-    out = backtest.metrics(curve, backtest.trades_of(curve))
+    out = backtest.summarized(backtest.equity(rows))
     return out.select("ticker.*", *[c for c in out.columns if c != "ticker"])
 
 
 def walk_forward(scores: DataFrame, tickers: int, n_folds: int) -> DataFrame:
     """Candidates ranked by the mean less half the deviation, over folds, of the tickers' mean Sharpe ratio.
 
-    Tickers with fewer than five trades don't count; a fold needs half the tickers, a candidate half the folds.
+    Tickers with fewer than five trades don't count; a fold needs half the tickers, a candidate half the folds. Scores
+    that agree in three decimals are ties, in which the first candidate wins.
     """
     least = lambda n: max(1, -(-n // 2))
     fold = scores.filter(F.col("trade_count") >= LEAST_TRADES).groupBy("candidate", "fold").agg(F.avg("sharpe").alias("s"), F.count("*").alias("n")).filter(F.col("n") >= least(tickers))
     out = fold.groupBy("candidate").agg(F.avg("s").alias("mean_sharpe"), F.stddev_pop("s").alias("std_sharpe"), F.count("*").alias("folds")).filter(F.col("folds") >= least(n_folds))
     out = out.withColumn("score", F.col("mean_sharpe") - PENALTY * F.col("std_sharpe"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "candidate")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", 3)), "candidate")))
 
 
 def best_by_ticker(scores: DataFrame) -> DataFrame:

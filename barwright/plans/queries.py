@@ -408,9 +408,8 @@ TRADES = f"""t1 AS (SELECT *, sum(CASE WHEN ex = 1 AND ex1 = 0 THEN 1 ELSE 0 END
 )
 def golden_cross(spark, sf):
     """The flagship: a golden-cross strategy on every ticker, with its metrics."""
-    b = backtest.run(_bars(spark, sf), CROSS)
-    growth = b.curve.groupBy("ticker").agg(_r(F.log(F.max_by("equity", "ts") / 100), 5).alias("log_growth"))
-    return b.metrics.join(growth, "ticker").select("ticker", "log_growth", _r("mdd", 4).alias("mdd"), _r("sharpe", 5).alias("sharpe"), _r("win_rate").alias("win_rate"), _r("avg_holding_days").alias("avg_holding_days"), "trade_count")
+    found = backtest.summarized(backtest.run(_bars(spark, sf), CROSS).curve, _r(F.log(F.max_by("equity", "ts") / 100), 5).alias("log_growth"))
+    return found.select("ticker", "log_growth", _r("mdd", 4).alias("mdd"), _r("sharpe", 5).alias("sharpe"), _r("win_rate").alias("win_rate"), _r("avg_holding_days").alias("avg_holding_days"), "trade_count")
 
 
 @query(f"WITH {BARS}, {CURVE}, {TRADES} SELECT ticker, entry_date, exit_date, entry_price, exit_price, round((exit_price / entry_price - 1) * 100, 6) AS return_pct FROM t2")
@@ -463,7 +462,8 @@ def combined_strategy(spark, sf):
 @query()
 def benchmark_comparison(spark, sf):
     d = _bars(spark, sf)
-    return backtest.compared(d, CROSS, d.filter("ticker = 'Brand#1'"), dt.date(1995, 6, 1), dt.date(1998, 6, 1))
+    found = backtest.compared(d, CROSS, d.filter("ticker = 'Brand#1'"))
+    return found.select("ticker", "leg", _r(F.log10(F.col("cagr") + 101), 5).alias("size"), _r("mdd", 4).alias("mdd"), _r("sharpe", 5).alias("sharpe"), _r("win_rate").alias("win_rate"), _r("avg_holding_days").alias("avg_holding_days"), F.col("trade_count").cast("long").alias("trade_count"))
 
 
 @query(f"""WITH {BARS}, {CURVE}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS b FROM (SELECT *, lag(pos) OVER ({W}) AS before FROM g1)) SELECT ticker, ts AS as_of, (pos > coalesce(before, 0)) AS triggered, pos > 0 AS in_position FROM r WHERE b = 1""")
@@ -647,7 +647,8 @@ def theme_strength(spark, sf):
 
 @query()
 def theme_phases(spark, sf):
-    return cycles.theme_phases(_bars(spark, sf), _themes(spark, sf))
+    found = cycles.theme_phases(_bars(spark, sf), _themes(spark, sf))
+    return found.select("theme", "ts", _r("position_pct", 4).alias("position_pct"), _r("volume_ratio").alias("volume_ratio"), _r("roc_20", 4).alias("roc_20"), "zone", "phase")
 
 
 @query(
@@ -845,14 +846,15 @@ RSI_PAIR = {"logic": "OR", "conditions": [{"indicator": "rsi", "op": "<", "value
 
 @query()
 def walk_forward_search(spark, sf):
-    _, found, _ = tuning.tune_group(_bars(spark, sf), RSI_PAIR, dt.date(1994, 1, 1), dt.date(1998, 1, 1), "growth", "fast", 3)
-    return found
+    _, found, _ = tuning.tune_group(_bars(spark, sf), RSI_PAIR, dt.date(1995, 1, 1), dt.date(2001, 12, 1), "growth", "fast", 3)
+    return found.select("candidate", _r("mean_sharpe", 5).alias("mean_sharpe"), _r("std_sharpe", 5).alias("std_sharpe"), F.col("folds").cast("long").alias("folds"), _r("score", 5).alias("score"), "place")
 
 
 @query()
 def era_validation(spark, sf):
-    eras = [(str(y), f"{y}-01-01", f"{y}-12-31") for y in range(1995, 2000)]
-    return tuning.era_validation(_bars(spark, sf), CROSS, eras)
+    eras = [(str(y), f"{y}-01-01", f"{y + 1}-01-01") for y in range(1995, 2002)]
+    found = tuning.era_validation(_bars(spark, sf), CROSS, eras)
+    return found.select("era", _r("mean_excess_return", 2).alias("mean_excess_return"), _r("win_ratio").alias("win_ratio"), "n_tickers", _r("robustness").alias("robustness"))
 
 
 @query(f"WITH {BARS}, {ADX}, {DAILY}, l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM dl) SELECT ticker, ts, regime, CASE regime WHEN 'bull' THEN 1 WHEN 'bear' THEN 2 END AS strategy_id FROM l WHERE back = 1")

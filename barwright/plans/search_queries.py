@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.indicators import Kernels
 from ..functions.windows import is_true
 from ..operators import batch, regime
-from .queries import ADX, BARS, CROSS, DAILY, W, _bars, _r, _t, query, roll, true
+from .queries import ADX, BARS, CHANGES, CROSS, DAILY, EGG, SQL, STOCKS, W, _bars, _r, _t, ewm, over, query, rank_sql, roll, true
 
 START, END = dt.date(1995, 1, 1), dt.date(2001, 12, 1)  # around all line items
 PAIR = {"logic": "AND", "conditions": [{"indicator": "ma_cross", "short": 10, "long": 30}]}
@@ -65,7 +65,7 @@ BATCH_SQL = f"""WITH {BARS}, {LABELS}, d AS (SELECT DATE '1995-01-01' AS a, DATE
  gn AS (SELECT style, greatest(1, ceil(count(*) / 2.0)) AS need FROM gr GROUP BY style), fn AS (SELECT regime, greatest(1, ceil(count(*) / 2.0)) AS need FROM fo GROUP BY regime),
  f0 AS (SELECT style, nth, regime, fold, avg(sharpe) AS s, count(*) AS m FROM sc WHERE trades >= 5 GROUP BY style, nth, regime, fold), fs AS (SELECT f0.* FROM f0 JOIN gn ON gn.style = f0.style WHERE m >= need),
  r0 AS (SELECT style, nth, regime, avg(s) - 0.5 * stddev_pop(s) AS score, count(*) AS m FROM fs GROUP BY style, nth, regime), rk AS (SELECT r0.* FROM r0 JOIN fn ON fn.regime = r0.regime WHERE m >= need),
- be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY style, regime ORDER BY score DESC, nth) AS r FROM rk) WHERE r = 1),
+ be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY style, regime ORDER BY round(score, 3) DESC, nth) AS r FROM rk) WHERE r = 1),
  ch AS (SELECT o.style, w.regime, coalesce(b.nth, o.nth) AS nth, b.score, w.regime NOT IN (SELECT regime FROM fo) AS insufficient FROM (SELECT style, nth FROM ca WHERE s = 10 AND l = 30) o CROSS JOIN (VALUES ('bear'), ('bull')) w(regime) LEFT JOIN be b ON b.style = o.style AND b.regime = w.regime),
  tt AS (SELECT p.ticker, p.style, c.regime, p.ts, p.c, p.pos FROM ps p JOIN ch c ON p.style = c.style AND p.nth = c.nth JOIN te ON te.regime = c.regime AND p.ts >= te.lo AND p.ts < te.hi WHERE part = 'z'), ow AS {curves_sql('tt', 'ticker, style, regime')},
  bb AS (SELECT te.regime, b.ts, b.c, 1 AS pos FROM bars b JOIN te ON b.ts >= te.lo AND b.ts < te.hi WHERE b.ticker = 'Brand#1'), hb AS {curves_sql('bb', 'regime')}
@@ -137,3 +137,40 @@ def own_strategies(spark, sf):
     choice = d.select("ticker").distinct().select("ticker", F.when(kind == 0, 11).when(kind == 1, 22).when(kind == 2, 33).alias("strategy_id"))
     found = batch.own_strategies(d, choice, {11: CROSS, 22: {"expression": "close > sma(close, 20)"}}, START, END)
     return found.select("ticker", F.col("trade_count").cast("long").alias("trade_count"), _size("cagr").alias("size"), _r("sharpe", 5).alias("sharpe"))
+
+
+# ------------------------------------------------------------ SQL of searches and comparisons registered elsewhere
+HELD_SQL = f"""lg AS (SELECT ticker, 'strategy' AS leg, ts, c, CASE WHEN {true(roll('avg', 'c', 20) + ' > ' + roll('avg', 'c', 60))} THEN 1 ELSE 0 END AS pos FROM bars UNION ALL SELECT ticker, 'ticker', ts, c, 1 FROM bars UNION ALL SELECT ticker, 'benchmark', ts, c, 1 FROM bars WHERE ticker = 'Brand#1')"""
+BY_LEG = "PARTITION BY ticker, leg ORDER BY ts"
+SQL["benchmark_comparison"] = f"""WITH {BARS}, {HELD_SQL}, a AS (SELECT *, coalesce(lag(pos) OVER ({BY_LEG}), 0) AS ex, coalesce(c / lag(c) OVER ({BY_LEG}) - 1, 0) AS ret FROM lg),
+ b AS (SELECT *, sum(ln(1 + ret * ex)) OVER ({BY_LEG} ROWS UNBOUNDED PRECEDING) AS le, coalesce(lag(ex) OVER ({BY_LEG}), 0) AS ex1 FROM a),
+ m AS (SELECT *, max(le) OVER ({BY_LEG} ROWS UNBOUNDED PRECEDING) AS top, sum(CASE WHEN ex = 1 AND ex1 = 0 THEN 1 ELSE 0 END) OVER ({BY_LEG} ROWS UNBOUNDED PRECEDING) AS tr FROM b),
+ d AS (SELECT ticker, leg, min(exp(le - top) - 1) * 100 AS mdd FROM m GROUP BY ticker, leg), t AS (SELECT ticker, leg, tr, max(ts) - min(ts) AS days, arg_max(c, ts) > arg_min(c, ts) AS won FROM m WHERE tr > 0 AND (ex = 1 OR ex1 = 1) GROUP BY ticker, leg, tr),
+ n AS (SELECT ticker, leg, avg(CASE WHEN won THEN 100.0 ELSE 0 END) AS win_rate, avg(days) AS days, count(*) AS trades FROM t GROUP BY ticker, leg), o AS {curves_sql('lg', 'ticker, leg')}
+ SELECT o.ticker, o.leg, round(log10({RATE.format('le').replace(' n ', ' o.n ')} + 101), 5) AS size, round(d.mdd, 4) AS mdd, round(sharpe, 5) AS sharpe, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(days, 0), 6) AS avg_holding_days, CAST(coalesce(n.trades, 0) AS BIGINT) AS trade_count
+ FROM o JOIN d ON o.ticker = d.ticker AND o.leg = d.leg LEFT JOIN n ON n.ticker = o.ticker AND n.leg = o.leg"""
+
+#: The candidates that the search draws with its fixed seed: level and period of the RSI, short and long average.
+DRAWN = """(0, 55, 11, 8, 60), (1, 45, 11, 8, 24), (2, 55, 11, 20, 60), (3, 55, 11, 20, 30), (4, 35, 11, 8, 24), (5, 35, 28, 20, 24), (6, 55, 28, 10, 24), (7, 45, 28, 10, 24), (8, 35, 28, 10, 30), (9, 45, 11, 8, 30), (10, 35, 11, 10, 24),
+ (11, 45, 14, 20, 30), (12, 35, 28, 10, 60), (13, 35, 14, 8, 60), (14, 45, 28, 20, 30), (15, 55, 11, 20, 24), (16, 35, 28, 8, 30), (17, 35, 11, 8, 30), (18, 35, 14, 10, 24), (19, 55, 14, 20, 60), (20, 45, 14, 10, 30)"""
+RSIS = CHANGES.replace("FROM bars", "FROM wb") + "".join(
+    f", ru{n} AS ({ewm(source, 'up', 1 / n, n, f'au{n}')}), rd{n} AS ({ewm(f'ru{n}', 'dn', 1 / n, n, f'ad{n}')}), rs{n} AS (SELECT *, CASE WHEN ad{n} = 0 THEN 100.0 ELSE 100 - 100 / (1 + au{n} / ad{n}) END AS rsi{n} FROM rd{n})" for n, source in ((11, "ch"), (14, "rs11"), (28, "rs14"))
+)
+SQL["walk_forward_search"] = f"""WITH {BARS}, wb AS (SELECT * FROM bars WHERE ts < DATE '1995-01-01' + 1894), {RSIS}, ma AS (SELECT ticker, ts, c, rsi11, rsi14, rsi28, {', '.join(f"{roll('avg', 'c', n)} AS m{n}" for n in (8, 10, 20, 24, 30, 60))} FROM rs28),
+ ca(candidate, level, period, s, l) AS (VALUES {DRAWN}), fo(fold, lo, hi) AS (SELECT i, DATE '1995-01-01' + i * 631, CASE WHEN i = 2 THEN DATE '1995-01-01' + 1894 ELSE DATE '1995-01-01' + ((i + 1) * 631 - 1) END FROM (VALUES (0), (1), (2)) q(i)),
+ ps AS (SELECT ticker, candidate, fold, ts, c, CASE WHEN coalesce(CASE period WHEN 11 THEN rsi11 WHEN 14 THEN rsi14 ELSE rsi28 END < level, false)
+   OR coalesce(CASE s WHEN 8 THEN m8 WHEN 10 THEN m10 ELSE m20 END > CASE l WHEN 24 THEN m24 WHEN 30 THEN m30 ELSE m60 END, false) THEN 1 ELSE 0 END AS pos FROM ma JOIN fo ON ts >= lo AND ts < hi CROSS JOIN ca),
+ sc AS {curves_sql('ps', 'ticker, candidate, fold')}, f0 AS (SELECT candidate, fold, avg(sharpe) AS s, count(*) AS m FROM sc WHERE trades >= 5 GROUP BY candidate, fold), nt AS (SELECT greatest(1, ceil(count(DISTINCT ticker) / 2.0)) AS need FROM bars),
+ fs AS (SELECT f0.* FROM f0, nt WHERE m >= need), rk AS (SELECT candidate, avg(s) AS mean_sharpe, stddev_pop(s) AS std_sharpe, count(*) AS folds FROM fs GROUP BY candidate HAVING count(*) >= 2)
+ SELECT CAST(candidate AS INTEGER) AS candidate, round(mean_sharpe, 5) AS mean_sharpe, round(std_sharpe, 5) AS std_sharpe, folds, round(mean_sharpe - 0.5 * std_sharpe, 5) AS score, CAST(row_number() OVER (ORDER BY round(mean_sharpe - 0.5 * std_sharpe, 3) DESC, candidate) AS INTEGER) AS place FROM rk"""
+
+SQL["era_validation"] = f"""WITH {BARS}, wb AS (SELECT *, CASE WHEN {true(roll('avg', 'c', 20) + ' > ' + roll('avg', 'c', 60))} THEN 1 ELSE 0 END AS p0 FROM bars),
+ ps AS (SELECT ticker, CAST(year(ts) AS VARCHAR) AS era, which, ts, c, CASE WHEN which = 0 THEN p0 ELSE 1 END AS pos FROM wb, (VALUES (0), (1)) q(which)), o AS {curves_sql('ps', 'ticker, era, which')},
+ x AS (SELECT a.era, {RATE.format('a.le').replace(' n ', ' a.n ').replace('years', 'a.years')} - {RATE.format('b.le').replace(' n ', ' b.n ').replace('years', 'b.years')} AS excess FROM o a JOIN o b ON a.ticker = b.ticker AND a.era = b.era WHERE a.which = 0 AND b.which = 1),
+ g AS (SELECT era, avg(excess) AS e, avg(CASE WHEN excess > 0 THEN 1.0 ELSE 0.0 END) AS w, count(*) AS n_tickers FROM x GROUP BY era)
+ SELECT era, round(e, 2) AS mean_excess_return, round(w, 6) AS win_ratio, n_tickers, round((SELECT count(*) FROM g WHERE e > 0) / 7.0, 6) AS robustness FROM g"""
+
+SQL["theme_phases"] = f"""WITH {BARS}, {STOCKS}, i AS (SELECT ticker AS tk, ts, v, c / first_value(c) OVER ({W}) * 100 AS c FROM bars), tb AS (SELECT theme AS ticker, i.ts, avg(c) AS c, sum(v) AS v FROM i JOIN st ON i.tk = st.ticker GROUP BY 1, 2), {EGG.replace('FROM bars', 'FROM tb')}
+ SELECT ticker AS theme, ts, round(pos, 4) AS position_pct, round(vr, 6) AS volume_ratio, round(roc, 4) AS roc_20, CASE WHEN pos <= 30 THEN 'low' WHEN pos >= 70 THEN 'high' ELSE 'mid' END AS zone,
+ CASE WHEN roc IS NULL THEN NULL WHEN pos <= 30 THEN CASE WHEN roc > 0 THEN CASE WHEN coalesce(vr >= 1.2, false) THEN 'A2' ELSE 'A1' END ELSE CASE WHEN coalesce(vr >= 1.2, false) AND abs(roc) >= 15 THEN 'B3' ELSE 'A1' END END
+  WHEN pos >= 70 THEN CASE WHEN roc > 0 THEN CASE WHEN coalesce(vr >= 1.2, false) THEN 'A3' ELSE 'A2' END ELSE CASE WHEN coalesce(vr >= 1.2, false) THEN 'B2' ELSE 'B1' END END ELSE CASE WHEN roc > 0 THEN 'A2' ELSE 'B2' END END AS phase FROM e2"""
