@@ -173,8 +173,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     fps = written(fingerprints(rows, "id", "text", shingle, carried=("text_hash", "row_hash")).withColumnRenamed("doc_id", "id"), "simhash")
     first = F.struct(F.col("id").isNull().alias("none"), *key)
     rooted = _rooted(fps.groupBy("fp").agg(F.min(first).alias("first")), max_bits)
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{k}").alias(f"kept_{k}") for k in key])
-    one = rows.join(kept, [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in key], "left_semi").dropDuplicates(key)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.struct(*[F.col(f"first.{k}").alias(k) for k in key]).alias("key"))
+    # one hash of the key deals rows out for the join and for the repeated rows after it, so whole rows move once
+    kept = kept.groupBy(F.xxhash64(*[f"key.{k}" for k in key]).alias("dealt")).agg(F.collect_set("key").alias("keys"))
+    found = rows.withColumn("dealt", F.xxhash64(*key)).drop("text").join(kept, "dealt").filter(F.array_contains("keys", F.struct(*key)))
+    one = found.dropDuplicates(["dealt", *key])
     return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
