@@ -26,7 +26,7 @@ from .common import rows_of, texts, written
 BUCKETS, DIMENSIONS, CELL_BITS, TIE_BITS = 256, 4, 12, 15
 END_ID, SEQUENCE = 2, 4096
 #: Chunks whose ids a worker keeps at most; ranges of the curve at most, of which the driver holds a row each.
-CACHED, RANGES = 300_000, 1 << 14
+CACHED, RANGES = 600_000, 1 << 14
 #: Lowered letters of ASCII and Latin-1: alone in a chunk they are one word, whatever the normalizer does.
 _WORD = re.compile("[a-zß-öø-ÿ]+")
 #: Letters and then ASCII marks: the tokenizer parts them, as an apostrophe is not among the marks.
