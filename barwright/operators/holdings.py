@@ -107,9 +107,12 @@ def tickers_in(text: Column) -> Column:
 
 
 def summaries(posts: DataFrame, snippet: int = 200) -> DataFrame:
-    """posts with the tickers in their text and its first characters, white space being single spaces; dots mark a cut."""
-    line = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return posts.withColumn("tickers", tickers_in(F.col("text"))).withColumn("snippet", F.when(F.length(line) > snippet, F.concat(F.substring(line, 1, snippet), F.lit("..."))).otherwise(line))
+    """posts with the tickers in their text and its first characters, white space being single spaces; dots mark a cut.
+
+    A null text has no tickers and an empty line.
+    """
+    line = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    return posts.withColumn("tickers", tickers_in(F.coalesce("text", F.lit("")))).withColumn("snippet", F.when(F.length(line) > snippet, F.concat(F.substring(line, 1, snippet), F.lit("..."))).otherwise(line))
 
 
 def recent_with(summaries: DataFrame, ticker: str | None = None, limit: int = 200) -> DataFrame:
@@ -122,10 +125,22 @@ def tracked_tickers(summaries: DataFrame) -> DataFrame:
     return summaries.select(F.explode("tickers").alias("ticker")).distinct().orderBy("ticker")
 
 
-def weekly_digest(summaries: DataFrame, days: int = 7) -> DataFrame:
-    """(ticker, period_start, period_end, post_count, report_text): posts by ticker in the days before the newest one, as bullets."""
+def weekly_digest(summaries: DataFrame, days: int = 7, most: int = 1000) -> DataFrame:
+    """(ticker, part, period_start, period_end, post_count, report_text): posts by ticker in the days before the newest one.
+
+    The text is a bullet for each post in their order, in numbered parts of at most `most` posts, so that no ticker's posts
+    have to fit in one row; period and count are the ticker's. Posts are numbered within their day, behind the counts of
+    the days before.
+    """
     end = summaries.agg(F.max("created_at").alias("_end"))
-    rows = summaries.crossJoin(F.broadcast(end)).filter(F.col("created_at") > F.col("_end") - F.expr(f"interval {days} days")).select(F.explode("tickers").alias("ticker"), "created_at", "id", "snippet", "_end")
+    rows = summaries.crossJoin(F.broadcast(end)).filter(F.col("created_at") > F.col("_end") - F.expr(f"interval {days} days"))
+    rows = rows.select(F.explode("tickers").alias("ticker"), F.to_date("created_at").alias("day"), "created_at", "id", "snippet", "_end")
+    by_day = rows.groupBy("ticker", "day").agg(F.count("*").alias("n"), F.min("created_at").alias("first"))
+    all_days = Window.partitionBy("ticker")
+    earlier = F.coalesce(F.sum("n").over(all_days.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_day = by_day.select("ticker", "day", earlier.alias("before"), F.sum("n").over(all_days).alias("post_count"), F.min("first").over(all_days).alias("period_start"))
+    own = F.row_number().over(Window.partitionBy("ticker", "day").orderBy("created_at", "id", "snippet")) - 1
+    placed = rows.withColumn("own", own).join(by_day, ["ticker", "day"]).withColumn("part", F.floor((F.col("before") + F.col("own")) / most).cast("int"))
     lines = F.array_sort(F.collect_list(F.struct("created_at", "id", "snippet")))
     text = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), F.date_format(x["created_at"], "yyyy-MM-dd"), F.lit(": "), x["snippet"])), "\n")
-    return rows.groupBy("ticker").agg(F.min("created_at").alias("period_start"), F.max("_end").alias("period_end"), F.count("*").alias("post_count"), text.alias("report_text"))
+    return placed.groupBy("ticker", "part").agg(F.first("period_start").alias("period_start"), F.max("_end").alias("period_end"), F.first("post_count").alias("post_count"), text.alias("report_text"))

@@ -130,6 +130,21 @@ def correlations(returns: DataFrame) -> DataFrame:
     return a.join(b, "ts").filter("a <= b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
 
 
+def correlation_matrix(bars: DataFrame) -> DataFrame:
+    """(a, b, corr) for every two tickers, each pair once and with itself, on the days that every ticker has a return for.
+
+    A day's returns are put into one row, a vector by ticker, so that they are shuffled once; its pairs then are made
+    in that row and summed up before they are shuffled, at most a row for each pair and task.
+    """
+    w = Window.partitionBy("ticker").orderBy("ts")
+    rows = bars.select("ticker", "ts", (F.try_divide(F.col("close"), lag(F.col("close"), 1, w)) - 1).alias("ret")).filter("ret is not null")
+    n = bars.agg(F.count_distinct("ticker").alias("n"))
+    day = rows.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("ticker", "ret"))).alias("v"))
+    day = day.crossJoin(F.broadcast(n)).filter(F.size("v") == F.col("n")).select("v", F.posexplode("v").alias("i", "x"))  # one row of n
+    pairs = day.select("x", F.explode(F.slice("v", F.col("i") + 1, F.size("v"))).alias("y"))
+    return pairs.groupBy(F.col("x.ticker").alias("a"), F.col("y.ticker").alias("b")).agg(F.corr("x.ret", "y.ret").alias("corr"))
+
+
 def concentration(valued: DataFrame, sectors: DataFrame, key: str = "portfolio") -> DataFrame:
     """(key, sector, value, share): value by sector in % of the total, unknown sectors as other; none for a zero total."""
     rows = valued.join(sectors.select("ticker", "sector"), "ticker", "left").filter("value is not null")

@@ -88,13 +88,15 @@ def rsi_ctes(n: int = 14) -> str:
 
 
 def counts(names: dict[str, str], source: str, ctes: str) -> str:
-    """Per ticker, how many bars each boolean expression holds at."""
-    cols = ", ".join(f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, x in names.items())
+    """Per ticker, how many bars each boolean expression holds at, and the sum of their squared day numbers, which tells which."""
+    day = "(ts - DATE '1970-01-01')"
+    cols = ", ".join(f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT) AS {n}, CAST(sum(CASE WHEN {x} THEN {day} * {day} ELSE 0 END) AS BIGINT) AS {n}_days" for n, x in names.items())
     return f"WITH {BARS}, {ctes} SELECT ticker, {cols} FROM {source} GROUP BY ticker"
 
 
 def _count(df: DataFrame, **names) -> DataFrame:
-    return df.groupBy("ticker").agg(*[F.sum(F.col(c).cast("long")).alias(n) for n, c in names.items()])
+    day = F.unix_date("ts").cast("long")
+    return df.groupBy("ticker").agg(*[a for n, c in names.items() for a in (F.sum(F.col(c).cast("long")).alias(n), F.sum(F.when(F.col(c), day * day).otherwise(0)).alias(f"{n}_days"))])
 
 
 def _conditions(spark: SparkSession, sf: str, named: dict[str, dict]) -> DataFrame:
@@ -536,13 +538,13 @@ def regime_snapshot(spark, sf):
 
 
 @query(
-    """SELECT event_id, CASE WHEN value < 15 THEN 10 WHEN value < 20 THEN 0 WHEN value < 25 THEN -10 WHEN value < 30 THEN -18 ELSE -25 END::DOUBLE AS vix_score,
- CASE WHEN value / 10 * 100 < 300 THEN 'calm' WHEN value / 10 * 100 < 500 THEN 'normal' WHEN value / 10 * 100 < 800 THEN 'uneasy' WHEN value / 10 * 100 < 1000 THEN 'stress' ELSE 'crisis' END AS credit_level,
- CASE WHEN value / 50 - 1 < 0 THEN -20 WHEN value / 50 - 1 < 0.5 THEN -5 ELSE 5 END::DOUBLE AS curve_score FROM events WHERE value IS NOT NULL"""
+    """SELECT event_id, CASE WHEN value IS NULL THEN NULL WHEN value < 15 THEN 10 WHEN value < 20 THEN 0 WHEN value < 25 THEN -10 WHEN value < 30 THEN -18 ELSE -25 END::DOUBLE AS vix_score,
+ CASE WHEN value IS NULL THEN NULL WHEN value / 10 * 100 < 300 THEN 'calm' WHEN value / 10 * 100 < 500 THEN 'normal' WHEN value / 10 * 100 < 800 THEN 'uneasy' WHEN value / 10 * 100 < 1000 THEN 'stress' ELSE 'crisis' END AS credit_level,
+ CASE WHEN value IS NULL THEN NULL WHEN value / 50 - 1 < 0 THEN -20 WHEN value / 50 - 1 < 0.5 THEN -5 ELSE 5 END::DOUBLE AS curve_score FROM events"""
 )
 def risk_signals(spark, sf):
     v = F.col("value")
-    return _t(spark, sf, "events").filter("value is not null").select("event_id", regime.volatility_signal(v)["score"].alias("vix_score"), regime.credit_signal(v / 10)["level"].alias("credit_level"), regime.curve_signal(v / 50 - 1).alias("curve_score"))
+    return _t(spark, sf, "events").select("event_id", regime.volatility_signal(v)["score"].alias("vix_score"), regime.credit_signal(v / 10)["level"].alias("credit_level"), regime.curve_signal(v / 50 - 1).alias("curve_score"))
 
 
 EGG = f"""e1 AS (SELECT *, min(c) {over(-251)} AS lo, max(c) {over(-251)} AS hi, {roll('avg', 'v', 20)} / {roll('avg', 'v', 60)} AS vr, (c / {lagged('c', 20)} - 1) * 100 AS roc, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM bars), e2 AS (SELECT *, CASE WHEN hi = lo THEN 50 ELSE (c - lo) / (hi - lo) * 100 END AS pos FROM e1 WHERE back = 1)"""
@@ -692,7 +694,11 @@ def universe_sample(spark, sf):
     return ranking.sample_universe(_stocks(spark, sf), 10).select("ticker", "sector")
 
 
-@query()
+@query(f"""WITH {BARS}, {STOCKS}, b1 AS (SELECT *, c / max(c) OVER ({W} ROWS UNBOUNDED PRECEDING) - 1 AS dd, {roll('avg', 'c', 200)} AS m200, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY ticker) AS n FROM bars),
+ bs AS (SELECT ticker, (arg_max(c, ts) / arg_min(c, ts) FILTER (back <= 126) - 1) * 100 AS momentum, CASE WHEN max(n) >= 210 THEN -abs(min(dd) * 100) END AS mdd, CASE WHEN max(n) >= 210 THEN avg(CASE WHEN m200 IS NULL THEN NULL WHEN c > m200 THEN 1.0 ELSE 0.0 END) * 100 END AS above FROM b1 GROUP BY ticker),
+ j AS (SELECT st.*, momentum, mdd, above, coalesce(earnings_growth, per) AS gr, -(coalesce(per, 0) + coalesce(pbr, 0)) / nullif((per IS NOT NULL)::INT + (pbr IS NOT NULL)::INT, 0) AS va FROM st LEFT JOIN bs ON bs.ticker = st.ticker),
+ s AS (SELECT ticker, round({rank_sql('momentum', 'highest')}, 1) AS leader, round({rank_sql('gr', 'highest')}, 1) AS growth, round({rank_sql('va', 'highest')}, 1) AS value, 0.0 AS cyclical, 0.0 AS defensive, round({rank_sql('mdd', 'highest')} * 0.5 + coalesce(above, 0) * 0.5, 1) AS quality FROM j)
+ SELECT ticker, CASE greatest(leader, growth, value, cyclical, defensive, quality) WHEN leader THEN 'leader' WHEN growth THEN 'growth' WHEN value THEN 'value' WHEN cyclical THEN 'cyclical' WHEN defensive THEN 'defensive' ELSE 'quality' END AS style, leader, growth, value, CAST(cyclical AS DOUBLE) AS cyclical, CAST(defensive AS DOUBLE) AS defensive, quality FROM s""")
 def style_scores(spark, sf):
     return ranking.style_scores(_stocks(spark, sf), _bars(spark, sf)).select("ticker", "style", *[F.col("style_scores")[s].alias(s) for s in ranking.STYLES])
 
@@ -755,7 +761,7 @@ def _kinds(spark, sf):
 
 @query(f"WITH {KINDS}, {RET} SELECT x.ticker AS a, y.ticker AS b, round(corr(x.r, y.r), 6) AS corr FROM rr x JOIN rr y ON x.ts = y.ts AND x.ticker <= y.ticker GROUP BY 1, 2")
 def correlation_matrix(spark, sf):
-    return portfolio.correlations(portfolio.daily_returns(_kinds(spark, sf))).withColumn("corr", _r("corr"))
+    return portfolio.correlation_matrix(_kinds(spark, sf)).withColumn("corr", _r("corr"))
 
 
 @query(f"WITH {KINDS}, {RET}, d AS (SELECT ts, sum(r * 0.25) AS r FROM rr GROUP BY ts) SELECT round(stddev_samp(r) * sqrt(252) * 100, 5) AS volatility FROM d")
@@ -797,23 +803,23 @@ LINE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 SNIPPET = f"CASE WHEN length({LINE}) > 200 THEN substring({LINE}, 1, 200) || '...' ELSE {LINE} END"
 
 
-@query(f"SELECT doc_id, {TICKERS} AS tickers, {SNIPPET} AS snippet FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, coalesce({TICKERS}, []) AS tickers, coalesce({SNIPPET}, '') AS snippet FROM documents")
 def tickers_in_text(spark, sf):
-    rows = _t(spark, sf, "documents").filter("text is not null").select("doc_id", "text")
+    rows = _t(spark, sf, "documents").select("doc_id", "text")
     return holdings.summaries(rows).select("doc_id", "tickers", "snippet")
 
 
 def _posts(spark, sf):
-    rows = _t(spark, sf, "conversations").filter("text is not null")
+    rows = _t(spark, sf, "conversations")
     at = F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn") * 60)
     return holdings.summaries(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", at.alias("created_at")))
 
 
-@query(f"""WITH p AS (SELECT conv_id * 1000 + turn AS id, make_timestamp((conv_id * 3600 + turn * 60) * 1000000) AS t_, {TICKERS} AS tickers, {SNIPPET} AS snippet FROM conversations WHERE text IS NOT NULL), e AS (SELECT max(t_) AS e FROM p),
- r AS (SELECT unnest(tickers) AS ticker, t_, id, snippet, e FROM p, e WHERE t_ > e - INTERVAL 7 DAY)
- SELECT ticker, min(t_) AS period_start, max(e) AS period_end, count(*) AS post_count, string_agg('- ' || strftime(t_, '%Y-%m-%d') || ': ' || snippet, chr(10) ORDER BY t_, id) AS report_text FROM r GROUP BY ticker""")
+@query(f"""WITH p AS (SELECT conv_id * 1000 + turn AS id, make_timestamp((conv_id * 3600 + turn * 60) * 1000000) AS t_, {TICKERS} AS tickers, {SNIPPET} AS snippet FROM conversations), e AS (SELECT max(t_) AS e FROM p),
+ r AS (SELECT unnest(tickers) AS ticker, t_, id, snippet, e FROM p, e WHERE t_ > e - INTERVAL 7 DAY), n AS (SELECT *, (row_number() OVER (PARTITION BY ticker ORDER BY t_, id) - 1) // 100 AS part, min(t_) OVER (PARTITION BY ticker) AS a, count(*) OVER (PARTITION BY ticker) AS n FROM r)
+ SELECT ticker, CAST(part AS INTEGER) AS part, min(a) AS period_start, max(e) AS period_end, max(n) AS post_count, string_agg('- ' || strftime(t_, '%Y-%m-%d') || ': ' || snippet, chr(10) ORDER BY t_, id) AS report_text FROM n GROUP BY ticker, part""")
 def weekly_digest(spark, sf):
-    return holdings.weekly_digest(_posts(spark, sf)).withColumn("period_start", F.col("period_start").cast("timestamp_ntz")).withColumn("period_end", F.col("period_end").cast("timestamp_ntz"))
+    return holdings.weekly_digest(_posts(spark, sf), most=100).withColumn("period_start", F.col("period_start").cast("timestamp_ntz")).withColumn("period_end", F.col("period_end").cast("timestamp_ntz"))
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), t AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS date, list_sort(list_distinct(list(o_orderpriority || (o_orderkey % 3)))) AS tickers FROM orders WHERE o_orderdate >= DATE '1994-01-01' GROUP BY 1)
@@ -867,14 +873,14 @@ SWITCH = {"expression": tuning.regime_switched("close < lowest(low, 5) * 1.5", 3
 
 
 @query(
-    f"""WITH {BARS}, s AS (SELECT ticker, {true('c > ' + roll('avg', 'c', 30))} AND {true('c >= ' + roll('max', 'c', 10))} OR {true('c <= ' + roll('avg', 'c', 30))} AND {true('c < ' + roll('min', 'l', 5) + ' * 1.5')} AS held FROM bars)
- SELECT ticker, CAST(sum(CASE WHEN held THEN 1 ELSE 0 END) AS BIGINT) AS bars_in FROM s GROUP BY ticker"""
+    f"""WITH {BARS}, s AS (SELECT ticker, ts, {true('c > ' + roll('avg', 'c', 30))} AND {true('c >= ' + roll('max', 'c', 10))} OR {true('c <= ' + roll('avg', 'c', 30))} AND {true('c < ' + roll('min', 'l', 5) + ' * 1.5')} AS held FROM bars)
+ SELECT ticker, CAST(sum(CASE WHEN held THEN 1 ELSE 0 END) AS BIGINT) AS bars_in, CAST(sum(CASE WHEN held THEN (ts - DATE '1970-01-01') * (ts - DATE '1970-01-01') ELSE 0 END) AS BIGINT) AS bars_in_days FROM s GROUP BY ticker"""
 )
 def regime_switch(spark, sf):
     """An expression that follows breakouts in uptrends and another rule else."""
     k = Kernels(_bars(spark, sf), LONGEST)
     held = expression.evaluate(k, SWITCH["expression"])
-    return _count(k.df, bars_in=held)
+    return _count(k.df, bars_in=held).select("ticker", "bars_in", "bars_in_days")
 
 
 def _results(spark, sf):
