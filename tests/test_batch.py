@@ -114,3 +114,54 @@ def test_choices_from_a_library(spark, bars):
     daily = spark.createDataFrame([("A", FIRST, "bear"), ("A", FIRST + DAY, "bull"), ("B", FIRST, "sideways")], "ticker string, ts date, regime string")
     live = {r.ticker: tuple(r)[2:] for r in batch.live_choice(daily, {"bull": 1, "sideways": 9}, library, asked).collect()}
     assert live == {"A": ("bull", 1, "up one", "{}", None), "B": ("sideways", None, None, None, None), "C": (None, None, None, None, "no bars"), "gone": (None, None, None, None, "no bars")}
+
+
+def test_one_pass_has_the_figures_of_trades_and_curve(spark, bars):
+    configs = [PAIR, {"expression": "close > sma(close, 20)"}, {"expression": "close > 0"}, {"expression": "close < 0"}]
+    gaps = bars.filter("ticker in ('A', 'B')").withColumn("close", F.when(F.dayofyear("ts") % 37 != 0, F.col("close"))).unionByName(bars.filter(F.col("ts") == F.lit(FIRST)))
+    for config in configs:
+        for frame in (bars.filter("ticker <> 'X'"), gaps):
+            curve = backtest.run(frame, config, FIRST + 100 * DAY, FIRST + 700 * DAY, max_holding_days=9 if config is PAIR else None).curve
+            want = {r.ticker: r.asDict() for r in backtest.metrics(curve, backtest.trades_of(curve)).collect()}
+            got = {r.ticker: r.asDict() for r in backtest.summarized(curve, F.count("*").alias("bars")).collect()}
+            assert set(got) == set(want)
+            for t, row in want.items():
+                assert all(got[t][c] == pytest.approx(row[c], nan_ok=True) for c in row if c != "ticker"), (t, config)
+    assert backtest.summarized(backtest.run(bars.filter("false"), PAIR).curve).count() == 0
+
+
+def test_comparison_in_one_pass_is_that_of_single_backtests(spark, bars):
+    own = bars.filter("ticker in ('A', 'B', 'C')")
+    start, end = FIRST + 200 * DAY, FIRST + 600 * DAY
+    rows = {(r.leg, r.ticker): r for r in backtest.compared(own, PAIR, bars.filter("ticker = 'X'"), start, end).collect()}
+    assert set(rows) == {("benchmark", "X"), *((leg, t) for leg in ("strategy", "ticker") for t in "ABC")}
+    for leg, made in (("strategy", backtest.run(own, PAIR, start, end)), ("ticker", backtest.buy_and_hold(own, start, end))):
+        for r in backtest.metrics(made.curve, made.trades).collect():
+            found = rows[leg, r.ticker]
+            assert (found.cagr, found.mdd, found.trade_count) == (pytest.approx(r.cagr), pytest.approx(r.mdd), r.trade_count)
+
+
+def test_correlations_of_day_vectors(spark, bars):
+    from barwright.operators import portfolio
+
+    some = bars.filter("ticker in ('A', 'B', 'C')").filter("not (ticker = 'B' and dayofmonth(ts) = 7)")
+    want = {(r.a, r.b): r["corr"] for r in portfolio.correlations(portfolio.daily_returns(some)).collect()}
+    got = {(r.a, r.b): r["corr"] for r in portfolio.correlation_matrix(some).collect()}
+    assert set(got) == set(want) == {("A", "A"), ("A", "B"), ("A", "C"), ("B", "B"), ("B", "C"), ("C", "C")} and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert portfolio.correlation_matrix(some.filter("false")).count() == 0
+
+
+def test_digest_parts_hold_all_posts_in_order(spark):
+    from barwright.operators import holdings
+
+    at = dt.datetime(2024, 1, 10)
+    posts = [(i, f"${'AAA' if i % 4 else 'BBB'} post {i}", at - dt.timedelta(hours=7 * (i % 23))) for i in range(90)] + [(99, None, at), (100, "$AAA old", at - dt.timedelta(days=8))]
+    frame = holdings.summaries(spark.createDataFrame(posts, "id int, text string, created_at timestamp"))
+    assert {(r.id, tuple(r.tickers), r.snippet) for r in frame.filter("id = 99").collect()} == {(99, (), "")}
+    found = sorted(holdings.weekly_digest(frame, most=10).collect(), key=lambda r: (r.ticker, r.part))
+    for ticker in ("AAA", "BBB"):
+        own = sorted((t, i, x) for i, x, t in posts if x and ticker in x and t > at - dt.timedelta(days=7))
+        parts = [r for r in found if r.ticker == ticker]
+        assert [r.part for r in parts] == list(range(-(-len(own) // 10))) and {r.post_count for r in parts} == {len(own)} and {r.period_start for r in parts} == {own[0][0]}
+        assert "\n".join(r.report_text for r in parts).split("\n") == [f"- {t:%Y-%m-%d}: {x}" for t, _, x in own]
+        assert max(len(r.report_text.split("\n")) for r in parts) == 10
