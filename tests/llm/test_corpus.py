@@ -764,3 +764,55 @@ def test_chunks_have_the_tokenizers_ids():
         want = np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
         assert ids.of(text.encode()) == want, text
     assert len(ids) + len(ids.older) < 200
+
+
+def test_network_is_that_of_plain_loops():
+    rng = np.random.default_rng(2)
+    filters = tuple(rng.normal(0, 1, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS)
+    net = langid.Network(("de", "en", "fr"), filters, rng.normal(0, 1, (3 * langid.FILTERS, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    x = rng.integers(0, 256, (5, langid.LENGTH)).astype(np.uint8)
+    for row, got in zip(x, net.predict(x), strict=True):
+        pooled = [max(sum(float(table[j][row[i + j]][k]) for j in range(w)) for i in range(langid.LENGTH - w + 1)) for w, table in zip(langid.WIDTHS, filters, strict=True) for k in range(langid.FILTERS)]
+        z = [sum(max(0.0, p) * float(net.dense[i][c]) for i, p in enumerate(pooled)) + float(net.bias[c]) for c in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        assert got == pytest.approx([v / sum(e) for v in e], abs=1e-4)
+
+
+def test_training_lowers_the_loss_along_its_gradient():
+    rng = np.random.default_rng(4)
+    x = np.zeros((96, langid.LENGTH), np.uint8)
+    y = np.arange(96) % 2
+    for i in range(96):
+        x[i, :40] = rng.choice(list(b"abcd " if y[i] else b"wxyz "), 40)
+    loss = lambda net: -np.mean(np.log(net.predict(x)[np.arange(96), y]))
+    some, more = langid.train(x, y, ("a", "b"), epochs=1), langid.train(x, y, ("a", "b"), epochs=6)
+    assert loss(more) < loss(some) < np.log(2) and (more.predict(x).argmax(1) == y).all()
+
+
+def test_forest_is_that_of_single_tree_walks():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (400, 5)).round(1)
+    y = ((x[:, 0] > 0.2) & (x[:, 3] < 0.5) | (x[:, 1] > 1.5)).astype(float)
+    forest = quality.grow(x, y, trees=12)
+    got = forest.score(x)
+    for row, p in zip(x, got, strict=True):
+        total = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((got > 0.5) == y.astype(bool)).mean() > 0.97
+    # the first tree's first split is the best of all cuts by the gain of its gradients
+    one = quality.grow(x, y, trees=1)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = share - y, np.full(len(y), share * (1 - share))
+
+    def gain(j, cut):
+        left = x[:, j] <= cut
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE)
+        return part(left) + part(~left) - g.sum() ** 2 / (h.sum() + quality.RIDGE) if h[left].sum() >= 1 and h[~left].sum() >= 1 else 0
+
+    best = max(gain(j, cut) for j in range(5) for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])))
+    assert gain(one.feature[0][0], one.threshold[0][0]) == pytest.approx(best)
