@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.indicators import Kernels
 from ..functions.windows import is_true
 from ..operators import batch, regime
-from .queries import ADX, BARS, CHANGES, CROSS, DAILY, EGG, SQL, STOCKS, W, _bars, _r, _t, ewm, over, query, rank_sql, roll, true
+from .queries import ADX, BARS, CHANGES, CROSS, DAILY, EGG, SQL, STOCKS, W, _bars, _r, _t, ewm, over, query, roll, rsi_ctes, true
 
 START, END = dt.date(1995, 1, 1), dt.date(2001, 12, 1)  # around all line items
 PAIR = {"logic": "AND", "conditions": [{"indicator": "ma_cross", "short": 10, "long": 30}]}
@@ -174,3 +174,19 @@ SQL["theme_phases"] = f"""WITH {BARS}, {STOCKS}, i AS (SELECT ticker AS tk, ts,
  SELECT ticker AS theme, ts, round(pos, 4) AS position_pct, round(vr, 6) AS volume_ratio, round(roc, 4) AS roc_20, CASE WHEN pos <= 30 THEN 'low' WHEN pos >= 70 THEN 'high' ELSE 'mid' END AS zone,
  CASE WHEN roc IS NULL THEN NULL WHEN pos <= 30 THEN CASE WHEN roc > 0 THEN CASE WHEN coalesce(vr >= 1.2, false) THEN 'A2' ELSE 'A1' END ELSE CASE WHEN coalesce(vr >= 1.2, false) AND abs(roc) >= 15 THEN 'B3' ELSE 'A1' END END
   WHEN pos >= 70 THEN CASE WHEN roc > 0 THEN CASE WHEN coalesce(vr >= 1.2, false) THEN 'A3' ELSE 'A2' END ELSE CASE WHEN coalesce(vr >= 1.2, false) THEN 'B2' ELSE 'B1' END END ELSE CASE WHEN roc > 0 THEN 'A2' ELSE 'B2' END END AS phase FROM e2"""
+
+
+#: The staged strategy bar by bar (its second entry implies its first): n1 and n2 say which stages are open after a bar, o and
+#: q what the bar opened and closed, cy the cycle; a cycle's stop and target are those of its first bar.
+MACHINE = f"""{rsi_ctes()}, s0 AS (SELECT ticker, ts, c, rsi, {roll('min', 'l', 20)} AS lv, row_number() OVER ({W}) AS rn, lead(c) OVER ({W}) AS after FROM rs),
+ sg AS (SELECT ticker, ts, c, rn, lv, coalesce(after, c) AS fill, coalesce(rsi < 48, false) AS e1, coalesce(rsi < 44, false) AS e2, coalesce(rsi > 52, false) AS x1, coalesce(rsi > 55, false) AS x2, coalesce(c < lag(lv) OVER ({W}), false) AS em FROM s0),
+ mc AS (SELECT ticker, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS cy, false AS n1, false AS n2, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS DOUBLE) AS target, false AS o1, false AS o2, false AS q1, false AS q2 FROM sg WHERE rn = 1
+  UNION ALL SELECT ticker, rn, cy, p1 AND NOT ends AND NOT own, p2 AND NOT ends, stop, target, o1, o2, p1 AND (own OR ends), p2 AND ends FROM (SELECT *, p1 AND x1 AND NOT ends AS own FROM (
+   SELECT *, (p1 OR p2) AND (em OR x2 OR coalesce(c >= target, false) OR coalesce(c < stop, false)) AS ends FROM (
+    SELECT s.ticker, s.rn, s.c, s.em, s.x1, s.x2, m.cy + CASE WHEN NOT (m.n1 OR m.n2) AND s.e1 THEN 1 ELSE 0 END AS cy, CASE WHEN m.n1 OR m.n2 THEN m.stop ELSE s.lv END AS stop, CASE WHEN m.n1 OR m.n2 THEN m.target ELSE s.c + 2 * (s.c - s.lv) END AS target,
+     s.e1 AND NOT (m.n1 OR m.n2) AS o1, s.e2 AND NOT m.n2 AS o2, m.n1 OR (s.e1 AND NOT m.n2) AS p1, m.n2 OR s.e2 AS p2
+    FROM mc m JOIN sg s ON s.ticker = m.ticker AND s.rn = m.rn + 1))))"""
+SQL["staged_strategy"] = f"""WITH RECURSIVE {BARS}, {MACHINE}, ev AS (SELECT m.ticker, m.cy, s.ts, s.fill, CASE WHEN o1 THEN 0.3 ELSE 0 END + CASE WHEN o2 THEN 0.7 ELSE 0 END AS wo, CASE WHEN q1 THEN 0.3 ELSE 0 END + CASE WHEN q2 THEN 0.7 ELSE 0 END AS wc FROM mc m JOIN sg s ON s.ticker = m.ticker AND s.rn = m.rn WHERE o1 OR o2 OR q1 OR q2),
+ z AS (SELECT ticker, max(ts) AS last_ts, arg_max(c, ts) AS last_c FROM sg GROUP BY ticker),
+ t AS (SELECT ticker, cy, min(CASE WHEN wo > 0 THEN ts END) AS entry_date, max(ts) AS last_event, abs(sum(wo) - sum(wc)) < 1e-9 AS closed, sum(wo * fill) / sum(wo) AS entry_price, sum(wc * fill) / nullif(sum(wc), 0) AS out_price FROM ev GROUP BY ticker, cy)
+ SELECT t.ticker, entry_date, CASE WHEN closed THEN last_event ELSE last_ts END AS exit_date, round(entry_price, 4) AS entry_price, round(CASE WHEN closed THEN out_price ELSE last_c END, 4) AS exit_price, round((CASE WHEN closed THEN out_price ELSE last_c END / entry_price - 1) * 100, 4) AS return_pct FROM t JOIN z ON z.ticker = t.ticker"""
