@@ -458,7 +458,8 @@ def staged_strategy(spark, sf):
 @query()
 def combined_strategy(spark, sf):
     both = {"combine": "OR", "strategies": [CROSS, STAGED, {"expression": "crossover(close, sma(close, 20))"}]}
-    return backtest.run(_bars(spark, sf), both).metrics
+    found = backtest.run(_bars(spark, sf), both).metrics
+    return found.select("ticker", _r(F.log10(F.col("cagr") + 101), 5).alias("size"), _r("mdd", 4).alias("mdd"), _r("sharpe", 5).alias("sharpe"), _r("win_rate").alias("win_rate"), _r("avg_holding_days").alias("avg_holding_days"), F.col("trade_count").cast("long").alias("trade_count"))
 
 
 @query()

@@ -190,3 +190,29 @@ SQL["staged_strategy"] = f"""WITH RECURSIVE {BARS}, {MACHINE}, ev AS (SELECT m.t
  z AS (SELECT ticker, max(ts) AS last_ts, arg_max(c, ts) AS last_c FROM sg GROUP BY ticker),
  t AS (SELECT ticker, cy, min(CASE WHEN wo > 0 THEN ts END) AS entry_date, max(ts) AS last_event, abs(sum(wo) - sum(wc)) < 1e-9 AS closed, sum(wo * fill) / sum(wo) AS entry_price, sum(wc * fill) / nullif(sum(wc), 0) AS out_price FROM ev GROUP BY ticker, cy)
  SELECT t.ticker, entry_date, CASE WHEN closed THEN last_event ELSE last_ts END AS exit_date, round(entry_price, 4) AS entry_price, round(CASE WHEN closed THEN out_price ELSE last_c END, 4) AS exit_price, round((CASE WHEN closed THEN out_price ELSE last_c END / entry_price - 1) * 100, 4) AS return_pct FROM t JOIN z ON z.ticker = t.ticker"""
+
+SQL["combined_strategy"] = f"""WITH RECURSIVE {BARS}, {MACHINE}, cr AS (SELECT ticker, rn, c, ts, coalesce(c > m20, false) AS ov, coalesce(m20 > m60, false) AS gc FROM (SELECT ticker, ts, c, rn, {roll('avg', 'c', 20)} AS m20, {roll('avg', 'c', 60)} AS m60 FROM sg)),
+ xo AS (SELECT *, ov AND NOT coalesce(lag(ov) OVER ({W}), false) AS xover FROM cr), lg AS (SELECT x.ticker, x.ts, x.c, CASE WHEN gc OR xover OR n1 OR n2 THEN 1 ELSE 0 END AS pos FROM xo x JOIN mc m ON m.ticker = x.ticker AND m.rn = x.rn),
+ a AS (SELECT *, coalesce(lag(pos) OVER ({W}), 0) AS ex, coalesce(c / lag(c) OVER ({W}) - 1, 0) AS ret FROM lg), b AS (SELECT *, sum(ln(1 + ret * ex)) OVER ({W} ROWS UNBOUNDED PRECEDING) AS le, coalesce(lag(ex) OVER ({W}), 0) AS ex1 FROM a),
+ m AS (SELECT *, max(le) OVER ({W} ROWS UNBOUNDED PRECEDING) AS top, sum(CASE WHEN ex = 1 AND ex1 = 0 THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS tr FROM b), d AS (SELECT ticker, min(exp(le - top) - 1) * 100 AS mdd FROM m GROUP BY ticker),
+ t AS (SELECT ticker, tr, max(ts) - min(ts) AS days, arg_max(c, ts) > arg_min(c, ts) AS won FROM m WHERE tr > 0 AND (ex = 1 OR ex1 = 1) GROUP BY ticker, tr), n AS (SELECT ticker, avg(CASE WHEN won THEN 100.0 ELSE 0 END) AS win_rate, avg(days) AS days, count(*) AS trades FROM t GROUP BY ticker), o AS {curves_sql('lg', 'ticker')}
+ SELECT o.ticker, round(log10({RATE.format('le').replace(' n ', ' o.n ')} + 101), 5) AS size, round(d.mdd, 4) AS mdd, round(sharpe, 5) AS sharpe, round(coalesce(win_rate, 0), 6) AS win_rate, round(coalesce(days, 0), 6) AS avg_holding_days, CAST(coalesce(n.trades, 0) AS BIGINT) AS trade_count
+ FROM o JOIN d ON o.ticker = d.ticker LEFT JOIN n ON n.ticker = o.ticker"""
+
+
+def reversal_sql(name: str, pivot: str, fits: str, fires: str) -> str:
+    """CTEs of a two-pivot reversal's events: a pair arms five bars after its second pivot, for 40 bars."""
+    return f"""{name}p AS (SELECT *, lag(rn) OVER w AS rn0, lag(l) OVER w AS l0, lag(h) OVER w AS h0, lag(lo) OVER w AS lo0, lag(up) OVER w AS up0, lag(rsi) OVER w AS rsi0 FROM q2 WHERE {pivot} WINDOW w AS (PARTITION BY ticker ORDER BY ts)),
+ {name}e AS (SELECT p.ticker, p.rn, min(f.rn) AS hit FROM {name}p p JOIN q2 f ON f.ticker = p.ticker AND f.rn >= p.rn + 5 AND f.rn <= p.rn + 45 WHERE p.rn - p.rn0 <= 40 AND {fits} AND f.{fires} GROUP BY p.ticker, p.rn), {name} AS (SELECT DISTINCT ticker, hit FROM {name}e)"""
+
+
+REVERSALS = {
+    "double_bullish": reversal_sql("db", "pl", "p.l0 < p.lo0 AND p.l >= p.lo", "xu AND f.loud"), "double_bearish": reversal_sql("dr", "ph", "p.h0 > p.up0 AND p.h <= p.up", "xd AND f.loud"),
+    "divergence_bullish": reversal_sql("vb", "pl", "p.l < p.l0 AND p.rsi > p.rsi0", "xu"), "divergence_bearish": reversal_sql("vr", "ph", "p.h > p.h0 AND p.rsi < p.rsi0", "xd"),
+}
+SQL["conditions_sequential"] = f"""WITH {BARS}, {rsi_ctes()}, q0 AS (SELECT ticker, ts, c, l, h, v, rsi, row_number() OVER ({W}) AS rn, {roll('avg', 'c', 20)} AS m, {roll('stddev_pop', 'c', 20)} AS sd, {roll('avg', 'v', 20)} AS mv,
+  coalesce(count(l) {over(-5, 5)} = 11 AND l = min(l) {over(-5, 5)}, false) AS pl, coalesce(count(h) {over(-5, 5)} = 11 AND h = max(h) {over(-5, 5)}, false) AS ph FROM rs),
+ q2 AS (SELECT *, m - 2 * sd AS lo, m + 2 * sd AS up, coalesce(v >= 1.5 * mv, false) AS loud, coalesce(c > m AND lag(c) OVER ({W}) <= lag(m) OVER ({W}), false) AS xu, coalesce(c < m AND lag(c) OVER ({W}) >= lag(m) OVER ({W}), false) AS xd FROM q0),
+ {', '.join(REVERSALS.values())}, al AS ({' UNION ALL '.join(f"SELECT ticker, hit, '{n}' AS name FROM {sql.split()[0][:-1]}" for n, sql in REVERSALS.items())}),
+ k AS (SELECT al.ticker, name, (q2.ts - DATE '1970-01-01') AS day FROM al JOIN q2 ON q2.ticker = al.ticker AND q2.rn = al.hit)
+ SELECT a.ticker, {', '.join(f"CAST(count(CASE WHEN name = '{n}' THEN 1 END) AS BIGINT) AS {n}, CAST(coalesce(sum(CASE WHEN name = '{n}' THEN day * day END), 0) AS BIGINT) AS {n}_days" for n in REVERSALS)} FROM (SELECT DISTINCT ticker FROM bars) a LEFT JOIN k ON k.ticker = a.ticker GROUP BY a.ticker"""
