@@ -816,3 +816,42 @@ def test_forest_is_that_of_single_tree_walks():
 
     best = max(gain(j, cut) for j in range(5) for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])))
     assert gain(one.feature[0][0], one.threshold[0][0]) == pytest.approx(best)
+
+
+def plain_parse(text, levels):
+    """The names of a text's phrases at a level, symbol by symbol."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & mask
+        return x ^ (x >> 32)
+
+    symbols = [mix(ord(c) + 1) for c in text]
+    for _ in range(levels):
+        single = []
+        while symbols:
+            n = next((i for i, s in enumerate(symbols) if s != symbols[0]), len(symbols))
+            single.append(mix(symbols[0] ^ mix(n)) if n > 1 else symbols[0])
+            symbols = symbols[n:]
+        labels = single
+        for _ in range(3):
+            before = [~labels[0] & mask, *labels[:-1]] if labels else []
+            places = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(labels, before, strict=True)]
+            labels = [2 * k + (a >> k & 1) for a, k in zip(labels, places, strict=True)]
+        phrase = []
+        for i, s in enumerate(single):
+            if i == 0 or i + 1 < len(single) and labels[i] < labels[i - 1] and labels[i] < labels[i + 1]:
+                phrase.append([])
+            phrase[-1].append(s)
+        symbols = [mix((sum(mix((s + (j + 1) * 0x9E3779B97F4A7C15) & mask) for j, s in enumerate(p)) + len(p)) & mask) for p in phrase]
+    return sorted({s >> 32 for s in symbols})
+
+
+def test_phrases_are_those_of_a_plain_parse():
+    rng = np.random.default_rng(8)
+    some = ["", "a", "aa", "ab", "aaaab", "é😀é😀é", "the same the same the same " * 40, "x" * 500, *("".join(rng.choice(list("abcde fg"), n)) for n in (3, 17, 90, 400, 900))]
+    for level in (1, 2, 3):
+        for most in (5, 64):
+            found = phrases.fingerprints(some, level, most)
+            assert [f.tolist() for f in found] == [plain_parse(t, level)[:most] for t in some]
