@@ -47,8 +47,8 @@ def _r(x, n: int = 6):
 
 
 # ------------------------------------------------------------ SQL pieces
-BARS = """bars AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS ts, arg_min(l_extendedprice, (l_orderkey*10+l_linenumber, l_extendedprice)) AS o,
- max(l_extendedprice) AS h, min(l_extendedprice) AS l, arg_max(l_extendedprice, (l_orderkey*10+l_linenumber, l_extendedprice)) AS c, CAST(sum(l_quantity) AS DOUBLE) AS v
+BARS = """bars AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS ts, arg_min(l_extendedprice, (l_orderkey*1000+l_linenumber, l_extendedprice)) AS o,
+ max(l_extendedprice) AS h, min(l_extendedprice) AS l, arg_max(l_extendedprice, (l_orderkey*1000+l_linenumber, l_extendedprice)) AS c, CAST(sum(l_quantity) AS DOUBLE) AS v
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 W = "PARTITION BY ticker ORDER BY ts"
 

@@ -27,10 +27,11 @@ def _ohlcv(rows: DataFrame, keys: list[str], value: str, order: Column, volume:
 def daily_bars(spark: SparkSession, sf_dir: str, ticker: str = "p_brand") -> DataFrame:
     """Daily bars of line items by a column of part: prices in order of line key, quantity as volume.
 
-    Line keys may repeat, then the price decides. Key and price make one number (an order has fewer than ten lines), since
-    an aggregation that holds only numbers is hashed, while one that holds structs is sorted.
+    Line keys may repeat, then the price decides. Key and price make one number (an order has fewer than a thousand lines,
+    and a price of more than ten digits before the point is an error), since an aggregation that holds only numbers is
+    hashed, while one that holds structs is sorted.
     """
-    line_key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(20,0)")
+    line_key = (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).cast("decimal(20,0)")
     order = line_key * F.lit(10**14).cast("decimal(15,0)") + F.round(F.col("price") * 10_000).cast("decimal(14,0)")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col(ticker).alias("ticker"))
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("ts"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"))
