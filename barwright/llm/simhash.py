@@ -174,10 +174,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     first = F.struct(F.col("id").isNull().alias("none"), *key)
     rooted = _rooted(fps.groupBy("fp").agg(F.min(first).alias("first")), max_bits)
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.struct(*[F.col(f"first.{k}").alias(k) for k in key]).alias("key"))
-    # one hash of the key deals rows out for the join and for the repeated rows after it, so whole rows move once
+    # one hash of the key deals rows out for the join and for repeated rows, so whole rows move once; they are only sorted
+    # a second time if any row is repeated as it is
     kept = kept.groupBy(F.xxhash64(*[f"key.{k}" for k in key]).alias("dealt")).agg(F.collect_set("key").alias("keys"))
     found = rows.withColumn("dealt", F.xxhash64(*key)).drop("text").join(kept, "dealt").filter(F.array_contains("keys", F.struct(*key)))
-    one = found.dropDuplicates(["dealt", *key])
+    repeated = not fps.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    one = found.dropDuplicates(["dealt", *key]) if repeated else found
     return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
