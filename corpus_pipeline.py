@@ -17,29 +17,45 @@ from barwright.llm import langid, mixing, packing, simhash, toxicity
 from barwright.llm.common import written
 
 
+#: Rows that a task holds as one Arrow batch: texts are long, and batches exist on both sides of Python.
+BATCH_ROWS = 1000
+
+
+def _in_batches(spark: SparkSession) -> None:
+    """Bounds the batches of what is planned in this session from here on; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity, as learned from the labels of those in `docs`, is below a half."""
+    _in_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_civil(docs, toxicity.fit(docs, labels))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is decided with a probability of at least a half."""
+    _in_batches(spark)
     return langid.keep_known(docs, langid.fit(docs), least=0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id."""
+    _in_batches(spark)
     return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by target weights, as documents: what each pass takes of a document is a row."""
+    _in_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in packed sequences."""
+    _in_batches(spark)
     return packing.report(docs)
 
 
