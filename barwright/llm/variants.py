@@ -184,7 +184,7 @@ def filed(words: DataFrame, cell: int = CELL) -> DataFrame:
     own = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
     every = F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))).alias("part")
     many = split.withColumn("own", own).select("*", every).select(place(F.col("part").cast("string"), F.col("backward").cast("string"), F.col("key")), "backward", "word", "n", (F.col("part") == F.col("own")).alias("filed"), "asks")
-    return few.unionByName(many)
+    return few.unionByName(many).repartition(cells, "cell")  # a cell is much work for its few bytes
 
 
 def answered(cell: pa.Table) -> pa.Table:
