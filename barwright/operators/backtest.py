@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.indicators import Kernels
@@ -44,10 +44,27 @@ def capped(position: Column, most: int) -> tuple[Column, Column]:
 
 
 def equity(df: DataFrame, position: str = "position", start: float = 100.0) -> DataFrame:
-    """df with executed (the position one bar later, flat at first), ret (the close's change) and equity."""
+    """df with executed (the position one bar later, flat at first), ret (the close's change) and equity.
+
+    A long curve may leave a double's range, so that figures are made from log_equity (the logarithm of the equity's
+    growth, as a sum) and sign (0 from a total loss on, -1 while more than all is lost).
+    """
     df = df.withColumn("executed", F.coalesce(F.lag(position).over(by_time()), F.lit(0.0)))
     df = df.withColumn("ret", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(by_time())) - 1, F.lit(0.0)))
-    return df.withColumn("equity", start * F.product(1 + F.col("ret") * F.col("executed")).over(to_now()))
+    growth = 1 + F.col("ret") * F.col("executed")
+    logs = F.sum(F.coalesce(F.log(F.abs(growth)), F.lit(0.0))).over(to_now())
+    return df.withColumns({"equity": start * F.product(growth).over(to_now()), "log_equity": logs, "sign": F.product(F.signum(growth)).over(to_now())})
+
+
+def _change(w: WindowSpec) -> Column:
+    """The equity's change at each bar, null at the first one and after a total loss."""
+    before = F.lag("sign").over(w)
+    return F.when(before != 0, F.col("sign") * before * F.exp(F.col("log_equity") - F.lag("log_equity").over(w)) - 1)
+
+
+def _top(w: WindowSpec) -> Column:
+    """The logarithm of the highest equity so far."""
+    return F.max(F.when(F.col("sign") > 0, F.col("log_equity"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def trades_of(curve: DataFrame) -> DataFrame:
@@ -74,14 +91,15 @@ def trades_of(curve: DataFrame) -> DataFrame:
 
 
 def _figures(top: Column, day: Column) -> list[Column]:
-    """The figures of a curve, from its highest equity so far and its change at each bar."""
+    """The figures of a curve, from the logarithm of its highest equity so far and its change at each bar."""
     span = F.greatest(F.datediff(F.max("ts"), F.min("ts")) / F.lit(YEAR_DAYS), F.lit(1e-9))
-    ratio = F.try_divide(F.max_by("equity", "ts"), F.min_by("equity", "ts"))
+    grown = F.max_by("log_equity", "ts") - F.min_by("log_equity", "ts")
+    sign = F.max_by("sign", "ts") * F.min_by("sign", "ts")
     spread, enough = F.stddev_pop(day), F.count("*") >= 2
     return [
-        F.when(enough, (ratio - 1) * 100).otherwise(0.0).alias("cumulative_return"),
-        F.when(enough & (ratio > 0), (F.pow(ratio, 1 / span) - 1) * 100).otherwise(0.0).alias("cagr"),
-        F.when(enough, F.min((F.try_divide(F.col("equity"), top) - 1) * 100)).otherwise(0.0).alias("mdd"),
+        F.when(enough, (sign * F.exp(grown) - 1) * 100).otherwise(0.0).alias("cumulative_return"),
+        F.when(enough & (sign > 0), (F.exp(grown / span) - 1) * 100).otherwise(0.0).alias("cagr"),
+        F.when(enough, F.min((F.col("sign") * F.exp(F.col("log_equity") - top) - 1) * 100)).otherwise(0.0).alias("mdd"),
         F.when(enough & (spread > 0), F.avg(day) / spread * F.sqrt(F.lit(float(TRADING_DAYS)))).otherwise(0.0).alias("sharpe"),
     ]
 
@@ -93,8 +111,7 @@ def metrics(curve: DataFrame, trades: DataFrame, keys: tuple[str, ...] = ("ticke
     spread is zero. Values are not rounded.
     """
     by = Window.partitionBy(*keys).orderBy("ts")
-    rows = curve.withColumn("_top", F.max("equity").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_day", F.try_divide(F.col("equity"), F.lag("equity").over(by)) - 1)
+    rows = curve.withColumn("_top", _top(by)).withColumn("_day", _change(by))
     found = rows.groupBy(*keys).agg(*_figures(F.col("_top"), F.col("_day")))
     done = trades.filter("return_pct is not null").groupBy(*keys).agg(
         (F.avg((F.col("return_pct") > 0).cast("double")) * 100).alias("win_rate"), F.avg(F.datediff("exit_date", "entry_date")).alias("avg_holding_days"), F.count("*").alias("trade_count")
@@ -110,7 +127,7 @@ def summarized(curve: DataFrame, *more: Column) -> DataFrame:
     """
     by, held = by_time(), F.col("executed") > 0
     before = F.coalesce(F.lag(held).over(by), F.lit(False))
-    rows = curve.withColumns({"_top": F.max("equity").over(to_now()), "_day": F.try_divide(F.col("equity"), F.lag("equity").over(by)) - 1, "_in": held & ~before, "_out": ~held & before, "_last": F.lead("ts").over(by).isNull()})
+    rows = curve.withColumns({"_top": _top(by), "_day": _change(by), "_in": held & ~before, "_out": ~held & before, "_last": F.lead("ts").over(by).isNull()})
     rows = rows.withColumn("_entry", F.last(F.when(F.col("_in"), F.struct("close", "ts")), ignorenulls=True).over(to_now()))
     ended = F.col("_out") | (held & F.col("_last"))
     rows = rows.withColumn("_return", F.when(ended, F.try_divide(F.col("close"), F.col("_entry.close")) - 1))
@@ -172,7 +189,7 @@ def by_regime(curve: DataFrame, regimes: DataFrame) -> DataFrame:
     A bar takes the regime of its own day, else that of the closest earlier bar that had one.
     """
     rows = curve.join(regimes.select("ts", "regime"), "ts", "left")
-    rows = rows.withColumn("regime", F.last("regime", ignorenulls=True).over(to_now())).withColumn("_day", F.coalesce(F.try_divide(F.col("equity"), F.lag("equity").over(by_time())) - 1, F.lit(0.0)))
+    rows = rows.withColumn("regime", F.last("regime", ignorenulls=True).over(to_now())).withColumn("_day", F.coalesce(_change(by_time()), F.lit(0.0)))
     return rows.filter("regime is not null").groupBy("ticker", "regime").agg(F.count("*").alias("days"), ((F.product(1 + F.col("_day")) - 1) * 100).alias("cumulative_return"), F.sum(F.log1p("_day")).alias("log_return"))
 
 

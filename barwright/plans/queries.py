@@ -410,7 +410,7 @@ TRADES = f"""t1 AS (SELECT *, sum(CASE WHEN ex = 1 AND ex1 = 0 THEN 1 ELSE 0 END
 )
 def golden_cross(spark, sf):
     """The flagship: a golden-cross strategy on every ticker, with its metrics."""
-    found = backtest.summarized(backtest.run(_bars(spark, sf), CROSS).curve, _r(F.log(F.max_by("equity", "ts") / 100), 5).alias("log_growth"))
+    found = backtest.summarized(backtest.run(_bars(spark, sf), CROSS).curve, _r(F.max_by(F.when(F.col("sign") > 0, F.col("log_equity")), "ts"), 5).alias("log_growth"))
     return found.select("ticker", "log_growth", _r("mdd", 4).alias("mdd"), _r("sharpe", 5).alias("sharpe"), _r("win_rate").alias("win_rate"), _r("avg_holding_days").alias("avg_holding_days"), "trade_count")
 
 

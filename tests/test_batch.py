@@ -130,6 +130,29 @@ def test_one_pass_has_the_figures_of_trades_and_curve(spark, bars):
     assert backtest.summarized(backtest.run(bars.filter("false"), PAIR).curve).count() == 0
 
 
+def test_figures_of_curves_that_leave_a_doubles_range(spark):
+    day = lambda i: FIRST + i * DAY
+    swings = [100.0 if i % 2 else 1.0 for i in range(800)]  # held from each high to the next low: a factor of 0.01 every other bar
+    rows = [("falls", day(i), c, float(i % 2)) for i, c in enumerate(swings)] + [("rises", day(i), c, float(i % 2 == 0)) for i, c in enumerate(swings)]
+    rows += [("lost", day(i), c, 1.0) for i, c in enumerate([5.0, 4.0, 0.0, 3.0, 6.0])] + [("flat", day(i), 7.0, 0.0) for i in range(3)]
+    curve = backtest.equity(spark.createDataFrame(rows, "ticker string, ts date, close double, position double").withColumns({"active": F.lit("in"), "inactive": F.lit("out")}))
+    regimes = spark.createDataFrame([(day(i), "any") for i in range(800)], "ts date, regime string")
+    logs = {r.ticker: r.log_return for r in backtest.by_regime(curve, regimes).collect()}
+    for found in (backtest.summarized(curve), backtest.metrics(curve, backtest.trades_of(curve))):
+        got = {r.ticker: r for r in found.collect()}
+        for t, factor in (("falls", 0.01), ("rises", 100.0)):
+            days = np.array([factor - 1, 0.0] * 400 if t == "rises" else [0.0, factor - 1] * 400)[:799]  # of the bars after the first
+            log = np.log1p(days).sum()
+            assert got[t].sharpe == pytest.approx(days.mean() / days.std() * np.sqrt(252))
+            assert t == "rises" or got[t].cagr == pytest.approx((np.exp(log / (799 / 365.25)) - 1) * 100)
+            assert logs[t] == pytest.approx(log)
+        assert got["falls"].cumulative_return == got["falls"].mdd == pytest.approx(-100) and got["rises"].mdd == 0
+        lost = np.array([-0.2, -1.0])  # after a total loss there is no change
+        assert (got["lost"].cumulative_return, got["lost"].mdd, got["lost"].cagr) == (-100, -100, 0)
+        assert got["lost"].sharpe == pytest.approx(lost.mean() / lost.std() * np.sqrt(252))
+        assert (got["flat"].cumulative_return, got["flat"].mdd, got["flat"].cagr, got["flat"].sharpe) == (0, 0, 0, 0)
+
+
 def test_comparison_in_one_pass_is_that_of_single_backtests(spark, bars):
     own = bars.filter("ticker in ('A', 'B', 'C')")
     start, end = FIRST + 200 * DAY, FIRST + 600 * DAY
