@@ -8,16 +8,25 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import strategy
 from . import tuning
 
+#: Configs whose rows are handed on together.
+SLICE = 500
+
 
 def _per_config(configs: DataFrame, config: str, schema: str, rows_of) -> DataFrame:
-    """(id, ...) of what `rows_of` yields for each (id, config) text; null and unreadable texts are given as None."""
+    """(id, ...) of what `rows_of` yields for each (id, config) text; null and unreadable texts are given as None.
+
+    A text that a batch holds several times is read once. A config gives many rows, so the table is dealt over tasks by
+    its rows first: a file's layout by size would leave most of the work to a few of them.
+    """
 
     def parsed(text: str | None):
         try:
@@ -27,15 +36,25 @@ def _per_config(configs: DataFrame, config: str, schema: str, rows_of) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, *row) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for row in rows_of(text, parsed(text))]
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row, strict=True)) for row in found], schema=arrow)
+            coded = pc.dictionary_encode(b.column(1), null_encoding="encode")
+            made = [list(rows_of(text, parsed(text))) for text in coded.dictionary.to_pylist()]
+            counts = np.array([len(m) for m in made], np.int64)
+            starts, code = np.cumsum(counts) - counts, coded.indices.to_numpy(zero_copy_only=False)
+            flat = [pa.array(c, f.type) for c, f in zip(zip(*(row for m in made for row in m), strict=True), list(arrow)[1:], strict=False)]
+            for at in range(0, len(b) if flat else 0, SLICE):
+                own = code[at : at + SLICE]
+                n = counts[own]
+                row = np.repeat(np.arange(at, at + len(own)), n)
+                place = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(len(row))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *(c.take(pa.array(place)) for c in flat)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     whole = StructType.fromDDL("id long, " + schema)
     arrow = to_arrow_schema(whole)
-    return configs.select(F.col("id").cast("long").alias("id"), F.col(config).cast("string").alias("config")).mapInArrow(run, whole)
+    rows = configs.select(F.col("id").cast("long").alias("id"), F.col(config).cast("string").alias("config"))
+    return rows.repartition(4 * configs.sparkSession.sparkContext.defaultParallelism, "id", "config").mapInArrow(run, whole)
 
 
 def _leaves(value, path: str = "") -> Iterator[tuple[str, str]]:

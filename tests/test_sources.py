@@ -181,3 +181,23 @@ def test_themes(spark):
     assert found == {"chips": ("bull", "expansion", True), "space": ("bull", "expansion", None), "oil": ("bull", "expansion", False)}
     none = themes.context(named, phase.filter("false"), better, snap.filter("false")).collect()
     assert {tuple(r)[2:] for r in none} == {(None, None, None)} and len(none) == 3
+
+
+def test_configs_are_read_once_a_batch_by_many_tasks(spark, tmp_path):
+    from pyspark import TaskContext
+
+    texts = ['{"a": 1, "b": [2, 3]}', None, "no JSON", "{}", '{"a": 1.5}']
+    rows = [(i if i % 97 else None, texts[i % 5]) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "id long, config string").coalesce(1)
+    want = {0: [("a", "1"), ("b[0]", "2"), ("b[1]", "3")], 3: [("", "{}")], 4: [("a", "1.5")]}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(map(tuple, configs.flattened(frame).collect()), key=key) == sorted(((i, *x) for n, (i, _) in enumerate(rows) for x in want.get(n % 5, [])), key=key)
+    assert configs.flattened(frame.filter("config is null")).count() == configs.flattened(frame.limit(0)).count() == 0
+
+    def seen(text, c):
+        (tmp_path / f"{TaskContext.get().partitionId()}-{hash(text)}").open("a").write(".")
+        return [(0,)]
+
+    assert configs._per_config(frame, "config", "x int", seen).count() == 5000
+    calls = [p.stat().st_size for p in tmp_path.iterdir()]
+    assert max(calls) == 1 and len({p.name.split("-")[0] for p in tmp_path.iterdir()}) > 1
