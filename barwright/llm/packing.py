@@ -82,8 +82,8 @@ class Ids(dict):
 
 
 @lru_cache(1)
-def _ids(path: str) -> Ids:
-    return Ids(path)
+def _ids(path: str, kept: int) -> Ids:
+    return Ids(path, kept)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -130,14 +130,15 @@ def curve_places(counts: np.ndarray, seed: int = 7) -> np.ndarray:
     return hilbert(cells, CELL_BITS).astype(np.int64)
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, kept: int = CACHED) -> DataFrame:
     """(doc_id, n, place, ids): each text's ids with the end id as 16-bit bytes, and its place along the curve.
 
-    Null text is empty: the end id alone. `path` names the tokenizer's file, which every executor must have.
+    Null text is empty: the end id alone. `path` names the tokenizer's file, which every executor must have. A worker
+    remembers `kept` chunks, also for what it runs later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = _ids(path or tokenizer_path()), np.array([END_ID], np.uint16).tobytes()
+        ids, end = _ids(path or tokenizer_path(), kept), np.array([END_ID], np.uint16).tobytes()
         bucket = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
         for whole in batches:
             for at in range(0, len(whole), 1000):
@@ -152,14 +153,14 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, place long, ids binary")
 
 
-def ordered(docs: DataFrame, path: str | None = None, range_tokens: int = 8 << 20, most: int = RANGES) -> tuple[DataFrame, int]:
+def ordered(docs: DataFrame, path: str | None = None, range_tokens: int = 8 << 20, most: int = RANGES, kept: int = CACHED) -> tuple[DataFrame, int]:
     """(doc_id, n, ids, part, at) in ranges of the curve, `at` the tokens before a row in its range; and the sum of n.
 
     Ranges hold about `range_tokens` tokens, or more where there would be more than `most` of them: what the driver
     samples and holds is bounded, and larger ranges are sorted with spilling.
     """
     spark = docs.sparkSession
-    rows = written(encoded(texts(docs, "doc_id", "text"), path), "pack-ids")
+    rows = written(encoded(texts(docs, "doc_id", "text"), path, kept), "pack-ids")
     total = rows.agg(F.sum("n")).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def sequences(docs: DataFrame, path: str | None = None, length: int = SEQUENCE)
     return packed.select("sequence_id", F.col("p.doc_id").alias("doc_ids"), F.aggregate("p.ids", F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
 
 
-def report(docs: DataFrame, path: str | None = None) -> DataFrame:
+def report(docs: DataFrame, path: str | None = None, **ranges: int) -> DataFrame:
     """The contract's columns: pieces with the CRC-32 of their ids as little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,4 +242,4 @@ def report(docs: DataFrame, path: str | None = None) -> DataFrame:
             c = b.columns
             yield pa.RecordBatch.from_arrays([c[0], c[1], c[2], pa.array(crc, pa.int64()), c[3], c[4], c[5]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces(docs, path).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces(docs, path, **ranges).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

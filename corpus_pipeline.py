@@ -19,6 +19,8 @@ from barwright.llm.common import written
 
 #: Rows that a task holds as one Arrow batch: texts are long, and batches exist on both sides of Python.
 BATCH_ROWS = 1000
+#: Chunks of text whose tokens a worker remembers: it does so until it ends, beside whatever runs in it afterwards.
+KEPT_CHUNKS = 60_000
 
 
 def _in_batches(spark: SparkSession) -> None:
@@ -56,7 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in packed sequences."""
     _in_batches(spark)
-    return packing.report(docs)
+    return packing.report(docs, kept=KEPT_CHUNKS)
 
 
 STAGES = [

@@ -112,3 +112,13 @@ def test_stages_of_an_empty_table(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() == 0, name
+
+
+def test_workers_keep_few_tokens_beside_the_stages(spark, monkeypatch):
+    from barwright.llm import packing
+
+    made = []
+    monkeypatch.setattr(packing, "pieces", lambda docs, path=None, **kept: made.append(kept) or docs)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    corpus_pipeline.packing_stage(spark, docs, "")
+    assert made == [{"kept": corpus_pipeline.KEPT_CHUNKS}] and corpus_pipeline.KEPT_CHUNKS <= packing.CACHED // 10
