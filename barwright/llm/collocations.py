@@ -26,7 +26,7 @@ WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Rows of the sketch; its cells a row are a power of two in these bounds; cells in a block; bytes of text for each cell.
 ROWS, CELL_BITS, BLOCK, BYTES_A_CELL = 2, (16, 28), 1 << 16, 32
 #: Bytes of text that are cut into words together, and cells that a task holds before it lets go of their counts.
-CHUNK, HELD = 8 << 20, 12 << 20
+CHUNK, HELD = 2 << 20, 16 << 20
 _MARK = b"."
 _PLAIN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _MARK * 10 + b" ")
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -197,26 +197,31 @@ def counted(docs: DataFrame, longest: int = WORDS, least: int = LEAST, bits: int
     bits = (8 * table.shape[1]).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
+    def told(lang: bytes, some: list[bytes], count: np.ndarray) -> pa.RecordBatch:
+        tail = b"\n" + lang
+        return pa.RecordBatch.from_arrays([pa.array([x + tail for x in some], pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], ["key", "f"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         for lang, chunk in chunks(batches):
-            found: list[tuple[int, list[bytes], np.ndarray]] = []
             for n, places, hashes in chunk.grams(longest):
                 if n == 1 and len(places):
-                    found.append((0, [b""], np.array([len(places)])))
+                    yield told(lang, [b""], np.array([len(places)]))
                 for row in range(ROWS):
                     at = cell(hashes, row, bits)
                     going = (often[row][at >> np.uint32(3)] >> (np.uint8(7) - (at & np.uint32(7)).astype(np.uint8))) & 1 > 0
                     places, hashes = places[going], hashes[going]
                 if len(places):
-                    found.append((n, *chunk.counts(places, n)))
-            for n, some, count in found:
-                for at in range(0, len(some), 50_000):
-                    own = some[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.binary()).cast(pa.string()), pa.array(np.full(len(own), n), pa.int32()), pa.array(own, pa.binary()).cast(pa.string()), pa.array(count[at : at + 50_000], pa.int64())], ["lang", "words", "phrase", "f"])
-
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, words int, phrase string, f long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("words") == 0))
+                    some, count = chunk.counts(places, n)
+                    for i in range(0, len(some), 50_000):
+                        yield told(lang, some[i : i + 50_000], count[i : i + 50_000])
+
+    # the phrase, a line end, which no phrase has, and the language are one key: less is shuffled than of three columns
+    found = docs.select("lang", "text").mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    often = found.filter((F.col("f") >= least) | F.startswith("key", F.lit("\n"))).withColumn("end", F.instr("key", F.lit("\n")))
+    phrase = F.substring("key", F.lit(1), F.col("end") - 1)
+    words = F.when(F.col("end") == 1, 0).otherwise(F.size(F.split(phrase, " ")))
+    return often.select(F.substring("key", F.col("end") + 1, F.length("key")).alias("lang"), words.alias("words"), phrase.alias("phrase"), "f")
 
 
 def scored(grams: DataFrame, share: int = SHARE) -> DataFrame:

@@ -237,3 +237,14 @@ def test_collocation_scores_are_exact_beyond_64_bits(spark):
     big = 3_000_000_019
     grams = spark.createDataFrame([("en", 1, "a", big + 5), ("en", 1, "b", big + 77), ("en", 2, "a b", big), ("en", 0, "", 4 * big)], "lang string, words int, phrase string, f long")
     assert [r.score for r in collocations.scored(grams).collect()] == [10**6 * big * big // ((big + 5) * (big + 77))]
+
+
+def test_collocations_hold_little_text_at_once(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 800), pa.array(["ab cd " * 1600] * 800)], ["lang", "text"])  # 7.7 MB
+    sizes = [len(chunk.ids) for _, chunk in collocations.chunks(iter([batch]))]
+    assert sum(sizes) == 800 * 3200 + 800 - len(sizes) and max(sizes) < 1_000_000
+    rows = [(lang, "x y. " * 12) for lang in ("a\nb", "\n", "", None)]
+    found = {(r.lang, r.words, r.phrase, r.f) for r in collocations.counted(spark.createDataFrame(rows, "lang string, text string").fillna("und")).collect()}
+    assert found == {(lang, *x) for lang in ("a\nb", "\n", "", "und") for x in ((0, "", 24), (1, "x", 12), (1, "y", 12), (2, "x y", 12))}
