@@ -4,8 +4,9 @@ First every task counts the cells of its n-grams (of one word and more, per lang
 the tasks' parts are added up block by block. A cell's sum is at least the count of any n-gram in it, so an n-gram that
 has a sum below the least count in some row is rare for certain. What stays of the sketch is one bit a cell, whether it
 reaches the least count, and this table of fixed size goes to all tasks. They pass over the texts again and count the
-n-grams whose cells all reach it, by their words; Spark adds these counts up and drops the few that reached it only with
-others. So nothing frequent is lost, and counts are exact. A candidate's score is that of its worst cut into two parts,
+n-grams whose cells all reach it, by their words. A task sorts its n-grams by buckets of their hashes and sends a bucket's
+as one compressed block; the blocks of a bucket meet in one task, which adds their counts up and drops the few n-grams
+that reached the least count only with others. So nothing frequent is lost, and counts are exact. A candidate's score is that of its worst cut into two parts,
 and a candidate is dropped where a longer one has at least half of its occurrences.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 ROWS, CELL_BITS, BLOCK, BYTES_A_CELL = 2, (16, 28), 1 << 16, 32
 #: Bytes of text that are cut into words together, and cells that a task holds before it lets go of their counts.
 CHUNK, HELD = 2 << 20, 16 << 20
+#: Bytes of text for each bucket of n-grams, and bytes of counted n-grams that a task holds before it adds up or lets go.
+BYTES_A_BUCKET, COUNTED = 8 << 20, 32 << 20
 _MARK = b"."
 _PLAIN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _MARK * 10 + b" ")
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -69,15 +73,15 @@ class Chunk:
                 hashes = (hashes ^ (hashes >> np.uint64(29))) * _SPREAD[2] + single[places + n - 1]
             yield n, places, hashes
 
-    def counts(self, places: np.ndarray, n: int) -> tuple[list[bytes], np.ndarray]:
-        """The distinct n-grams at places, by their words, and how many times they are there."""
+    def counts(self, places: np.ndarray, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct n-grams at places, by their words, how many times they are there, and the first of `places` of each."""
         codes = self.ids[places]
         for i in range(1, n):
             codes = np.unique(codes, return_inverse=True)[1] * len(self.words) + self.ids[places + i]
         _, first, count = np.unique(codes, return_index=True, return_counts=True)
         at = places[first]
         parts = [map(self.words.__getitem__, self.ids[at + i].tolist()) for i in range(n)]
-        return list(map(b" ".join, zip(*parts, strict=True))), count
+        return list(map(b" ".join, zip(*parts, strict=True))), count, first
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, Chunk]]:
@@ -167,6 +171,16 @@ def _sums(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator[
         yield told()
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """The length of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def cell_bits(size: int) -> int:
+    """The logarithm of the cells a row for so many bytes of text."""
+    return min(CELL_BITS[1], max(CELL_BITS[0], (size // BYTES_A_CELL).bit_length()))
+
+
 def sketched(docs: DataFrame, longest: int = WORDS, least: int = LEAST, bits: int | None = None) -> np.ndarray:
     """The merged sketch of (lang, text): for each row a packed bit a cell, whether its sum reaches `least` (at most 255).
 
@@ -175,8 +189,7 @@ def sketched(docs: DataFrame, longest: int = WORDS, least: int = LEAST, bits: in
     n-grams pass, which costs time but changes no count.
     """
     if bits is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(CELL_BITS[1], max(CELL_BITS[0], (size // BYTES_A_CELL).bit_length()))
+        bits = cell_bits(text_bytes(docs))
     if not 1 <= least <= 255:
         raise ValueError("a cell counts up to 255")
     parts = docs.select("lang", "text").mapInArrow(lambda batches: _parts(batches, longest, bits), "row int, block int, cells binary")
@@ -188,40 +201,126 @@ def sketched(docs: DataFrame, longest: int = WORDS, least: int = LEAST, bits: in
     return often
 
 
+def squeezed(raw: bytes | pa.Buffer, codec: pa.Codec) -> bytes:
+    """Bytes as their number, then compressed."""
+    return len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
+
+
+def unsqueezed(data: bytes, codec: pa.Codec) -> bytes:
+    """The bytes of `squeezed`."""
+    return codec.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def listed(bucket: np.ndarray, key: pa.Array, f: np.ndarray) -> pa.Table:
+    """Counted n-grams of one language: their buckets, the n-grams with a line end behind each, and counts."""
+    return pa.table({"bucket": pa.array(bucket, pa.int32()), "key": key, "f": pa.array(f, pa.int64())})
+
+
+def summed(some: list[pa.Table]) -> pa.Table:
+    """`listed` tables as one, in which an n-gram comes once."""
+    table = pa.concat_tables(some)
+    kind = pa.binary() if table.nbytes < 1 << 30 else pa.large_binary()  # grouping by the small kind takes less memory
+    table = table.set_column(1, "key", table["key"].cast(kind)).group_by(["bucket", "key"], use_threads=False).aggregate([("f", "sum")])
+    return pa.table({"bucket": table["bucket"], "key": table["key"].cast(pa.large_binary()), "f": table["f_sum"]})
+
+
+def blocks(table: pa.Table, codec: pa.Codec) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, n-grams, counts) of a `listed` table: a bucket's n-grams in order, and their counts byte plane by byte plane."""
+    table = table.take(pc.sort_indices(table, [("bucket", "ascending"), ("key", "ascending")]))
+    bucket, key, f = table["bucket"].to_numpy(), pa.concat_arrays(table["key"].chunks), table["f"].to_numpy()
+    offsets = np.frombuffer(key.buffers()[1], np.int64)[key.offset : key.offset + len(key) + 1]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+    for i, j in zip(edges, edges[1:], strict=False):
+        raw = key.buffers()[2].slice(int(offsets[i]), int(offsets[j] - offsets[i]))
+        yield int(bucket[i]), squeezed(raw, codec), squeezed(np.ascontiguousarray(f[i:j]).view(np.uint8).reshape(-1, 8).T.tobytes(), codec)
+
+
+def unblocked(bucket: int, keys: bytes, counts: bytes, codec: pa.Codec) -> pa.Table:
+    """The `listed` table of a block."""
+    raw = unsqueezed(keys, codec)
+    f = np.ascontiguousarray(np.frombuffer(unsqueezed(counts, codec), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    offsets = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1])
+    key = pa.Array.from_buffers(pa.large_binary(), len(f), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+    return listed(np.full(len(f), bucket), key, f)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], often: np.ndarray, longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, keys, counts): `blocks` of a task's n-grams whose cells are all set in `often`, and of its words at an empty n-gram."""
+    bits, codec = (8 * often.shape[1]).bit_length() - 1, pa.Codec("zstd", 3)
+    held: dict[bytes, list[pa.Table]] = {}
+    size = 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, some in held.items():
+            rows = list(blocks(some[0], codec))
+            for at in range(0, len(rows), 500):
+                bucket, keys, counts = zip(*rows[at : at + 500], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.binary()).cast(pa.string()), pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["lang", "bucket", "keys", "counts"])
+
+    for lang, chunk in chunks(batches):
+        for n, places, hashes in chunk.grams(longest):
+            found = []
+            if n == 1 and len(places):
+                found.append(listed(np.zeros(1), pa.array([b"\n"], pa.large_binary()), np.array([len(places)])))
+            for row in range(ROWS):
+                at = cell(hashes, row, bits)
+                going = (often[row][at >> np.uint32(3)] >> (np.uint8(7) - (at & np.uint32(7)).astype(np.uint8))) & 1 > 0
+                places, hashes = places[going], hashes[going]
+            if len(places):
+                some, count, first = chunk.counts(places, n)
+                found.append(listed((hashes[first] % np.uint64(buckets)).astype(np.int32), pa.array([x + b"\n" for x in some], pa.large_binary()), count))
+            held.setdefault(lang, []).extend(found)
+            size += sum(x.nbytes for x in found)
+        if size > COUNTED:
+            held = {at: [summed(some)] for at, some in held.items() if some}
+            size = sum(some[0].nbytes for some in held.values())
+            if size > COUNTED // 2:
+                yield from told()
+                held, size = {}, 0
+    held = {at: [summed(some)] for at, some in held.items() if some}
+    yield from told()
+
+
+def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, words, phrase, f): the n-grams of sorted blocks that come at least `least` times, and the empty ones."""
+    codec, at = pa.Codec("zstd"), None
+    held: list[pa.Table] = []
+    size, most = 0, COUNTED
+
+    def told() -> pa.Table:
+        found = summed(held)
+        found = found.filter(pc.or_(pc.greater_equal(found["f"], least), pc.equal(found["key"], pa.scalar(b"\n", pa.large_binary()))))
+        phrase = pc.utf8_rtrim(found["key"].cast(pa.large_string()), "\n").cast(pa.string())
+        words = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1))
+        return pa.table({"lang": pa.array([at[0]] * len(found), pa.string()), "words": words.cast(pa.int32()), "phrase": phrase, "f": found["f"]})
+
+    for b in batches:
+        for lang, bucket, keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            if at != (lang, bucket):
+                if at is not None:
+                    yield from told().to_batches()
+                at, held, size, most = (lang, bucket), [], 0, COUNTED
+            held.append(unblocked(bucket, keys.as_py(), counts.as_py(), codec))
+            size += held[-1].nbytes
+            if size > most:
+                held = [summed(held)]
+                size = held[0].nbytes
+                most = max(COUNTED, 2 * size)
+    if at is not None:
+        yield from told().to_batches()
+
+
 def counted(docs: DataFrame, longest: int = WORDS, least: int = LEAST, bits: int | None = None) -> DataFrame:
     """(lang, words, phrase, f): the exact counts of n-grams of (lang, text) that come at least `least` times.
 
-    A row of no words and an empty phrase holds the language's number of words, if it has any.
+    A row of no words and an empty phrase holds the language's number of words, if it has any. Blocks are shuffled, not
+    rows of an n-gram each, since nearly all n-grams of a large table come often and so nearly all have to be shuffled.
     """
-    table = sketched(docs, longest, least, bits)
-    bits = (8 * table.shape[1]).bit_length() - 1
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    def told(lang: bytes, some: list[bytes], count: np.ndarray) -> pa.RecordBatch:
-        tail = b"\n" + lang
-        return pa.RecordBatch.from_arrays([pa.array([x + tail for x in some], pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], ["key", "f"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
-        for lang, chunk in chunks(batches):
-            for n, places, hashes in chunk.grams(longest):
-                if n == 1 and len(places):
-                    yield told(lang, [b""], np.array([len(places)]))
-                for row in range(ROWS):
-                    at = cell(hashes, row, bits)
-                    going = (often[row][at >> np.uint32(3)] >> (np.uint8(7) - (at & np.uint32(7)).astype(np.uint8))) & 1 > 0
-                    places, hashes = places[going], hashes[going]
-                if len(places):
-                    some, count = chunk.counts(places, n)
-                    for i in range(0, len(some), 50_000):
-                        yield told(lang, some[i : i + 50_000], count[i : i + 50_000])
-
-    # the phrase, a line end, which no phrase has, and the language are one key: less is shuffled than of three columns
-    found = docs.select("lang", "text").mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
-    often = found.filter((F.col("f") >= least) | F.startswith("key", F.lit("\n"))).withColumn("end", F.instr("key", F.lit("\n")))
-    phrase = F.substring("key", F.lit(1), F.col("end") - 1)
-    words = F.when(F.col("end") == 1, 0).otherwise(F.size(F.split(phrase, " ")))
-    return often.select(F.substring("key", F.col("end") + 1, F.length("key")).alias("lang"), words.alias("words"), phrase.alias("phrase"), "f")
+    size = text_bytes(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(sketched(docs, longest, least, cell_bits(size) if bits is None else bits))
+    buckets = 1 + size // BYTES_A_BUCKET
+    parts = docs.select("lang", "text").mapInArrow(lambda batches: _counts(batches, sent.value, longest, buckets), "lang string, bucket int, keys binary, counts binary")
+    return parts.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(lambda batches: _totals(batches, least), "lang string, words int, phrase string, f long")
 
 
 def scored(grams: DataFrame, share: int = SHARE) -> DataFrame:

@@ -248,3 +248,41 @@ def test_collocations_hold_little_text_at_once(spark):
     rows = [(lang, "x y. " * 12) for lang in ("a\nb", "\n", "", None)]
     found = {(r.lang, r.words, r.phrase, r.f) for r in collocations.counted(spark.createDataFrame(rows, "lang string, text string").fillna("und")).collect()}
     assert found == {(lang, *x) for lang in ("a\nb", "\n", "", "und") for x in ((0, "", 24), (1, "x", 12), (1, "y", 12), (2, "x y", 12))}
+
+
+def random_pieces(seed, n):
+    rnd = random.Random(seed)
+    some = ["".join(rnd.choice("abcdefghü") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    return [(rnd.choice(["en", "de"]), " ".join(rnd.choice(some) + rnd.choice([""] * 12 + ["."]) for _ in range(rnd.randint(0, 500)))) for _ in range(n)]
+
+
+def test_counted_phrases_are_shuffled_in_few_bytes(spark):
+    rows = random_pieces(3, 400)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4).localCheckpoint()
+    spark.sparkContext.setJobGroup("counted", "counted")
+    found = {(r.lang, r.phrase): r.f for r in collocations.counted(docs, bits=5).collect()}
+    counts, n = phrase_counts(rows, 3)
+    assert found == {(lang, " ".join(p)): f for lang, own in counts.items() for p, f in own.items() if f >= 10} | {(lang, ""): f for lang, f in n.items()}
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {k for job in tracker.getJobIdsForGroup("counted") for k in tracker.getJobInfo(job).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(counts["en"]) + len(counts["de"]) > 150_000
+    assert 0 < sum(store.lastStageAttempt(k).shuffleWriteBytes() for k in stages) < 12 * sum(map(len, counts.values()))
+
+
+@pytest.mark.parametrize(("held", "buckets"), [(1, 1), (20_000, 7), (1 << 26, 50)])
+def test_counts_do_not_depend_on_what_is_held(held, buckets, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(collocations, "COUNTED", held)
+    monkeypatch.setattr(collocations, "CHUNK", 5000)
+    rows = random_pieces(5, 40) + [("en", ""), ("fr", ". , "), ("it", "one"), ("it", "é " * 300)]
+    often = np.full((collocations.ROWS, 4), 255, np.uint8)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 9], strict=True)], ["lang", "text"]) for i in range(0, len(rows), 9)]
+    parts = pa.Table.from_batches(collocations._counts(iter(batches), often, 3, buckets))
+    assert set(parts["bucket"].to_pylist()) <= set(range(buckets))
+    found = pa.Table.from_batches(collocations._totals(iter(parts.sort_by([("lang", "ascending"), ("bucket", "ascending")]).to_batches(10)), 2)).to_pylist()
+    counts, n = phrase_counts(rows, 3)
+    want = {(lang, len(p), " ".join(p), f) for lang, own in counts.items() for p, f in own.items() if f >= 2} | {(lang, 0, "", f) for lang, f in n.items() if f}
+    assert len(found) == len(want) and {tuple(x[c] for c in ("lang", "words", "phrase", "f")) for x in found} == want
